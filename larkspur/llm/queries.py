@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import ann, mixing, sharding, store, tokenfiles, topk
+from larkspur.llm import ann, language, mixing, neardup, pieces, secrets, sharding, store, tokenfiles, topk, warc
 
 SHARDS = [1.0] * 16
 
@@ -14,6 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_dartminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its class of near duplicates, named by the smallest doc_id in it."""
+    return neardup.classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.layout(table(spark, sf_dir, "documents"), "doc_id", "text", SHARDS, [*SHARDS, 1.0])
 
@@ -23,13 +35,23 @@ def op3_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     where = store.fresh_dir(spark, "tokens")
-    files = tokenfiles.write(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), where)
+    files = tokenfiles.write(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer("byte_bpe_50k.json"), where)
     return tokenfiles.digest(spark, where, files, "doc_id")
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metadata and a conversion record for every page."""
+    rows = warc.derive(warc.responses(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
+    text = F.when(F.col("record_type") == "conversion", F.decode("block", "UTF-8"))
+    return rows.withColumn("content_length", F.octet_length("block").cast("long")).withColumn("text", text)
+
+
+def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every document, and whether decoding gave its text back."""
+    return pieces.encode(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer("piece_bpe_32k.model"))
+
+
 def op7_block_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("_id") % 50 == 0, k=5)
 
@@ -40,5 +62,23 @@ def op8_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, "source", "doc_id", "text_hash").select("doc_id", "source", "block", "phase", "slot", "position")
 
 
-QUERIES = {f.__name__: f for f in (op2_rendezvous_sharding, op3_projection_forest, op4_token_files, op7_block_pruned_topk, op8_pfair_mixture)}
+def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secrets.train(secrets.labelled(spark, docs, "doc_id", "text"))
+    found = secrets.scan(docs, "text", model)
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs, "doc_id", "text", "lang", ~language.held_out(F.col("doc_id")))
+    return language.predict(docs, "text", model).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+_ALL = (
+    op1_dartminhash_classes, op2_rendezvous_sharding, op3_projection_forest, op4_token_files, op5_warc_derivatives,
+    op6_sampled_pieces, op7_block_pruned_topk, op8_pfair_mixture, op9_markov_secrets, op10_language,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
