@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
-@F.pandas_udf("string")
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+def unescape(text: Column) -> Column:
+    """HTML entities decoded in Python, by Arrow batches; a text without an ampersand goes as NULL and comes back as it was."""
 
+    @F.pandas_udf("string")
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
 
-def unescape(text: Column) -> Column:
-    """HTML entities decoded; only rows with an ampersand go to Python."""
-    return F.when(text.contains("&"), _unescape(F.when(text.contains("&"), text))).otherwise(text)
+    return F.coalesce(decode(F.when(text.contains("&"), text)), text)
 
 
 def squeeze(text: Column) -> Column:
@@ -37,7 +37,7 @@ def without_marks(text: Column) -> Column:
 def clean_text(text: Column | str, entities: bool = True) -> Column:
     """Entities decoded, agency marks removed, white space squeezed; NULL counts as empty."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return squeeze(without_wire(F.replace(unescape(t) if entities else t, F.lit(" "), F.lit(" "))))
+    return squeeze(without_marks(F.replace(unescape(t) if entities else t, F.lit("\u00a0"), F.lit(" "))))
 
 
 def news_ticker(ticker: Column | str) -> Column:

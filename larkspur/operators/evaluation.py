@@ -13,6 +13,7 @@ from larkspur.functions.maths import annual_ratio, clean, correlation, decile_of
 from larkspur.operators.panel import rebalance_dates
 
 DATE = ("date",)
+ZERO = 1e-12  # a coefficient below this is rounding
 
 
 def cross_ranked(df: DataFrame, factor: str, ret: str, keys: tuple[str, ...]) -> DataFrame:
@@ -45,7 +46,7 @@ def summarize_ic(ic: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     out = []
     for c in ("IC", "RankIC"):
         out += [F.avg(c).alias(c), annual_ratio(F.avg(c), F.stddev_samp(c)).alias(f"{c}IR"), F.count(c).alias(f"{c}_count"), (F.count(F.lit(1)) - F.count(c)).alias(f"{c}_nan_count")]
-    return ic.groupBy(*keys).agg(*out, F.count_if(F.col("RankIC") == 0).alias("RankIC_zero_count"), F.avg("coverage").alias("coverage"))
+    return ic.groupBy(*keys).agg(*out, F.count_if(F.abs("RankIC") < ZERO).alias("RankIC_zero_count"), F.avg("coverage").alias("coverage"))
 
 
 def factor_health(df: DataFrame, factor: str, ret: str, every: int = 1) -> DataFrame:
@@ -53,7 +54,7 @@ def factor_health(df: DataFrame, factor: str, ret: str, every: int = 1) -> DataF
     daily = daily_ic(df, factor, ret, every=every)
 
     def there(c: str) -> Column:
-        return F.count(F.when(~F.isnan(F.col(c).cast("double")), 1)) / F.count(F.lit(1))
+        return F.count(F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), 1)) / F.count(F.lit(1))
 
     table = df.agg(F.count(F.lit(1)).alias("total_rows"), F.count_distinct("date").alias("date_count"), there(factor).alias("factor_non_null_ratio"), there(ret).alias("return_non_null_ratio"))
     days = daily.agg(
@@ -61,7 +62,7 @@ def factor_health(df: DataFrame, factor: str, ret: str, every: int = 1) -> DataF
         F.avg("valid_count").alias("avg_daily_valid_count"), F.min("valid_count").alias("min_daily_valid_count"), F.max("valid_count").alias("max_daily_valid_count"),
         F.avg("factor_std").alias("daily_factor_std_mean"), F.min("factor_std").alias("daily_factor_std_min"), F.count_if(F.col("factor_std") == 0).alias("daily_factor_std_zero_count"),
         F.avg("return_std").alias("daily_return_std_mean"), F.min("return_std").alias("daily_return_std_min"), F.count_if(F.col("return_std") == 0).alias("daily_return_std_zero_count"),
-        (F.count(F.lit(1)) - F.count("RankIC")).alias("rankic_nan_count"), F.count_if(F.col("RankIC") == 0).alias("rankic_zero_count"), F.count("RankIC").alias("rankic_non_null_count"),
+        (F.count(F.lit(1)) - F.count("RankIC")).alias("rankic_nan_count"), F.count_if(F.abs("RankIC") < ZERO).alias("rankic_zero_count"), F.count("RankIC").alias("rankic_non_null_count"),
     )
     # Both sides are one row.
     return table.withColumn("_k", F.lit(1)).join(days.withColumn("_k", F.lit(1)), "_k").drop("_k")

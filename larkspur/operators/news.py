@@ -98,9 +98,11 @@ def chunk_news(news: DataFrame, days: DataFrame, most: int = WORDS_PER_CHUNK, pe
     The cap is a window limit, so a stock-day with much news is cut before the shuffle, not after.
     """
     dated = signal_dates(require(news, ["news_id", "ticker", "text", "publish_time"], "news"), days)
-    words = T.tokens(T.clean_text("text", entities))
+    # The decoded text is a column of its own first: a lambda cannot hold a Python function.
+    cleaned = dated.withColumn("_clean", T.clean_text("text", entities))
+    words = T.tokens(F.col("_clean"))
     ticker = T.news_ticker("ticker")
-    cut = dated.select("date", ticker.alias("ticker"), F.col("news_id").cast("string").alias("source_news_id"), "publish_time", *[c for c in ("title",) if c in news.columns], F.posexplode(T.chunks(words, most, overlap)).alias("chunk_index", "chunk_text"))
+    cut = cleaned.select("date", ticker.alias("ticker"), F.col("news_id").cast("string").alias("source_news_id"), "publish_time", *[c for c in ("title",) if c in news.columns], F.posexplode(T.chunks(words, most, overlap)).alias("chunk_index", "chunk_text"))
     order = Window.partitionBy("ticker", "date").orderBy("publish_time", "source_news_id", "chunk_index")
     kept = cut.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_day).drop("_r")
     return kept.withColumn("chunk_id", T.chunk_id(F.col("source_news_id"), F.col("ticker"), F.col("date"), F.col("chunk_index"))).withColumn("token_count", F.size(F.split("chunk_text", " ")))

@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.plans import evaluation_queries, factor_queries, text_queries
+
+MODULES = (factor_queries, evaluation_queries, text_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {n: f for m in MODULES for n, f in m.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {n: s for m in MODULES for n, s in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Daily information coefficients of a momentum factor."""
+    return evaluation_queries.flagship(spark, sf_dir)

@@ -53,15 +53,20 @@ def resolved(manifest: DataFrame, files: DataFrame, root: str, out: str = "file"
     return manifest.join(found, ["path", "line"], "left")
 
 
-@F.pandas_udf("array<double>")
-def load_npy(contents: pd.Series) -> pd.Series:
-    return contents.map(lambda b: np.load(io.BytesIO(b), allow_pickle=False).astype(np.float32).ravel().astype(np.float64), na_action="ignore")
+def load_npy(content: Column) -> Column:
+    """The array in a .npy file's bytes, flattened, in single precision."""
+
+    @F.pandas_udf("array<double>")
+    def load(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda b: np.load(io.BytesIO(b), allow_pickle=False).astype(np.float32).ravel().astype(np.float64), na_action="ignore")
+
+    return load(content)
 
 
 def read_vectors(spark: SparkSession, root: str) -> DataFrame:
     """file, embedding of every .npy file under a folder, flattened, in single precision."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(root)
-    return files.select(F.regexp_replace("path", r"^file:/+", "/").alias("file"), load_npy("content").alias("embedding"))
+    return files.select(F.regexp_replace("path", r"^file:/+", "/").alias("file"), load_npy(F.col("content")).alias("embedding"))
 
 
 def stored_vectors(spark: SparkSession, root: str) -> DataFrame:
