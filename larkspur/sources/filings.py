@@ -28,7 +28,7 @@ def company_facts(payloads: DataFrame, payload: str = "payload") -> DataFrame:
 
 def company_tickers(spark: SparkSession, path: str) -> DataFrame:
     """ticker, cik (ten digits), title from a published list."""
-    tree = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", TICKERS)).alias("_k", "t"))
+    tree = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", TICKERS)).alias("_k", "t"))
     return tree.select(F.upper("t.ticker").alias("ticker"), F.lpad(F.col("t.cik_str").cast("string"), 10, "0").alias("cik"), F.col("t.title").alias("title"))
 
 

@@ -21,7 +21,7 @@ def numbered_lines(spark: SparkSession, root: str, name: str = "manifest.jsonl")
 
     A file is one row here, so its line numbers are its own; a manifest is split in files of bounded size by its writer.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).option("wholetext", True).text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
     lines = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("_i", "value"))
     return lines.where(F.trim("value") != "").select("path", (F.col("_i") + 1).alias("line"), "value")
 
