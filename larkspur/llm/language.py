@@ -190,7 +190,7 @@ def predict(df: DataFrame, text: str, model: Model) -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return df.select(*names, run(F.col(text)).alias("_found")).select(*names, "_found.lang_pred", "_found.score")
+    return df.select(*names, run(F.col(text)).alias("_lk_found")).select(*names, "_lk_found.lang_pred", "_lk_found.score")
 
 
 def held_out(key: Column) -> Column:

@@ -103,25 +103,25 @@ def mix(df: DataFrame, source: str, key: str, text: str | None = None, weights:
     in key and text are interchangeable. An empty table gives an empty table. Only the sources' row counts, at most
     MAX_SOURCES of them, come to the driver. Columns named like a new one are replaced.
     """
-    named = df.drop("block", "phase", "slot", "position").withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)))
-    counts = {r["_source"]: r["n"] for r in named.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
+    named = df.drop("block", "phase", "slot", "position").withColumn("_lk_source", F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)))
+    counts = {r["_lk_source"]: r["n"] for r in named.groupBy("_lk_source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
     target = {s: (weights or {}).get(s, 1.0) for s in counts}
     phases = plan(counts, shares(target) if target else {}, block_rows)
-    schedule = df.sparkSession.createDataFrame(phases, "_source string, phase int, _first long, _blocks long, _base long, _rows long, _period long, _slots array<int>")
+    schedule = df.sparkSession.createDataFrame(phases, "_lk_source string, phase int, _lk_first long, _lk_blocks long, _lk_base long, _lk_rows long, _lk_period long, _lk_slots array<int>")
     spread = F.xxhash64(*[F.col(c) for c in ([key, text] if text else [key])])
-    ranked = gapless(named.withColumn("_spread", spread), ["_source"], F.col("_spread"), ["_spread", key])
+    ranked = gapless(named.withColumn("_lk_spread", spread), ["_lk_source"], F.col("_lk_spread"), ["_lk_spread", key], out="_lk_rank")
     placed = (
-        ranked.withColumn("block", F.floor(F.col("_rank") / block_rows).cast("long"))
-        .join(schedule, "_source")
-        .where("block >= _first AND block < _first + _blocks")
+        ranked.withColumn("block", F.floor(F.col("_lk_rank") / block_rows).cast("long"))
+        .join(schedule, "_lk_source")
+        .where("block >= _lk_first AND block < _lk_first + _lk_blocks")
     )
-    index, n = F.col("block") - F.col("_first"), F.size("_slots")
-    at = F.floor(index / n).cast("long") * F.col("_period") + F.element_at("_slots", (index % n + 1).cast("int"))
+    index, n = F.col("block") - F.col("_lk_first"), F.size("_lk_slots")
+    at = F.floor(index / n).cast("long") * F.col("_lk_period") + F.element_at("_lk_slots", (index % n + 1).cast("int"))
     return (
-        placed.withColumn("_at", at)
-        .withColumn("slot", F.col("_base") + F.col("_at"))
-        .withColumn("position", F.col("_rows") + F.col("_at") * block_rows + F.col("_rank") % block_rows)
+        placed.withColumn("_lk_at", at)
+        .withColumn("slot", F.col("_lk_base") + F.col("_lk_at"))
+        .withColumn("position", F.col("_lk_rows") + F.col("_lk_at") * block_rows + F.col("_lk_rank") % block_rows)
         .select(*[c for c in df.columns if c not in ("block", "phase", "slot", "position")], "block", "phase", "slot", "position")
     )

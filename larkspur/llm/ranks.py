@@ -15,19 +15,19 @@ def gapless(df: DataFrame, group: list[str], spread: Column, order: list, copies
     counts (at most groups * buckets rows) give the offsets. With `copies`, a row stands for that many equal rows
     and gets the first of their numbers. Ties in `order` must be between rows that are equal in all that matters.
     """
-    tagged = df.withColumn("_bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
+    tagged = df.withColumn("_lk_bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
     weight = F.col(copies) if copies else F.lit(1)
-    keys = [*group, "_bucket"]
+    keys = [*group, "_lk_bucket"]
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("_lk_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        tagged.groupBy(*keys).agg(F.sum(weight).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+        tagged.groupBy(*keys).agg(F.sum(weight).alias("_lk_n"))
+        .withColumn("_lk_offset", F.coalesce(F.sum("_lk_n").over(before), F.lit(0)))
+        .drop("_lk_n")
     )
     return (
-        tagged.withColumn("_inner", F.coalesce(F.sum(weight).over(within), F.lit(0)))
+        tagged.withColumn("_lk_inner", F.coalesce(F.sum(weight).over(within), F.lit(0)))
         .join(offsets, keys)
-        .withColumn(out, (F.col("_offset") + F.col("_inner")).cast("long"))
-        .drop("_bucket", "_inner", "_offset")
+        .withColumn(out, (F.col("_lk_offset") + F.col("_lk_inner")).cast("long"))
+        .drop("_lk_bucket", "_lk_inner", "_lk_offset")
     )

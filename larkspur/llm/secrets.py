@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 DataFrame functions only. The models are first-order: one of random strings, one of ordinary identifiers, both over the
-characters that keys are made of, with add-one smoothing, fitted on labelled samples. A candidate is a run of such
+characters that keys are made of, fitted on labelled samples; a transition seldom seen backs off to the second character's own frequency. A candidate is a run of such
 characters with a letter in it; it is a secret if its log-likelihood as a random string passes that as an identifier by
 `threshold`. Spans count code points, the end is exclusive.
 
@@ -31,6 +31,7 @@ LOW, HIGH = ord("+"), ord("z")
 CODES = HIGH - LOW + 1
 
 THRESHOLD = 10.0
+BACKOFF = 8.0  # transitions that the second character's own frequency counts for
 TRAINING_DOCUMENTS = 2_000
 RANDOM_STRINGS = 2_000
 MASK = "[SECRET]"
@@ -64,12 +65,12 @@ def spans_of(text: Column, kind: int, pattern: str, keep=None) -> Column:
 
 
 def with_base(df: DataFrame, text: str) -> DataFrame:
-    """df with `_text` (null as empty) and `_assign`, `_access`, `_hex`, the spans of the base kinds."""
-    out = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    t = F.col("_text")
+    """df with `_lk_text` (null as empty) and `_lk_assign`, `_lk_access`, `_lk_hex`, the spans of the base kinds."""
+    out = df.withColumn("_lk_text", F.coalesce(F.col(text), F.lit("")))
+    t = F.col("_lk_text")
     return (
-        out.withColumn("_assign", spans_of(t, 0, ASSIGN, lambda m: F.length(F.regexp_extract(m["text"], ASSIGN, 2)) >= LEAST_VALUE))
-        .withColumn("_access", spans_of(t, 1, ACCESS)).withColumn("_hex", spans_of(t, 2, HEX))
+        out.withColumn("_lk_assign", spans_of(t, 0, ASSIGN, lambda m: F.length(F.regexp_extract(m["text"], ASSIGN, 2)) >= LEAST_VALUE))
+        .withColumn("_lk_access", spans_of(t, 1, ACCESS)).withColumn("_lk_hex", spans_of(t, 2, HEX))
     )
 
 
@@ -89,15 +90,19 @@ def train(samples: DataFrame) -> list[float]:
         samples.where(F.length("text") >= 2).select("random", F.explode(pairs(F.col("text"))).alias("pair"))
         .groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n"))
     )
-    table = {True: [1.0] * CODES**2, False: [1.0] * CODES**2}
+    table = {True: [0.0] * CODES**2, False: [0.0] * CODES**2}
     for r in counted.where(F.col("pair").between(0, CODES**2 - 1)).collect():
         table[bool(r["random"])][r["pair"]] += r["n"]
-    out = []
-    for first in range(CODES):
-        rows = {k: t[first * CODES : (first + 1) * CODES] for k, t in table.items()}
-        sums = {k: sum(r) for k, r in rows.items()}
-        out += [math.log(a / sums[True]) - math.log(b / sums[False]) for a, b in zip(rows[True], rows[False], strict=True)]
-    return out
+    logs = {}
+    for kind, t in table.items():
+        total = sum(t) + CODES
+        alone = [(sum(t[second::CODES]) + 1.0) / total for second in range(CODES)]
+        logs[kind] = []
+        for first in range(CODES):
+            row = t[first * CODES : (first + 1) * CODES]
+            size = sum(row) + BACKOFF
+            logs[kind] += [math.log((n + BACKOFF * p) / size) for n, p in zip(row, alone, strict=True)]
+    return [a - b for a, b in zip(logs[True], logs[False], strict=True)]
 
 
 def labelled(spark: SparkSession, df: DataFrame, key: str, text: str, documents: int = TRAINING_DOCUMENTS, strings: int = RANDOM_STRINGS) -> DataFrame:
@@ -128,13 +133,13 @@ def scan(df: DataFrame, text: str, model: list[float], threshold: float = THRESH
     def score(s: Column) -> Column:
         return F.aggregate(pairs(s), F.lit(0.0), lambda acc, p: acc + F.get(ratios, p))
 
-    found = with_base(df.drop("base", "spans"), text).withColumn("base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    random = spans_of(F.col("_text"), 3, CANDIDATE, lambda m: F.rlike(m["text"], F.lit("[A-Za-z]")) & (score(m["text"]) > threshold))
-    fresh = F.filter(F.col("_markov"), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    found = with_base(df.drop("base", "spans"), text).withColumn("base", F.array_sort(F.concat("_lk_assign", "_lk_access", "_lk_hex")))
+    random = spans_of(F.col("_lk_text"), 3, CANDIDATE, lambda m: F.rlike(m["text"], F.lit("[A-Za-z]")) & (score(m["text"]) > threshold))
+    fresh = F.filter(F.col("_lk_markov"), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return (
-        found.withColumn("_markov", random)
+        found.withColumn("_lk_markov", random)
         .withColumn("spans", F.array_sort(F.concat("base", fresh)))
-        .drop("_assign", "_access", "_hex", "_markov", "_text")
+        .drop("_lk_assign", "_lk_access", "_lk_hex", "_lk_markov", "_lk_text")
     )
 
 
