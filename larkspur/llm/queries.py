@@ -85,4 +85,19 @@ _ALL = (
     op6_sampled_pieces, op7_block_pruned_topk, op8_pfair_mixture, op9_markov_secrets, op10_language,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+
+# Classes from all shared shingles: words are runs of ASCII letters, digits, underscores and characters beyond ASCII.
+_CLASSES = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL),
+w AS (SELECT doc_id, t, regexp_extract_all(lower(t), '(?:[0-9a-z_]|[^\x00-\x7F])+') AS w FROM d),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS x FROM w),
+c AS (SELECT doc_id, x, count(*) AS n FROM s GROUP BY ALL), total AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN total u ON u.doc_id = a JOIN total v ON v.doc_id = b WHERE m / (u.n + v.n - m) >= 0.8 UNION SELECT a.doc_id, b.doc_id FROM w a JOIN w b ON a.t = b.t AND a.doc_id < b.doc_id),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT doc_id AS n, doc_id AS label FROM d UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.n)
+SELECT n AS doc_id, min(label) AS class_id FROM r GROUP BY n"""
+
+_TOPK = """WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p QUALIFY rank <= 5"""
+
+ORACLES: dict[str, str] = {"op1_dartminhash_classes": _CLASSES, "op7_block_pruned_topk": _TOPK}
