@@ -4,7 +4,7 @@ Forward filtering sums, for each place in a text, the weight of all ways to cut
 sampling walks from the end and picks each piece in proportion to its weight and that sum. The draws come from a hash
 of the row's key and the place in the text, so a row's segmentation does not depend on batches, tasks or retries.
 
-A piece's log weight is -ln(rank + RANK_SHIFT) / TEMPERATURE with its rank in the model's own order of scores: the
+A piece's log weight is -SMOOTHING * ln(rank + RANK_SHIFT) with its rank in the model's own order of scores: the
 scores of a merge-based model are ranks, not log-probabilities. A space is the model's space mark; any other character
 that is no piece by itself is spelt in byte pieces, and so is the space mark itself where a text has it. So joining
 the pieces' bytes gives back exactly the text.
@@ -19,22 +19,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.wordhash import SpanHasher, mix, unit
 
 MARK = "▁"
-RANK_SHIFT, TEMPERATURE = 100.0, 0.5
-BATCH_BYTES = 8 << 20
+RANK_SHIFT, SMOOTHING = 100.0, 0.4
+BATCH_BYTES = 2 << 20
 _U = np.uint64
 
 
 class Lattice:
     """A model's pieces, found by hash, and segmentations sampled from them."""
 
-    def __init__(self, path: str, shift: float = RANK_SHIFT, temperature: float = TEMPERATURE):
+    def __init__(self, path: str, shift: float = RANK_SHIFT, smoothing: float = SMOOTHING):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -68,9 +70,9 @@ class Lattice:
             while self.slot_id[at] != -1:
                 at, tries = (at + 1) % size, tries + 1
             i = whole.get(s, -2)
-            self.slot_hash[at], self.slot_id[at], self.slot_weight[at] = h, i, -np.log(rank[i] + shift) / temperature if i >= 0 else 0.0
+            self.slot_hash[at], self.slot_id[at], self.slot_weight[at] = h, i, -smoothing * np.log(rank[i] + shift) if i >= 0 else 0.0
             self.tries = max(self.tries, tries)
-        self.byte_weight = -np.log(len(ids) + shift) / temperature
+        self.byte_weight = -smoothing * np.log(len(ids) + shift)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The slot of each hash, or -1."""
@@ -247,17 +249,19 @@ def encode(df: DataFrame, key: str, text: str, model_path: str, check: bool = Tr
         names = ["key", "piece_ids", "n_pieces", "ids_crc32", "lossless"]
         for batch in batches:
             keys, seeds = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            texts = [t.encode("utf-8") for t in batch.column(2).to_pylist()]
+            column = batch.column(2).cast(pa.binary())
+            sizes = pc.binary_length(column).to_pylist()
             at = 0
-            while at < len(texts):
+            while at < len(sizes):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= BATCH_BYTES):
-                    size += len(texts[end])
+                while end < len(sizes) and (end == at or size + sizes[end] <= BATCH_BYTES):
+                    size += sizes[end]
                     end += 1
-                ids, firsts = own.sample(texts[at:end], seeds[at:end])
+                texts = column.slice(at, end - at).to_pylist()
+                ids, firsts = own.sample(texts, seeds[at:end])
                 raw = memoryview(ids.astype("<i4").tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)]
-                same = [own.decode(ids[a:b]) == t for a, b, t in zip(firsts[:-1].tolist(), firsts[1:].tolist(), texts[at:end], strict=True)] if check else [None] * (end - at)
+                same = [own.decode(ids[a:b]) == t for a, b, t in zip(firsts[:-1].tolist(), firsts[1:].tolist(), texts, strict=True)] if check else [None] * (end - at)
                 arrays = [keys.slice(at, end - at), pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), pa.array(ids, pa.int32())), pa.array(np.diff(firsts), pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(arrays, names)
                 at = end
@@ -268,8 +272,6 @@ def encode(df: DataFrame, key: str, text: str, model_path: str, check: bool = Tr
 
 def decode(df: DataFrame, ids: str, model_path: str, out: str = "text") -> DataFrame:
     """df with the text of its piece ids in column `out`."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(lists: pd.Series) -> pd.Series:
         own = lattice(model_path)
