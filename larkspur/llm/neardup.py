@@ -6,7 +6,7 @@ often they occur) is at least `threshold`; a class is a connected component of l
 1. Each text becomes a fingerprint of its whole weighted set and a signature. Texts with equal sets are one set from
    here on, so a group of thousands of exact copies costs one row.
 2. Sets that agree on all rows of a band meet in a bucket. First every member is compared, by signature, with the
-   bucket's smallest id only. Buckets whose members do not all resemble it stay open, and go on in rounds: up to
+   bucket's member that meets most others in all buckets. Buckets whose members do not all resemble it stay open, and go on in rounds: up to
    LEADERS members not yet placed are compared with all others, each member keeps its best leader out of every
    group of alike leaders, and the leaders leave. So a bucket is never paired out, and no bucket or member is dropped.
 3. Pairs that the signatures leave possible are checked exactly, on shingles made anew from the texts of the sets
@@ -34,10 +34,12 @@ from larkspur.llm.store import cut
 from larkspur.llm.wordhash import mix, shingles, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
-BANDS, ROWS = 24, 5
-LEADERS, MEMBERS = 64, 256
+# Coordinates are dealt into bands of ROWS in DEALS different ways: 64 bands of 8. Two texts that share a passage but little
+# else seldom agree on 8 coordinates; two at the threshold miss all bands with a chance below one in a thousand.
+COORDINATES, ROWS, DEALS = 128, 8, 4
+LEADERS, MEMBERS = 256, 256
 # Four standard errors of a signature's estimate at the threshold.
-SLACK = 4 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
+SLACK = 4 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
 
 
 def weighted_sets(texts: list[str], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -48,12 +50,18 @@ def weighted_sets(texts: list[str], width: int) -> Iterator[tuple[np.ndarray, np
         yield elements, counts.astype(np.float64)
 
 
+def deals() -> np.ndarray:
+    """The coordinates of each band."""
+    random = np.random.default_rng(20)
+    return np.concatenate([random.permutation(COORDINATES) for _ in range(DEALS)]).reshape(-1, ROWS)
+
+
 def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """(n, BANDS) keys of (n, BANDS * ROWS) signatures."""
-    parts = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2]).copy()
+    """(n, bands) keys of (n, COORDINATES) signatures."""
+    order = deals()
+    key = np.broadcast_to(np.arange(len(order), dtype=np.uint64), (len(signatures), len(order))).copy()
     for r in range(ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + signatures[:, order[:, r]])
     return key.view(np.int64)
 
 
@@ -70,7 +78,7 @@ def _text_slices(batch: pd.DataFrame, column: str, most: int = 8 << 20) -> Itera
 
 
 def fingerprints(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """_id, _set (fingerprint of the weighted set), _sig (null for texts without a word), _bands."""
+    """_id, _set (fingerprint of the weighted set), _sig (null for texts without a word)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -81,28 +89,42 @@ def fingerprints(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 for t, (elements, counts) in zip(texts, weighted_sets(texts, width), strict=True):
                     data = elements.tobytes() + counts.tobytes() if len(elements) else b"\0" + t.encode("utf-8", "surrogatepass")
                     prints.append(hashlib.blake2b(data, digest_size=16).digest())
-                    signs.append(signature(elements, counts, BANDS * ROWS) if len(elements) else None)
-                full = [s for s in signs if s is not None]
-                keys = iter(band_keys(np.array(full)) if full else [])
-                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "_set": prints, "_sig": [None if s is None else s.tobytes() for s in signs], "_bands": [None if s is None else next(keys) for s in signs]})
+                    signs.append(signature(elements, counts, COORDINATES) if len(elements) else None)
+                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "_set": prints, "_sig": [None if s is None else s.tobytes() for s in signs]})
 
     rows = df.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).where("_id IS NOT NULL")
-    return rows.mapInPandas(run, "_id long, _set binary, _sig binary, _bands array<long>")
+    return rows.mapInPandas(run, "_id long, _set binary, _sig binary")
 
 
 def _sigs(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(len(column), BANDS * ROWS)
+    return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(len(column), COORDINATES)
+
+
+def bands(sets: DataFrame) -> DataFrame:
+    """_id, _bucket: one row for each set and band."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"_id": b["_id"].to_numpy(), "_b": list(band_keys(_sigs(b["_sig"])))})
+
+    return sets.select("_id", "_sig").mapInPandas(run, "_id long, _b array<long>").select("_id", F.explode("_b").alias("_bucket"))
 
 
 def candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b: pairs of sets that may be alike, enough to join all that are. sets: _id, _sig, _bands."""
-    spots = sets.select("_id", F.explode("_bands").alias("_bucket"))
-    shared = spots.groupBy("_bucket").agg(F.min("_id").alias("_leader"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    met = spots.join(shared, "_bucket").where("_id <> _leader")
-    sigs = sets.select("_id", "_sig")
+    """a, b: pairs of sets that may be alike, enough to join all that are. sets: _id, _sig."""
+    spots = bands(sets)
+    sizes = spots.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    shared = cut(spots.join(sizes, "_bucket"))
+    # The member that meets most others is the likeliest to be near them all: the text that copies were made from.
+    degrees = cut(shared.groupBy("_id").agg(F.sum("_n").alias("_degree")))
+    ranked = cut(shared.drop("_n").join(degrees, "_id"))
+    leaders = ranked.groupBy("_bucket").agg(F.max(F.struct(F.col("_degree").alias("d"), (-F.col("_id")).alias("i"))).alias("_m")).select("_bucket", (-F.col("_m.i")).alias("_leader"))
+    met = cut(ranked.join(leaders, "_bucket").where("_id <> _leader"))
+    sigs = cut(sets.select("_id", "_sig").join(degrees, "_id"))
     first = (
         met.select("_id", "_leader").distinct()
-        .join(sigs, "_id").join(sigs.select(F.col("_id").alias("_leader"), F.col("_sig").alias("_other")), "_leader")
+        .join(sigs.drop("_degree"), "_id").join(sigs.select(F.col("_id").alias("_leader"), F.col("_sig").alias("_other")), "_leader")
     )
 
     def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,51 +142,64 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
         state = cut(state.join(open_, "_bucket"))
         if state.isEmpty():
             break
-        found = cut(_round(state, sigs, threshold))
+        first = Window.partitionBy("_bucket").orderBy(F.col("_degree").desc(), "_id")
+        leading = state.where("NOT _done").join(degrees, "_id").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= LEADERS)
+        leading = cut(leading.select("_bucket", "_id", F.lit(True).alias("_leads")))
+        found = cut(_round(state, leading, sigs.drop("_degree"), threshold))
         out.append(found.where("a IS NOT NULL").select("a", "b"))
-        placed = found.where("_bucket IS NOT NULL").select("_bucket", "b", "_leads", "_like").groupBy("_bucket", F.col("b").alias("_id")).agg(F.max("_leads").alias("_leads"), F.max("_like").alias("_like"))
-        state = state.drop("_n").join(placed, ["_bucket", "_id"]).where("NOT _leads").select("_bucket", "_id", (F.col("_done") | F.col("_like")).alias("_done"))
+        placed = found.where("_bucket IS NOT NULL").select("_bucket", F.col("b").alias("_id"), F.lit(True).alias("_like"))
+        rest = state.drop("_n").join(leading, ["_bucket", "_id"], "left").where("_leads IS NULL").join(placed, ["_bucket", "_id"], "left")
+        state = rest.select("_bucket", "_id", (F.col("_done") | F.col("_like").isNotNull()).alias("_done"))
     pairs = out[0]
     for p in out[1:]:
         pairs = pairs.unionByName(p)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _round(state: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """One round of the open buckets: rows (a, b) that may be alike, and for each member whether it led and whether it was placed."""
-    full = cut(state.join(sigs, "_id"))
-    first = Window.partitionBy("_bucket").orderBy("_id")
-    leaders = (
-        full.where("NOT _done").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= LEADERS)
-        .groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct("_id", "_sig"))).alias("_lead"))
-    )
+def _round(state: DataFrame, leading: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """One round of the open buckets: rows (a, b) that may be alike, and rows (_bucket, b) for the members that resemble a leader.
+
+    A pair of member and leader is given in the first of the bands that they share only.
+    """
+    leaders = leading.join(sigs, "_id").groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct("_id", "_sig"))).alias("_lead"))
     members = (
-        full.withColumn("_part", F.pmod(F.xxhash64("_id"), F.ceil(F.col("_n") / MEMBERS)))
-        .groupBy("_bucket", "_part").agg(F.collect_list(F.struct("_id", "_sig")).alias("_members"))
+        state.join(sigs, "_id").withColumn("_part", F.pmod(F.xxhash64("_id"), F.ceil(F.col("_n") / MEMBERS)))
+        .groupBy("_bucket", "_part").agg(F.collect_list(F.struct("_id", "_done", "_sig")).alias("_members"))
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        order = deals()
         for batch in batches:
             for bucket, lead, members in zip(batch["_bucket"], batch["_lead"], batch["_members"], strict=True):
                 ids, sig = np.array([x["_id"] for x in lead]), _sigs([x["_sig"] for x in lead])
                 own, own_sig = np.array([x["_id"] for x in members]), _sigs([x["_sig"] for x in members])
+                band = int(np.flatnonzero(band_keys(sig[:1])[0] == bucket)[0])
                 group = np.arange(len(ids))
                 for i in range(len(ids)):
                     alike = np.flatnonzero((sig == sig[i]).mean(axis=1) >= threshold)
                     group[np.isin(group, group[alike])] = group[alike].min()
-                rows = []
-                for b, s in zip(own, own_sig, strict=True):
-                    near = (sig == s).mean(axis=1)
+                like, left, right = [], [], []
+                for b, s, x in zip(own, own_sig, members, strict=True):
+                    same = sig == s
+                    near = same.mean(axis=1)
                     near[ids == b] = -1.0
-                    rows.append((bucket, None, b, bool((ids == b).any()), bool((near >= threshold).any())))
-                    for g in np.unique(group):
-                        inside = np.flatnonzero(group == g)
-                        best = inside[np.argmax(near[inside])]
-                        if near[best] >= threshold - SLACK:
-                            rows.append((None, ids[best], b, None, None))
-                yield pd.DataFrame(rows, columns=["_bucket", "a", "b", "_leads", "_like"]).astype({"_bucket": "Int64", "a": "Int64", "b": "Int64"})
-
-    return members.join(leaders, "_bucket").mapInPandas(run, "_bucket long, a long, b long, _leads boolean, _like boolean")
+                    placed = bool((near >= threshold).any())
+                    if placed and not x["_done"]:
+                        like.append(b)
+                    # A member that has its place needs another group only if it may well belong there too.
+                    least = threshold - (SLACK / 2 if placed or x["_done"] else SLACK)
+                    if near.max() < least:
+                        continue
+                    best = np.lexsort((-near, group))
+                    best = best[np.concatenate(([True], group[best][1:] != group[best][:-1]))]
+                    best = best[near[best] >= least]
+                    fresh = ~same[best][:, order[:band]].all(axis=2).any(axis=1) if band else np.ones(len(best), dtype=bool)
+                    left += ids[best[fresh]].tolist()
+                    right += [b] * int(fresh.sum())
+                # Nullable integers: a detour over doubles would lose the low bits of buckets and ids.
+                yield pd.DataFrame({"_bucket": pd.array([bucket] * len(like) + [None] * len(left), dtype="Int64"), "a": pd.array([None] * len(like) + left, dtype="Int64"), "b": pd.array(like + right, dtype="Int64")})
+
+    return members.join(leaders, "_bucket").mapInPandas(run, "_bucket long, a long, b long")
 
 
 def links(df: DataFrame, key: str, text: str, pairs: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -197,7 +232,7 @@ def classes(df: DataFrame, key: str, text: str, width: int = WIDTH, threshold: f
     """key, class_id for each row of df."""
     prints = cut(fingerprints(df, key, text, width))
     firsts = cut(prints.groupBy("_set").agg(F.min("_id").alias("_first")))
-    sets = cut(prints.where("_sig IS NOT NULL").join(firsts.select(F.col("_first").alias("_id"), F.col("_set")), ["_id", "_set"]).dropDuplicates(["_id"]).select("_id", "_sig", "_bands"))
+    sets = cut(prints.where("_sig IS NOT NULL").join(firsts.select(F.col("_first").alias("_id"), F.col("_set")), ["_id", "_set"]).dropDuplicates(["_id"]).select("_id", "_sig"))
     alike = links(df, key, text, candidates(sets, threshold), width, threshold)
     named = components(alike).select(F.col("node").alias("_first"), "label")
     owner = firsts.join(named, "_first", "left").select("_set", F.coalesce("label", "_first").alias("class_id"))
