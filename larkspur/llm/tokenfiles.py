@@ -26,7 +26,7 @@ from larkspur.llm.store import cut
 
 END_ID = 0
 IDS_PER_FILE = 8 << 20
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_600_000
 
 # White space in any sense: Unicode's, and the control characters that some libraries count.
 _ODD = "".join(map(chr, [*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
