@@ -65,7 +65,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _text_slices(batch: pd.DataFrame, column: str, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def _text_slices(batch: pd.DataFrame, column: str, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Slices of a batch with about `most` characters each."""
     start = size = 0
     for i, n in enumerate(batch[column].str.len()):
@@ -135,7 +135,7 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     judged = cut(first.mapInPandas(estimate, "_id long, _leader long, _s double"))
     possible = judged.where(F.col("_s") >= threshold - SLACK).select(F.col("_leader").alias("a"), F.col("_id").alias("b"))
     # Buckets with a member that does not resemble the leader; those that do stay, to be met by those that do not.
-    state = met.join(judged, ["_id", "_leader"]).select("_bucket", "_id", (F.col("_s") >= threshold).alias("_done"))
+    state = cut(met.join(judged, ["_id", "_leader"]).select("_bucket", "_id", (F.col("_s") >= threshold).alias("_done")))
     out = [possible]
     while True:
         open_ = state.groupBy("_bucket").agg(F.min("_done").alias("_all"), F.count(F.lit(1)).alias("_n")).where("_n > 1 AND NOT _all").select("_bucket", "_n")
@@ -147,9 +147,10 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
         leading = cut(leading.select("_bucket", "_id", F.lit(True).alias("_leads")))
         found = cut(_round(state, leading, sigs.drop("_degree"), threshold))
         out.append(found.where("a IS NOT NULL").select("a", "b"))
-        placed = found.where("_bucket IS NOT NULL").select("_bucket", F.col("b").alias("_id"), F.lit(True).alias("_like"))
-        rest = state.drop("_n").join(leading, ["_bucket", "_id"], "left").where("_leads IS NULL").join(placed, ["_bucket", "_id"], "left")
-        state = rest.select("_bucket", "_id", (F.col("_done") | F.col("_like").isNotNull()).alias("_done"))
+        placed = found.where("_bucket IS NOT NULL").select("_bucket", F.col("b").alias("_id"), F.lit(False).alias("_leads"))
+        marks = leading.unionByName(placed).groupBy("_bucket", "_id").agg(F.max("_leads").alias("_leads"))
+        rest = state.drop("_n").join(marks, ["_bucket", "_id"], "left").where("NOT coalesce(_leads, false)")
+        state = cut(rest.select("_bucket", "_id", (F.col("_done") | F.col("_leads").isNotNull()).alias("_done")))
     pairs = out[0]
     for p in out[1:]:
         pairs = pairs.unionByName(p)
