@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.store import small_batches
+
 UND = "und"
 BUCKETS = 1 << 16
 SCALE = 20.0
@@ -159,7 +161,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, beta
 
 def train(df: DataFrame, key: str, text: str, lang: str, eligible: Column, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on the eligible rows with a language, at most about per_language of each."""
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"), eligible.alias("_ok")).where("_ok AND _lang IS NOT NULL AND _text IS NOT NULL")
+    rows = small_batches(df).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"), eligible.alias("_ok")).where("_ok AND _lang IS NOT NULL AND _text IS NOT NULL")
     counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -190,7 +192,7 @@ def predict(df: DataFrame, text: str, model: Model) -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return df.select(*names, run(F.col(text)).alias("_lk_found")).select(*names, "_lk_found.lang_pred", "_lk_found.score")
+    return small_batches(df).select(*names, run(F.col(text)).alias("_lk_found")).select(*names, "_lk_found.lang_pred", "_lk_found.score")
 
 
 def held_out(key: Column) -> Column:

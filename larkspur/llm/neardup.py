@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.components import components
 from larkspur.llm.dartminhash import signature, similarity
-from larkspur.llm.store import cut
+from larkspur.llm.store import cut, small_batches
 from larkspur.llm.wordhash import mix, shingles, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -231,6 +231,7 @@ def links(df: DataFrame, key: str, text: str, pairs: DataFrame, width: int, thre
 
 def classes(df: DataFrame, key: str, text: str, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """key, class_id for each row of df."""
+    df = small_batches(df)
     prints = cut(fingerprints(df, key, text, width))
     firsts = cut(prints.groupBy("_set").agg(F.min("_id").alias("_first")))
     sets = cut(prints.where("_sig IS NOT NULL").join(firsts.select(F.col("_first").alias("_id"), F.col("_set")), ["_id", "_set"]).dropDuplicates(["_id"]).select("_id", "_sig"))

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.store import small_batches
 from larkspur.llm.wordhash import SpanHasher, mix, unit
 
 MARK = "▁"
@@ -266,7 +267,7 @@ def encode(df: DataFrame, key: str, text: str, model_path: str, check: bool = Tr
                 yield pa.RecordBatch.from_arrays(arrays, names)
                 at = end
 
-    rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.xxhash64(key), F.lit(0)).alias("seed"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = small_batches(df).select(F.col(key).cast("long").alias("key"), F.coalesce(F.xxhash64(key), F.lit(0)).alias("seed"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "key long, piece_ids array<int>, n_pieces long, ids_crc32 long, lossless boolean").withColumnRenamed("key", key)
 
 

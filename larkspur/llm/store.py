@@ -31,3 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back, so that later stages do not depend on its lineage or on any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session told to hand rows to Python in batches of bounded rows and bytes: texts and packs of signatures are wide."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
