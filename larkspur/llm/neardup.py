@@ -235,7 +235,7 @@ def classes(df: DataFrame, key: str, text: str, width: int = WIDTH, threshold: f
     prints = cut(fingerprints(df, key, text, width))
     firsts = cut(prints.groupBy("_set").agg(F.min("_id").alias("_first")))
     sets = cut(prints.where("_sig IS NOT NULL").join(firsts.select(F.col("_first").alias("_id"), F.col("_set")), ["_id", "_set"]).dropDuplicates(["_id"]).select("_id", "_sig"))
-    alike = links(df, key, text, candidates(sets, threshold), width, threshold)
+    alike = cut(links(df, key, text, candidates(sets, threshold), width, threshold))
     named = components(alike).select(F.col("node").alias("_first"), "label")
     owner = firsts.join(named, "_first", "left").select("_set", F.coalesce("label", "_first").alias("class_id"))
     rows = prints.select("_id", "_set").join(owner, "_set").select(F.col("_id").alias(key), "class_id")
