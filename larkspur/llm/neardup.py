@@ -6,11 +6,12 @@ often they occur) is at least `threshold`; a class is a connected component of l
 1. Each text becomes a fingerprint of its whole weighted set and a signature. Texts with equal sets are one set from
    here on, so a group of thousands of exact copies costs one row.
 2. Sets that agree on all rows of a band meet in a bucket. First every member is compared, by signature, with the
-   bucket's member that meets most others in all buckets. Buckets whose members do not all resemble it stay open, and go on in rounds: up to
-   LEADERS members not yet placed are compared with all others, each member keeps its best leader out of every
-   group of alike leaders, and the leaders leave. So a bucket is never paired out, and no bucket or member is dropped.
-3. Pairs that the signatures leave possible are checked exactly, on shingles made anew from the texts of the sets
-   in question; the links' components are the classes.
+   bucket's member that meets most others in all buckets. Pairs that the signatures leave possible are checked exactly, on
+   shingles made anew from the texts, and the links' components become known.
+3. A bucket stays open while the members that have not led it are of two or more components. In each round up to LEADERS
+   members outside the commonest component lead: each is compared with all that have not led, every possible pair of two
+   components is checked exactly, the components grow, and the leaders leave. So each pair of a bucket is
+   compared unless exact links already join it, no bucket or member is dropped, and the order of leaders cannot change a class.
 
 A null text counts as empty. Texts without a word are alike only if they are equal. A text with fewer words than
 `width` is one shingle. Rows without an id are in no class (class_id null). Rows that repeat
@@ -111,8 +112,8 @@ def bands(sets: DataFrame) -> DataFrame:
     return sets.select("_id", "_sig").mapInPandas(run, "_id long, _b array<long>").select("_id", F.explode("_b").alias("_bucket"))
 
 
-def candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b: pairs of sets that may be alike, enough to join all that are. sets: _id, _sig."""
+def linked(df: DataFrame, key: str, text: str, sets: DataFrame, width: int, threshold: float) -> DataFrame:
+    """_id, _label: the smallest set of each linked set's component. sets: _id, _sig."""
     spots = bands(sets)
     sizes = spots.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     shared = cut(spots.join(sizes, "_bucket"))
@@ -132,75 +133,52 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
             if len(b):
                 yield b[["_id", "_leader"]].assign(_s=(_sigs(b["_sig"]) == _sigs(b["_other"])).mean(axis=1))
 
-    judged = cut(first.mapInPandas(estimate, "_id long, _leader long, _s double"))
-    possible = judged.where(F.col("_s") >= threshold - SLACK).select(F.col("_leader").alias("a"), F.col("_id").alias("b"))
-    # Buckets with a member that does not resemble the leader; those that do stay, to be met by those that do not.
-    state = cut(met.join(judged, ["_id", "_leader"]).select("_bucket", "_id", (F.col("_s") >= threshold).alias("_done")))
-    out = [possible]
+    possible = first.mapInPandas(estimate, "_id long, _leader long, _s double").where(F.col("_s") >= threshold - SLACK)
+    checked = cut(possible.select(F.least("_leader", "_id").alias("a"), F.greatest("_leader", "_id").alias("b")).distinct())
+    alike = cut(links(df, key, text, checked, width, threshold).select("a", "b"))
+    labels = components(alike).toDF("_id", "_label")
+    # The members that have not led their bucket.
+    state = met.select("_bucket", "_id")
     while True:
-        open_ = state.groupBy("_bucket").agg(F.min("_done").alias("_all"), F.count(F.lit(1)).alias("_n")).where("_n > 1 AND NOT _all").select("_bucket", "_n")
+        state = state.join(labels, "_id", "left").select("_bucket", "_id", F.coalesce("_label", "_id").alias("_label"))
+        open_ = state.groupBy("_bucket").agg(F.min("_label").alias("_least"), F.max("_label").alias("_most"), F.count(F.lit(1)).alias("_n")).where("_least <> _most").select("_bucket", "_n")
         state = cut(state.join(open_, "_bucket"))
         if state.isEmpty():
-            break
-        first = Window.partitionBy("_bucket").orderBy(F.col("_degree").desc(), "_id")
-        leading = state.where("NOT _done").join(degrees, "_id").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= LEADERS)
-        leading = cut(leading.select("_bucket", "_id", F.lit(True).alias("_leads")))
-        found = cut(_round(state, leading, sigs.drop("_degree"), threshold))
-        out.append(found.where("a IS NOT NULL").select("a", "b"))
-        placed = found.where("_bucket IS NOT NULL").select("_bucket", F.col("b").alias("_id"), F.lit(False).alias("_leads"))
-        marks = leading.unionByName(placed).groupBy("_bucket", "_id").agg(F.max("_leads").alias("_leads"))
-        rest = state.drop("_n").join(marks, ["_bucket", "_id"], "left").where("NOT coalesce(_leads, false)")
-        state = cut(rest.select("_bucket", "_id", (F.col("_done") | F.col("_leads").isNotNull()).alias("_done")))
-    pairs = out[0]
-    for p in out[1:]:
-        pairs = pairs.unionByName(p)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            return labels
+        common = state.groupBy("_bucket", "_label").agg(F.count(F.lit(1)).alias("_c")).groupBy("_bucket").agg(F.max(F.struct("_c", "_label")).alias("_m")).select("_bucket", F.col("_m._label").alias("_common"))
+        order = Window.partitionBy("_bucket").orderBy(F.col("_degree").desc(), "_id")
+        leading = state.join(common, "_bucket").where("_label <> _common").join(degrees, "_id").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= LEADERS)
+        leading = cut(leading.select("_bucket", "_id", "_label"))
+        fresh = cut(_round(state, leading, sigs.drop("_degree"), threshold).distinct().join(checked, ["a", "b"], "left_anti"))
+        state = state.join(leading.select("_bucket", "_id"), ["_bucket", "_id"], "left_anti").select("_bucket", "_id")
+        if fresh.isEmpty():
+            continue
+        checked = checked.unionByName(fresh)
+        alike = cut(links(df, key, text, fresh, width, threshold).select("a", "b"))
+        if not alike.isEmpty():
+            labels = components(labels.toDF("a", "b").unionByName(alike)).toDF("_id", "_label")
 
 
 def _round(state: DataFrame, leading: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """One round of the open buckets: rows (a, b) that may be alike, and rows (_bucket, b) for the members that resemble a leader.
-
-    A pair of member and leader is given in the first of the bands that they share only.
-    """
-    leaders = leading.join(sigs, "_id").groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct("_id", "_sig"))).alias("_lead"))
+    """One round of the open buckets: every pair (a, b) of a leader and a member of another component that may be alike."""
+    leaders = leading.join(sigs, "_id").groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct("_id", "_label", "_sig"))).alias("_lead"))
     members = (
         state.join(sigs, "_id").withColumn("_part", F.pmod(F.xxhash64("_id"), F.ceil(F.col("_n") / MEMBERS)))
-        .groupBy("_bucket", "_part").agg(F.collect_list(F.struct("_id", "_done", "_sig")).alias("_members"))
+        .groupBy("_bucket", "_part").agg(F.collect_list(F.struct("_id", "_label", "_sig")).alias("_members"))
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        order = deals()
         for batch in batches:
-            for bucket, lead, members in zip(batch["_bucket"], batch["_lead"], batch["_members"], strict=True):
-                ids, sig = np.array([x["_id"] for x in lead]), _sigs([x["_sig"] for x in lead])
-                own, own_sig = np.array([x["_id"] for x in members]), _sigs([x["_sig"] for x in members])
-                band = int(np.flatnonzero(band_keys(sig[:1])[0] == bucket)[0])
-                group = np.arange(len(ids))
-                for i in range(len(ids)):
-                    alike = np.flatnonzero((sig == sig[i]).mean(axis=1) >= threshold)
-                    group[np.isin(group, group[alike])] = group[alike].min()
-                like, left, right = [], [], []
-                for b, s, x in zip(own, own_sig, members, strict=True):
-                    same = sig == s
-                    near = same.mean(axis=1)
-                    near[ids == b] = -1.0
-                    placed = bool((near >= threshold).any())
-                    if placed and not x["_done"]:
-                        like.append(b)
-                    # A member that has its place needs another group only if it may well belong there too.
-                    least = threshold - (SLACK / 2 if placed or x["_done"] else SLACK)
-                    if near.max() < least:
-                        continue
-                    best = np.lexsort((-near, group))
-                    best = best[np.concatenate(([True], group[best][1:] != group[best][:-1]))]
-                    best = best[near[best] >= least]
-                    fresh = ~same[best][:, order[:band]].all(axis=2).any(axis=1) if band else np.ones(len(best), dtype=bool)
-                    left += ids[best[fresh]].tolist()
-                    right += [b] * int(fresh.sum())
-                # Nullable integers: a detour over doubles would lose the low bits of buckets and ids.
-                yield pd.DataFrame({"_bucket": pd.array([bucket] * len(like) + [None] * len(left), dtype="Int64"), "a": pd.array([None] * len(like) + left, dtype="Int64"), "b": pd.array(like + right, dtype="Int64")})
-
-    return members.join(leaders, "_bucket").mapInPandas(run, "_bucket long, a long, b long")
+            for lead, members in zip(batch["_lead"], batch["_members"], strict=True):
+                ids, labels, sig = np.array([x["_id"] for x in lead]), np.array([x["_label"] for x in lead]), _sigs([x["_sig"] for x in lead])
+                left, right = [], []
+                for x, s in zip(members, _sigs([x["_sig"] for x in members]), strict=True):
+                    near = ids[((sig == s).mean(axis=1) >= threshold - SLACK) & (labels != x["_label"])]
+                    left += np.minimum(near, x["_id"]).tolist()
+                    right += np.maximum(near, x["_id"]).tolist()
+                yield pd.DataFrame({"a": np.array(left, dtype=np.int64), "b": np.array(right, dtype=np.int64)})
+
+    return members.join(leaders, "_bucket").select("_lead", "_members").mapInPandas(run, "a long, b long")
 
 
 def links(df: DataFrame, key: str, text: str, pairs: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -235,8 +213,7 @@ def classes(df: DataFrame, key: str, text: str, width: int = WIDTH, threshold: f
     prints = cut(fingerprints(df, key, text, width))
     firsts = cut(prints.groupBy("_set").agg(F.min("_id").alias("_first")))
     sets = cut(prints.where("_sig IS NOT NULL").join(firsts.select(F.col("_first").alias("_id"), F.col("_set")), ["_id", "_set"]).dropDuplicates(["_id"]).select("_id", "_sig"))
-    alike = cut(links(df, key, text, candidates(sets, threshold), width, threshold))
-    named = components(alike).select(F.col("node").alias("_first"), "label")
+    named = linked(df, key, text, sets, width, threshold).toDF("_first", "label")
     owner = firsts.join(named, "_first", "left").select("_set", F.coalesce("label", "_first").alias("class_id"))
     rows = prints.select("_id", "_set").join(owner, "_set").select(F.col("_id").alias(key), "class_id")
     lost = df.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias(key), F.lit(None).cast("long").alias("class_id"))

@@ -290,6 +290,24 @@ def test_near_duplicate_classes_equal_brute_force(spark):
     assert got == want
 
 
+def test_template_groups_without_a_hub_equal_brute_force(spark):
+    """Texts on a ring around the threshold: few hubs, many pairs just below or above, chains of links that leave the leaders."""
+    rows = []
+    for g in range(12):
+        r = np.random.default_rng(100 + g)
+        base = r.choice([f"g{g}w{i}" for i in range(3000)], 200).tolist()
+        for i in range(40):  # neighbours share all but a few of their changes
+            copy = list(base)
+            for at in range(4):
+                place = (7 * (i + at)) % 200
+                copy[place] = f"x{g}_{place}"
+            for at in r.choice(200, r.integers(0, 5), replace=False):
+                copy[at] = f"y{g}_{i}_{at}"
+            rows.append((len(rows), " ".join(copy)))
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == brute_classes(rows)
+
+
 def test_a_large_group_around_a_hub_is_one_class(spark):
     r = np.random.default_rng(6)
     base = r.choice([f"w{i}" for i in range(3000)], 200).tolist()
