@@ -26,10 +26,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class; documents without an id stay."""
-    classes = neardup.classes(docs, "doc_id", "text")
-    kept = classes.where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest id of each class, one text of those with that id in it; documents without an id stay."""
+    rows = neardup.members(docs, "doc_id", "text")
+    kept = rows.where("_id = class_id").groupBy("_label").agg(F.min(F.struct("_id", "_hash")).alias("_m")).select(F.col("_m._id").alias("doc_id"), F.col("_m._hash").alias("_hash"))
+    named = docs.where("doc_id IS NOT NULL").withColumn("_hash", neardup.text_hash("text"))
+    named = named.join(kept, ["doc_id", "_hash"], "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
     return named.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
 
 

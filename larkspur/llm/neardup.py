@@ -15,7 +15,7 @@ often they occur) is at least `threshold`; a class is a connected component of l
 
 A null text counts as empty. Texts without a word are alike only if they are equal. A text with fewer words than
 `width` is one shingle. Rows without an id are in no class (class_id null). Rows that repeat
-an id are judged by their own texts.
+an id are judged by their own texts; two classes with the same smallest id have the same name, and differ in `_label` of `members`.
 An empty table has no classes.
 """
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.components import components
@@ -79,7 +79,7 @@ def _text_slices(batch: pd.DataFrame, column: str, most: int = 1 << 20) -> Itera
 
 
 def fingerprints(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """_id, _set (fingerprint of the weighted set), _sig (null for texts without a word)."""
+    """_id, _hash (of the text), _set (fingerprint of the weighted set), _sig (null for texts without a word)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -91,10 +91,18 @@ def fingerprints(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     data = elements.tobytes() + counts.tobytes() if len(elements) else b"\0" + t.encode("utf-8", "surrogatepass")
                     prints.append(hashlib.blake2b(data, digest_size=16).digest())
                     signs.append(signature(elements, counts, COORDINATES) if len(elements) else None)
-                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "_set": prints, "_sig": [None if s is None else s.tobytes() for s in signs]})
+                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "_hash": part["_hash"].to_numpy(), "_set": prints, "_sig": [None if s is None else s.tobytes() for s in signs]})
 
-    rows = df.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).where("_id IS NOT NULL")
-    return rows.mapInPandas(run, "_id long, _set binary, _sig binary")
+    return _rows(df, key, text).where("_id IS NOT NULL").mapInPandas(run, "_id long, _hash string, _set binary, _sig binary")
+
+
+def text_hash(text: str) -> Column:
+    """What tells apart the texts of rows that repeat an id."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("_id"), text_hash(text).alias("_hash"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
 
 def _sigs(column) -> np.ndarray:
@@ -112,8 +120,8 @@ def bands(sets: DataFrame) -> DataFrame:
     return sets.select("_id", "_sig").mapInPandas(run, "_id long, _b array<long>").select("_id", F.explode("_b").alias("_bucket"))
 
 
-def linked(df: DataFrame, key: str, text: str, sets: DataFrame, width: int, threshold: float) -> DataFrame:
-    """_id, _label: the smallest set of each linked set's component. sets: _id, _sig."""
+def linked(texts: DataFrame, sets: DataFrame, width: int, threshold: float) -> DataFrame:
+    """_id, _label: the smallest set of each linked set's component. sets: _id, _sig. texts: see links."""
     spots = bands(sets)
     sizes = spots.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     shared = cut(spots.join(sizes, "_bucket"))
@@ -135,7 +143,7 @@ def linked(df: DataFrame, key: str, text: str, sets: DataFrame, width: int, thre
 
     possible = first.mapInPandas(estimate, "_id long, _leader long, _s double").where(F.col("_s") >= threshold - SLACK)
     checked = cut(possible.select(F.least("_leader", "_id").alias("a"), F.greatest("_leader", "_id").alias("b")).distinct())
-    alike = cut(links(df, key, text, checked, width, threshold).select("a", "b"))
+    alike = cut(links(texts, checked, width, threshold).select("a", "b"))
     labels = components(alike).toDF("_id", "_label")
     # The members that have not led their bucket.
     state = met.select("_bucket", "_id")
@@ -154,7 +162,7 @@ def linked(df: DataFrame, key: str, text: str, sets: DataFrame, width: int, thre
         if fresh.isEmpty():
             continue
         checked = checked.unionByName(fresh)
-        alike = cut(links(df, key, text, fresh, width, threshold).select("a", "b"))
+        alike = cut(links(texts, fresh, width, threshold).select("a", "b"))
         if not alike.isEmpty():
             labels = components(labels.toDF("a", "b").unionByName(alike)).toDF("_id", "_label")
 
@@ -181,19 +189,22 @@ def _round(state: DataFrame, leading: DataFrame, sigs: DataFrame, threshold: flo
     return members.join(leaders, "_bucket").select("_lead", "_members").mapInPandas(run, "a long, b long")
 
 
-def links(df: DataFrame, key: str, text: str, pairs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) that are alike, with their similarity. Texts are shuffled once, and only the shingles of those in a pair go on."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    texts = df.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+def links(texts: tuple[DataFrame, DataFrame], pairs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) of sets that are alike, with their similarity. Texts are shuffled once, and only the shingles of those in a pair go on.
+
+    texts: rows (_id, _hash, _text), and the row that stands for each set (_key, _id, _hash).
+    """
+    rows, owners = texts
+    wanted = owners.join(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct(), "_key")
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in _text_slices(batch, "_text"):
                 part = batch.iloc[a:b]
                 both = list(weighted_sets(part["_text"].tolist(), width))
-                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "_e": [e.tobytes() for e, _ in both], "_c": [c.astype(np.float32).tobytes() for _, c in both]})
+                yield pd.DataFrame({"_id": part["_key"].to_numpy(), "_e": [e.tobytes() for e, _ in both], "_c": [c.astype(np.float32).tobytes() for _, c in both]})
 
-    sets = cut(texts.join(wanted, "_id").mapInPandas(cover, "_id long, _e binary, _c binary").dropDuplicates(["_id"]))
+    sets = cut(rows.join(wanted, ["_id", "_hash"]).select("_key", "_text").mapInPandas(cover, "_id long, _e binary, _c binary").dropDuplicates(["_id"]))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def view(e: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -207,14 +218,24 @@ def links(df: DataFrame, key: str, text: str, pairs: DataFrame, width: int, thre
     return joined.mapInPandas(check, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
-def classes(df: DataFrame, key: str, text: str, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """key, class_id for each row of df."""
+def members(df: DataFrame, key: str, text: str, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+    """_id, _hash, _label, class_id for each row of df with an id: its class has one _label, and class_id is the smallest id in it."""
     df = small_batches(df)
     prints = cut(fingerprints(df, key, text, width))
-    firsts = cut(prints.groupBy("_set").agg(F.min("_id").alias("_first")))
-    sets = cut(prints.where("_sig IS NOT NULL").join(firsts.select(F.col("_first").alias("_id"), F.col("_set")), ["_id", "_set"]).dropDuplicates(["_id"]).select("_id", "_sig"))
-    named = linked(df, key, text, sets, width, threshold).toDF("_first", "label")
-    owner = firsts.join(named, "_first", "left").select("_set", F.coalesce("label", "_first").alias("class_id"))
-    rows = prints.select("_id", "_set").join(owner, "_set").select(F.col("_id").alias(key), "class_id")
+    firsts = prints.groupBy("_set").agg(F.min(F.struct("_id", "_hash")).alias("_m")).select("_set", "_m.*")
+    # A key of its own for each set: two sets may have the same smallest id.
+    firsts = cut(firsts.withColumn("_key", F.monotonically_increasing_id()))
+    sets = cut(prints.where("_sig IS NOT NULL").join(firsts, ["_set", "_id", "_hash"]).dropDuplicates(["_key"]).select(F.col("_key").alias("_id"), "_sig"))
+    texts = _rows(df, key, text), firsts.select("_key", "_id", "_hash")
+    named = cut(linked(texts, sets, width, threshold).toDF("_key", "_label").join(firsts.select("_key", "_id"), "_key"))
+    least = named.groupBy("_label").agg(F.min("_id").alias("_least"))
+    named = named.join(least, "_label").select("_key", "_label", "_least")
+    owner = firsts.join(named, "_key", "left").select("_set", F.coalesce("_label", "_key").alias("_label"), F.coalesce("_least", "_id").alias("class_id"))
+    return prints.select("_id", "_hash", "_set").join(owner, "_set").drop("_set")
+
+
+def classes(df: DataFrame, key: str, text: str, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+    """key, class_id for each row of df."""
+    rows = members(df, key, text, width, threshold).select(F.col("_id").alias(key), "class_id")
     lost = df.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias(key), F.lit(None).cast("long").alias("class_id"))
     return rows.unionByName(lost)

@@ -308,6 +308,20 @@ def test_template_groups_without_a_hub_equal_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def test_texts_that_share_an_id_have_their_own_classes(spark):
+    import corpus_pipeline
+
+    r = np.random.default_rng(8)
+    a, b, c = (" ".join(r.choice([f"w{i}" for i in range(900)], 100)) for _ in range(3))
+    rows = [(5, a), (5, a), (5, b), (3, b + " more"), (5, c), (7, c + " more"), (6, b + " again"), (None, a)]
+    rows += [(9, " ".join(r.choice([f"w{i}" for i in range(900)], 50))) for _ in range(20)]  # a key of most rows
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOCS)
+    got = sorted((x["doc_id"], x["class_id"]) for x in neardup.classes(df.where("doc_id IS NOT NULL"), "doc_id", "text").collect())
+    assert got == sorted([(5, 5), (5, 5), (5, 3), (3, 3), (5, 5), (7, 5), (6, 3)] + [(9, 9)] * 20)
+    kept = [(x["doc_id"], x["text"]) for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (3, b + " more"), (5, c), (None, a), *rows[8:]], key=str)
+
+
 def test_a_large_group_around_a_hub_is_one_class(spark):
     r = np.random.default_rng(6)
     base = r.choice([f"w{i}" for i in range(3000)], 200).tolist()
