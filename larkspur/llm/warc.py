@@ -95,12 +95,12 @@ def responses(df: DataFrame, key: str, url: str, page: str, date: str = DATE) ->
 
 
 def source_headers(http_header: bytes) -> list[tuple[str, str]]:
-    """The response's own headers that say what the payload is."""
+    """Every header of the response, in its order; a folded line belongs to the header before it."""
     out = []
-    for line in http_header.decode("iso-8859-1").split("\r\n")[1:]:
+    for line in re.sub(r"\r\n[ \t]+", " ", http_header.decode("iso-8859-1")).split("\r\n")[1:]:
         name, colon, value = line.partition(":")
-        if colon and name.strip().lower() in ("content-type", "content-language", "last-modified"):
-            out.append((f"WARC-Source-{name.strip().title()}", value.strip()))
+        if colon:
+            out.append((f"WARC-Source-{one_line(name.strip()).title()}", one_line(value.strip())))
     return out
 
 

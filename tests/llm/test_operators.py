@@ -164,6 +164,12 @@ def test_warc_records_link_to_their_response_and_survive_their_files(spark):
     assert warc.derive(source.where("page_id > 5")).count() == 0
 
 
+def test_every_header_of_a_response_is_carried_over():
+    header = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nETag: \"a:b\"\r\nSet-Cookie: x=1\r\nSet-Cookie: y=2;\r\n path=/\r\n\r\n"
+    want = [("WARC-Source-Content-Type", "text/html"), ("WARC-Source-Etag", '"a:b"'), ("WARC-Source-Set-Cookie", "x=1"), ("WARC-Source-Set-Cookie", "y=2; path=/")]
+    assert warc.source_headers(header) == want
+
+
 # --- pieces
 
 
