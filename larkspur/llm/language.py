@@ -5,8 +5,9 @@ feature's value is its share of the text's n-grams, times SCALE, times its inver
 learned by follow-the-regularised-leader (proximal, per coordinate) with L1 and L2 penalties; a part of the sample is
 held back to fit one temperature for the scores.
 
-The classifier is fitted on a bounded sample: at most about `per_language` labelled rows of each language, the lowest hashes of
-the keys. Texts are featurised whole on the executors; only the sample's hashed features come to the driver, and the weights,
+The classifier is fitted on a bounded sample: at most `per_language` different labelled rows of each language, the lowest
+hashes of key and text; about a quarter more come to the driver, whatever the table's size. Equal rows count once, so an id that many rows share
+is no hot spot. Texts are featurised whole on the executors; only the sample's hashed features come to the driver, and the weights,
 BUCKETS by languages, go back. A text that is null or has no letter is `und` with score 0. Without any labelled row
 every text is `und`. With one language, every text with a letter is that language.
 """
@@ -160,26 +161,28 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, beta
 
 
 def train(df: DataFrame, key: str, text: str, lang: str, eligible: Column, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on the eligible rows with a language, at most about per_language of each."""
-    rows = small_batches(df).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"), eligible.alias("_ok")).where("_ok AND _lang IS NOT NULL AND _text IS NOT NULL")
-    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    """Fit on the eligible rows with a language, at most per_language of each."""
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"), eligible.alias("_ok")).where("_ok AND _lang IS NOT NULL AND _text IS NOT NULL")
+    hashed = rows.select("_text", "_lang", F.xxhash64("_key", "_text").alias("_order"))
+    # Different rows of each language, about; then a range of hashes that holds a quarter more than are wanted.
+    counts = {r["_lang"]: r["n"] for r in hashed.groupBy("_lang").agg(F.approx_count_distinct("_order").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return fit([])
-    million = 1_000_000
-    bar = F.create_map(*[F.lit(x) for lang_, n in counts.items() for x in (lang_, min(million, -(-per_language * million // n)))])
-    chosen = rows.where(F.pmod(F.xxhash64("_key", F.lit(5)), F.lit(million)) < F.element_at(bar, F.col("_lang")))
+    top = {lang_: min(2**63 - 1, -(2**63) + (5 * per_language * 2**64) // (4 * max(1, n))) for lang_, n in counts.items()}
+    bar = F.create_map(*[F.lit(x) for lang_, n in sorted(top.items()) for x in (lang_, F.lit(n).cast("long"))])
+    # Equal rows have one hash and count once, each task's copies before the shuffle.
+    chosen = hashed.where(F.col("_order") <= F.element_at(bar, F.col("_lang"))).dropDuplicates(["_lang", "_order"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             both = [features(t) for t in b["_text"]]
             yield pd.DataFrame({"lang": b["_lang"], "order": b["_order"], "buckets": [x.astype("<i4").tobytes() for x, _ in both], "shares": [x.astype("<f4").tobytes() for _, x in both]})
 
-    got = (
-        chosen.select("_text", "_lang", F.xxhash64("_key", "_text").alias("_order"))
-        .mapInPandas(run, "lang string, order long, buckets binary, shares binary").toPandas().sort_values(["order", "lang"], kind="stable")
-    )
+    with small_batches(df.sparkSession):
+        got = chosen.mapInPandas(run, "lang string, order long, buckets binary, shares binary").toPandas().sort_values(["order", "lang"], kind="stable")
+    got = got.groupby("lang", sort=False).head(per_language)
     return fit([(lang_, np.frombuffer(a, "<i4"), np.frombuffer(b, "<f4")) for lang_, a, b in zip(got["lang"], got["buckets"], got["shares"], strict=True)])
 
 
@@ -192,7 +195,7 @@ def predict(df: DataFrame, text: str, model: Model) -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return small_batches(df).select(*names, run(F.col(text)).alias("_lk_found")).select(*names, "_lk_found.lang_pred", "_lk_found.score")
+    return df.select(*names, run(F.col(text)).alias("_lk_found")).select(*names, "_lk_found.lang_pred", "_lk_found.score")
 
 
 def held_out(key: Column) -> Column:

@@ -8,13 +8,18 @@ often they occur) is at least `threshold`; a class is a connected component of l
 2. Sets that agree on all rows of a band meet in a bucket. First every member is compared, by signature, with the
    bucket's member that meets most others in all buckets. Pairs that the signatures leave possible are checked exactly, on
    shingles made anew from the texts, and the links' components become known.
-3. A bucket stays open while the members that have not led it are of two or more components. In each round up to LEADERS
-   members outside the commonest component lead: each is compared with all that have not led, every possible pair of two
-   components is checked exactly, the components grow, and the leaders leave. So each pair of a bucket is
-   compared unless exact links already join it, no bucket or member is dropped, and the order of leaders cannot change a class.
+3. A bucket stays open while the members that have not led it are of two or more components. In each round some members
+   outside the commonest component lead (few at first, LEADERS at most): each is compared with all that have not led, every
+   possible pair of two components is checked exactly, the components grow, and the leaders leave. So each pair of a bucket
+   is compared unless exact links already join it, no bucket or member is dropped, and the order of leaders cannot change a class.
+
+A pair is possible if its signatures agree nearly often enough (four standard errors), and if the histograms of its sets
+allow it: both sets' weights are summed in BINS hashed bins, and what two sets share cannot be more than the sum of the
+bins' smaller values. That bound is exact, so it never costs a link, and it leaves few false pairs among texts of one template.
 
 A null text counts as empty. Texts without a word are alike only if they are equal. A text with fewer words than
-`width` is one shingle. Rows without an id are in no class (class_id null). Rows that repeat
+`width` is one shingle. Very long texts are hashed whole, about 1 MB of text at a time and never less than one text. Ties between
+leaders go to the smaller key. Extra columns are not read, whatever their names, but a key or text column is named by the caller. Rows without an id are in no class (class_id null). Rows that repeat
 an id are judged by their own texts; two classes with the same smallest id have the same name, and differ in `_label` of `members`.
 An empty table has no classes.
 """
@@ -38,7 +43,10 @@ WIDTH, THRESHOLD = 5, 0.8
 # Coordinates are dealt into bands of ROWS in DEALS different ways: 64 bands of 8. Two texts that share a passage but little
 # else seldom agree on 8 coordinates; two at the threshold miss all bands with a chance below one in a thousand.
 COORDINATES, ROWS, DEALS = 128, 8, 4
-LEADERS, MEMBERS = 256, 256
+BINS = 256
+FIRST_LEADERS, LEADERS, MEMBERS = 16, 256, 256
+# Up to this many texts of candidate pairs are named to all tasks (about 60 bytes each), so that the other texts stay where they are.
+BROADCAST_TEXTS = 20_000
 # Four standard errors of a signature's estimate at the threshold.
 SLACK = 4 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
 
@@ -79,7 +87,7 @@ def _text_slices(batch: pd.DataFrame, column: str, most: int = 1 << 20) -> Itera
 
 
 def fingerprints(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """_id, _hash (of the text), _set (fingerprint of the weighted set), _sig (null for texts without a word)."""
+    """_id, _hash (of the text), _set (fingerprint of the weighted set), _sig (signature and histogram; null for texts without a word)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -90,8 +98,8 @@ def fingerprints(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 for t, (elements, counts) in zip(texts, weighted_sets(texts, width), strict=True):
                     data = elements.tobytes() + counts.tobytes() if len(elements) else b"\0" + t.encode("utf-8", "surrogatepass")
                     prints.append(hashlib.blake2b(data, digest_size=16).digest())
-                    signs.append(signature(elements, counts, COORDINATES) if len(elements) else None)
-                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "_hash": part["_hash"].to_numpy(), "_set": prints, "_sig": [None if s is None else s.tobytes() for s in signs]})
+                    signs.append(signature(elements, counts, COORDINATES).tobytes() + histogram(elements, counts).tobytes() if len(elements) else None)
+                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "_hash": part["_hash"].to_numpy(), "_set": prints, "_sig": signs})
 
     return _rows(df, key, text).where("_id IS NOT NULL").mapInPandas(run, "_id long, _hash string, _set binary, _sig binary")
 
@@ -105,8 +113,27 @@ def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("_id"), text_hash(text).alias("_hash"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
 
-def _sigs(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(len(column), COORDINATES)
+def histogram(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The weight in each bin. A bin beyond 16 bits is full: such a set has no bound."""
+    return np.minimum(np.bincount((elements >> np.uint64(32)).astype(np.int64) % BINS, counts, BINS), 0xFFFF).astype(np.uint16)
+
+
+def _sketches(column) -> tuple[np.ndarray, np.ndarray]:
+    """(n, COORDINATES) signatures and (n, BINS) histograms."""
+    both = np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), 4 * COORDINATES + 2 * BINS)
+    return np.ascontiguousarray(both[:, : 4 * COORDINATES]).view(np.uint32), np.ascontiguousarray(both[:, 4 * COORDINATES :]).view(np.uint16)
+
+
+def possible(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """Whether each row of a may be alike with the row of b beside it (or with the only one): by estimate, and by the bound of the histograms."""
+    out = (a[0] == b[0]).sum(axis=1) >= (threshold - SLACK) * COORDINATES
+    at = np.flatnonzero(out)
+    x, y = a[1][at], b[1][at] if len(b[1]) == len(out) else b[1]
+    shared = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    whole = x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64) - shared
+    full = (x.max(axis=1, initial=0) == 0xFFFF) | (y.max(axis=1, initial=0) == 0xFFFF)
+    out[at] = full | (shared >= threshold * whole - 1e-6)
+    return out
 
 
 def bands(sets: DataFrame) -> DataFrame:
@@ -115,7 +142,7 @@ def bands(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"_id": b["_id"].to_numpy(), "_b": list(band_keys(_sigs(b["_sig"])))})
+                yield pd.DataFrame({"_id": b["_id"].to_numpy(), "_b": list(band_keys(_sketches(b["_sig"])[0]))})
 
     return sets.select("_id", "_sig").mapInPandas(run, "_id long, _b array<long>").select("_id", F.explode("_b").alias("_bucket"))
 
@@ -136,17 +163,16 @@ def linked(texts: DataFrame, sets: DataFrame, width: int, threshold: float) -> D
         .join(sigs.drop("_degree"), "_id").join(sigs.select(F.col("_id").alias("_leader"), F.col("_sig").alias("_other")), "_leader")
     )
 
-    def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield b[["_id", "_leader"]].assign(_s=(_sigs(b["_sig"]) == _sigs(b["_other"])).mean(axis=1))
+                yield b[["_id", "_leader"]][possible(_sketches(b["_sig"]), _sketches(b["_other"]), threshold)]
 
-    possible = first.mapInPandas(estimate, "_id long, _leader long, _s double").where(F.col("_s") >= threshold - SLACK)
-    checked = cut(possible.select(F.least("_leader", "_id").alias("a"), F.greatest("_leader", "_id").alias("b")).distinct())
+    checked = cut(first.mapInPandas(sieve, "_id long, _leader long").select(F.least("_leader", "_id").alias("a"), F.greatest("_leader", "_id").alias("b")).distinct())
     alike = cut(links(texts, checked, width, threshold).select("a", "b"))
     labels = components(alike).toDF("_id", "_label")
     # The members that have not led their bucket.
-    state = met.select("_bucket", "_id")
+    state, leaders_now = met.select("_bucket", "_id"), FIRST_LEADERS
     while True:
         state = state.join(labels, "_id", "left").select("_bucket", "_id", F.coalesce("_label", "_id").alias("_label"))
         open_ = state.groupBy("_bucket").agg(F.min("_label").alias("_least"), F.max("_label").alias("_most"), F.count(F.lit(1)).alias("_n")).where("_least <> _most").select("_bucket", "_n")
@@ -155,8 +181,8 @@ def linked(texts: DataFrame, sets: DataFrame, width: int, threshold: float) -> D
             return labels
         common = state.groupBy("_bucket", "_label").agg(F.count(F.lit(1)).alias("_c")).groupBy("_bucket").agg(F.max(F.struct("_c", "_label")).alias("_m")).select("_bucket", F.col("_m._label").alias("_common"))
         order = Window.partitionBy("_bucket").orderBy(F.col("_degree").desc(), "_id")
-        leading = state.join(common, "_bucket").where("_label <> _common").join(degrees, "_id").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= LEADERS)
-        leading = cut(leading.select("_bucket", "_id", "_label"))
+        leading = state.join(common, "_bucket").where("_label <> _common").join(degrees, "_id").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= leaders_now)
+        leading, leaders_now = cut(leading.select("_bucket", "_id", "_label")), min(LEADERS, 4 * leaders_now)
         fresh = cut(_round(state, leading, sigs.drop("_degree"), threshold).distinct().join(checked, ["a", "b"], "left_anti"))
         state = state.join(leading.select("_bucket", "_id"), ["_bucket", "_id"], "left_anti").select("_bucket", "_id")
         if fresh.isEmpty():
@@ -178,10 +204,11 @@ def _round(state: DataFrame, leading: DataFrame, sigs: DataFrame, threshold: flo
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lead, members in zip(batch["_lead"], batch["_members"], strict=True):
-                ids, labels, sig = np.array([x["_id"] for x in lead]), np.array([x["_label"] for x in lead]), _sigs([x["_sig"] for x in lead])
+                ids, labels, sketches = np.array([x["_id"] for x in lead]), np.array([x["_label"] for x in lead]), _sketches([x["_sig"] for x in lead])
                 left, right = [], []
-                for x, s in zip(members, _sigs([x["_sig"] for x in members]), strict=True):
-                    near = ids[((sig == s).mean(axis=1) >= threshold - SLACK) & (labels != x["_label"])]
+                signatures, histograms = _sketches([x["_sig"] for x in members])
+                for i, x in enumerate(members):
+                    near = ids[possible(sketches, (signatures[i : i + 1], histograms[i : i + 1]), threshold) & (labels != x["_label"])]
                     left += np.minimum(near, x["_id"]).tolist()
                     right += np.maximum(near, x["_id"]).tolist()
                 yield pd.DataFrame({"a": np.array(left, dtype=np.int64), "b": np.array(right, dtype=np.int64)})
@@ -195,7 +222,9 @@ def links(texts: tuple[DataFrame, DataFrame], pairs: DataFrame, width: int, thre
     texts: rows (_id, _hash, _text), and the row that stands for each set (_key, _id, _hash).
     """
     rows, owners = texts
-    wanted = owners.join(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct(), "_key")
+    wanted = cut(owners.join(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct(), "_key"))
+    if wanted.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
+        wanted = F.broadcast(wanted)
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -204,7 +233,9 @@ def links(texts: tuple[DataFrame, DataFrame], pairs: DataFrame, width: int, thre
                 both = list(weighted_sets(part["_text"].tolist(), width))
                 yield pd.DataFrame({"_id": part["_key"].to_numpy(), "_e": [e.tobytes() for e, _ in both], "_c": [c.astype(np.float32).tobytes() for _, c in both]})
 
-    sets = cut(rows.join(wanted, ["_id", "_hash"]).select("_key", "_text").mapInPandas(cover, "_id long, _e binary, _c binary").dropDuplicates(["_id"]))
+    # Rows that repeat an id and a text are cut to one before their shingles are made; where both were shuffled, they already stand together.
+    once = rows.join(wanted, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"])
+    sets = cut(once.select("_key", "_text").mapInPandas(cover, "_id long, _e binary, _c binary"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def view(e: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +251,11 @@ def links(texts: tuple[DataFrame, DataFrame], pairs: DataFrame, width: int, thre
 
 def members(df: DataFrame, key: str, text: str, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """_id, _hash, _label, class_id for each row of df with an id: its class has one _label, and class_id is the smallest id in it."""
-    df = small_batches(df)
+    with small_batches(df.sparkSession):
+        return _members(df, key, text, width, threshold)
+
+
+def _members(df: DataFrame, key: str, text: str, width: int, threshold: float) -> DataFrame:
     prints = cut(fingerprints(df, key, text, width))
     firsts = prints.groupBy("_set").agg(F.min(F.struct("_id", "_hash")).alias("_m")).select("_set", "_m.*")
     # A key of its own for each set: two sets may have the same smallest id.

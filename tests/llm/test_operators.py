@@ -314,6 +314,47 @@ def test_template_groups_without_a_hub_equal_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def around_a_passage(pairs):
+    """Pairs of texts with one long passage: about 0.85 alike inside a pair, 0.77 to all others."""
+    r = np.random.default_rng(17)
+    passage, rows = r.choice([f"p{i}" for i in range(4000)], 200).tolist(), []
+    for i in range(pairs):
+        tail = [f"t{i}_{j}" for j in range(30)]
+        for k in range(2):
+            own = list(tail)
+            for at in (5 + 3 * k, 15 + 4 * k, 25 + k):
+                own[at] = f"c{i}_{k}_{at}"
+            rows.append((len(rows), " ".join(passage + own)))
+    return rows
+
+
+def test_no_pair_around_a_shared_passage_is_lost(spark):
+    rows = around_a_passage(250)
+    sets = list(neardup.weighted_sets([t for _, t in rows], 5))
+    assert neardup.similarity(sets[0], sets[1]) >= 0.8 > neardup.similarity(sets[0], sets[2])
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}
+
+
+def test_the_histogram_bound_never_excludes_an_alike_pair():
+    r = np.random.default_rng(3)
+    for n in (1, 7, 100, 3000):
+        base = r.integers(0, 2**63, n).astype(np.uint64)
+        for share in (0.0, 0.05, 0.11, 0.3):
+            other = np.where(r.random(n) < share, r.integers(0, 2**63, n).astype(np.uint64), base)
+            (a, ca), (b, cb) = (np.unique(x, return_counts=True) for x in (base, other))
+            h = [neardup.histogram(x, c).astype(np.int64) for x, c in ((a, ca), (b, cb))]
+            shared = np.minimum(*h).sum()
+            assert shared / (h[0].sum() + h[1].sum() - shared) >= neardup.similarity((a, ca.astype(float)), (b, cb.astype(float)))
+
+
+def test_settings_of_the_session_come_back(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    neardup.classes(spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string"), "doc_id", "text").count()
+    assert spark.conf.get(name) == before
+
+
 def test_texts_that_share_an_id_have_their_own_classes(spark):
     import corpus_pipeline
 
