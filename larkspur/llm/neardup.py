@@ -43,10 +43,10 @@ WIDTH, THRESHOLD = 5, 0.8
 # Coordinates are dealt into bands of ROWS in DEALS different ways: 64 bands of 8. Two texts that share a passage but little
 # else seldom agree on 8 coordinates; two at the threshold miss all bands with a chance below one in a thousand.
 COORDINATES, ROWS, DEALS = 128, 8, 4
-BINS = 256
-FIRST_LEADERS, LEADERS, MEMBERS = 16, 256, 256
+BINS, FULL = 256, 255
+FIRST_LEADERS, LEADERS, MEMBERS = 64, 256, 256
 # Up to this many texts of candidate pairs are named to all tasks (about 60 bytes each), so that the other texts stay where they are.
-BROADCAST_TEXTS = 20_000
+BROADCAST_TEXTS = 10_000
 # Four standard errors of a signature's estimate at the threshold.
 SLACK = 4 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
 
@@ -87,21 +87,23 @@ def _text_slices(batch: pd.DataFrame, column: str, most: int = 1 << 20) -> Itera
 
 
 def fingerprints(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """_id, _hash (of the text), _set (fingerprint of the weighted set), _sig (signature and histogram; null for texts without a word)."""
+    """_id, _hash (of the text), _set (fingerprint of the weighted set), _sig and _sketch (null for texts without a word)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in _text_slices(batch, "_text"):
                 part = batch.iloc[a:b]
                 texts = part["_text"].tolist()
-                prints, signs = [], []
+                prints, signs, sketches = [], [], []
                 for t, (elements, counts) in zip(texts, weighted_sets(texts, width), strict=True):
                     data = elements.tobytes() + counts.tobytes() if len(elements) else b"\0" + t.encode("utf-8", "surrogatepass")
                     prints.append(hashlib.blake2b(data, digest_size=16).digest())
-                    signs.append(signature(elements, counts, COORDINATES).tobytes() + histogram(elements, counts).tobytes() if len(elements) else None)
-                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "_hash": part["_hash"].to_numpy(), "_set": prints, "_sig": signs})
+                    own = signature(elements, counts, COORDINATES) if len(elements) else None
+                    signs.append(None if own is None else own.tobytes())
+                    sketches.append(None if own is None else sketch(elements, counts, own))
+                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "_hash": part["_hash"].to_numpy(), "_set": prints, "_sig": signs, "_sketch": sketches})
 
-    return _rows(df, key, text).where("_id IS NOT NULL").mapInPandas(run, "_id long, _hash string, _set binary, _sig binary")
+    return _rows(df, key, text).where("_id IS NOT NULL").mapInPandas(run, "_id long, _hash string, _set binary, _sig binary, _sketch binary")
 
 
 def text_hash(text: str) -> Column:
@@ -113,15 +115,16 @@ def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("_id"), text_hash(text).alias("_hash"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
 
-def histogram(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The weight in each bin. A bin beyond 16 bits is full: such a set has no bound."""
-    return np.minimum(np.bincount((elements >> np.uint64(32)).astype(np.int64) % BINS, counts, BINS), 0xFFFF).astype(np.uint16)
+def sketch(elements: np.ndarray, counts: np.ndarray, own: np.ndarray) -> bytes:
+    """The low byte of each coordinate of the signature `own`, and the weight in each bin. A bin beyond 8 bits is full: such a set has no bound."""
+    bins = np.minimum(np.bincount((elements >> np.uint64(32)).astype(np.int64) % BINS, counts, BINS), FULL)
+    return own.astype(np.uint8).tobytes() + bins.astype(np.uint8).tobytes()
 
 
 def _sketches(column) -> tuple[np.ndarray, np.ndarray]:
-    """(n, COORDINATES) signatures and (n, BINS) histograms."""
-    both = np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), 4 * COORDINATES + 2 * BINS)
-    return np.ascontiguousarray(both[:, : 4 * COORDINATES]).view(np.uint32), np.ascontiguousarray(both[:, 4 * COORDINATES :]).view(np.uint16)
+    """(n, COORDINATES) bytes of signatures and (n, BINS) histograms."""
+    both = np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), COORDINATES + BINS)
+    return np.ascontiguousarray(both[:, :COORDINATES]), np.ascontiguousarray(both[:, COORDINATES:])
 
 
 def possible(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
@@ -131,7 +134,7 @@ def possible(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     x, y = a[1][at], b[1][at] if len(b[1]) == len(out) else b[1]
     shared = np.minimum(x, y).sum(axis=1, dtype=np.int64)
     whole = x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64) - shared
-    full = (x.max(axis=1, initial=0) == 0xFFFF) | (y.max(axis=1, initial=0) == 0xFFFF)
+    full = (x.max(axis=1, initial=0) == FULL) | (y.max(axis=1, initial=0) == FULL)
     out[at] = full | (shared >= threshold * whole - 1e-6)
     return out
 
@@ -142,13 +145,13 @@ def bands(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"_id": b["_id"].to_numpy(), "_b": list(band_keys(_sketches(b["_sig"])[0]))})
+                yield pd.DataFrame({"_id": b["_id"].to_numpy(), "_b": list(band_keys(np.frombuffer(b"".join(b["_sig"]), dtype=np.uint32).reshape(len(b), COORDINATES)))})
 
     return sets.select("_id", "_sig").mapInPandas(run, "_id long, _b array<long>").select("_id", F.explode("_b").alias("_bucket"))
 
 
 def linked(texts: DataFrame, sets: DataFrame, width: int, threshold: float) -> DataFrame:
-    """_id, _label: the smallest set of each linked set's component. sets: _id, _sig. texts: see links."""
+    """_id, _label: the smallest set of each linked set's component. sets: _id, _sig, _sketch. texts: see links."""
     spots = bands(sets)
     sizes = spots.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     shared = cut(spots.join(sizes, "_bucket"))
@@ -157,16 +160,16 @@ def linked(texts: DataFrame, sets: DataFrame, width: int, threshold: float) -> D
     ranked = cut(shared.drop("_n").join(degrees, "_id"))
     leaders = ranked.groupBy("_bucket").agg(F.max(F.struct(F.col("_degree").alias("d"), (-F.col("_id")).alias("i"))).alias("_m")).select("_bucket", (-F.col("_m.i")).alias("_leader"))
     met = cut(ranked.join(leaders, "_bucket").where("_id <> _leader"))
-    sigs = cut(sets.select("_id", "_sig").join(degrees, "_id"))
+    sigs = cut(sets.select("_id", "_sketch").join(degrees, "_id"))
     first = (
         met.select("_id", "_leader").distinct()
-        .join(sigs.drop("_degree"), "_id").join(sigs.select(F.col("_id").alias("_leader"), F.col("_sig").alias("_other")), "_leader")
+        .join(sigs.drop("_degree"), "_id").join(sigs.select(F.col("_id").alias("_leader"), F.col("_sketch").alias("_other")), "_leader")
     )
 
     def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield b[["_id", "_leader"]][possible(_sketches(b["_sig"]), _sketches(b["_other"]), threshold)]
+                yield b[["_id", "_leader"]][possible(_sketches(b["_sketch"]), _sketches(b["_other"]), threshold)]
 
     checked = cut(first.mapInPandas(sieve, "_id long, _leader long").select(F.least("_leader", "_id").alias("a"), F.greatest("_leader", "_id").alias("b")).distinct())
     alike = cut(links(texts, checked, width, threshold).select("a", "b"))
@@ -195,18 +198,18 @@ def linked(texts: DataFrame, sets: DataFrame, width: int, threshold: float) -> D
 
 def _round(state: DataFrame, leading: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     """One round of the open buckets: every pair (a, b) of a leader and a member of another component that may be alike."""
-    leaders = leading.join(sigs, "_id").groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct("_id", "_label", "_sig"))).alias("_lead"))
+    leaders = leading.join(sigs, "_id").groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct("_id", "_label", "_sketch"))).alias("_lead"))
     members = (
         state.join(sigs, "_id").withColumn("_part", F.pmod(F.xxhash64("_id"), F.ceil(F.col("_n") / MEMBERS)))
-        .groupBy("_bucket", "_part").agg(F.collect_list(F.struct("_id", "_label", "_sig")).alias("_members"))
+        .groupBy("_bucket", "_part").agg(F.collect_list(F.struct("_id", "_label", "_sketch")).alias("_members"))
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lead, members in zip(batch["_lead"], batch["_members"], strict=True):
-                ids, labels, sketches = np.array([x["_id"] for x in lead]), np.array([x["_label"] for x in lead]), _sketches([x["_sig"] for x in lead])
+                ids, labels, sketches = np.array([x["_id"] for x in lead]), np.array([x["_label"] for x in lead]), _sketches([x["_sketch"] for x in lead])
                 left, right = [], []
-                signatures, histograms = _sketches([x["_sig"] for x in members])
+                signatures, histograms = _sketches([x["_sketch"] for x in members])
                 for i, x in enumerate(members):
                     near = ids[possible(sketches, (signatures[i : i + 1], histograms[i : i + 1]), threshold) & (labels != x["_label"])]
                     left += np.minimum(near, x["_id"]).tolist()
@@ -260,7 +263,7 @@ def _members(df: DataFrame, key: str, text: str, width: int, threshold: float) -
     firsts = prints.groupBy("_set").agg(F.min(F.struct("_id", "_hash")).alias("_m")).select("_set", "_m.*")
     # A key of its own for each set: two sets may have the same smallest id.
     firsts = cut(firsts.withColumn("_key", F.monotonically_increasing_id()))
-    sets = cut(prints.where("_sig IS NOT NULL").join(firsts, ["_set", "_id", "_hash"]).dropDuplicates(["_key"]).select(F.col("_key").alias("_id"), "_sig"))
+    sets = cut(prints.where("_sig IS NOT NULL").join(firsts, ["_set", "_id", "_hash"]).dropDuplicates(["_key"]).select(F.col("_key").alias("_id"), "_sig", "_sketch"))
     texts = _rows(df, key, text), firsts.select("_key", "_id", "_hash")
     named = cut(linked(texts, sets, width, threshold).toDF("_key", "_label").join(firsts.select("_key", "_id"), "_key"))
     least = named.groupBy("_label").agg(F.min("_id").alias("_least"))

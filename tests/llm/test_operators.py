@@ -343,9 +343,10 @@ def test_the_histogram_bound_never_excludes_an_alike_pair():
         for share in (0.0, 0.05, 0.11, 0.3):
             other = np.where(r.random(n) < share, r.integers(0, 2**63, n).astype(np.uint64), base)
             (a, ca), (b, cb) = (np.unique(x, return_counts=True) for x in (base, other))
-            h = [neardup.histogram(x, c).astype(np.int64) for x, c in ((a, ca), (b, cb))]
-            shared = np.minimum(*h).sum()
-            assert shared / (h[0].sum() + h[1].sum() - shared) >= neardup.similarity((a, ca.astype(float)), (b, cb.astype(float)))
+            one = np.zeros(neardup.COORDINATES, dtype=np.uint32)
+            both = [neardup._sketches([neardup.sketch(x, c.astype(float), one)]) for x, c in ((a, ca), (b, cb))]
+            alike = neardup.similarity((a, ca.astype(float)), (b, cb.astype(float))) >= 0.8
+            assert neardup.possible(*both, 0.8)[0] or not alike
 
 
 def test_settings_of_the_session_come_back(spark):
