@@ -43,7 +43,7 @@ WIDTH, THRESHOLD = 5, 0.8
 # Coordinates are dealt into bands of ROWS in DEALS different ways: 64 bands of 8. Two texts that share a passage but little
 # else seldom agree on 8 coordinates; two at the threshold miss all bands with a chance below one in a thousand.
 COORDINATES, ROWS, DEALS = 128, 8, 4
-BINS, FULL = 256, 255
+BINS, FULL = 256, 0xFFFF
 FIRST_LEADERS, LEADERS, MEMBERS = 64, 256, 256
 # Up to this many texts of candidate pairs are named to all tasks (about 60 bytes each), so that the other texts stay where they are.
 BROADCAST_TEXTS = 10_000
@@ -116,15 +116,19 @@ def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sketch(elements: np.ndarray, counts: np.ndarray, own: np.ndarray) -> bytes:
-    """The low byte of each coordinate of the signature `own`, and the weight in each bin. A bin beyond 8 bits is full: such a set has no bound."""
-    bins = np.minimum(np.bincount((elements >> np.uint64(32)).astype(np.int64) % BINS, counts, BINS), FULL)
-    return own.astype(np.uint8).tobytes() + bins.astype(np.uint8).tobytes()
+    """The low byte of each coordinate of the signature `own`, and the weight in each bin. A bin beyond 16 bits is full: such a set has no bound.
+
+    The bins' high bytes, nearly all 0, stand by themselves, so that they cost little once compressed.
+    """
+    bins = np.minimum(np.bincount((elements >> np.uint64(32)).astype(np.int64) % BINS, counts, BINS), FULL).astype("<u2")
+    return own.astype(np.uint8).tobytes() + bins.view(np.uint8).reshape(BINS, 2).T.tobytes()
 
 
 def _sketches(column) -> tuple[np.ndarray, np.ndarray]:
     """(n, COORDINATES) bytes of signatures and (n, BINS) histograms."""
-    both = np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), COORDINATES + BINS)
-    return np.ascontiguousarray(both[:, :COORDINATES]), np.ascontiguousarray(both[:, COORDINATES:])
+    both = np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), COORDINATES + 2 * BINS)
+    low, high = both[:, COORDINATES : COORDINATES + BINS], both[:, COORDINATES + BINS :]
+    return np.ascontiguousarray(both[:, :COORDINATES]), low + high.astype(np.uint16) * np.uint16(256)
 
 
 def possible(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
