@@ -45,7 +45,7 @@ WIDTH, THRESHOLD = 5, 0.8
 COORDINATES, ROWS, DEALS = 128, 8, 4
 BINS, FULL = 256, 0xFFFF
 FIRST_LEADERS, LEADERS, MEMBERS = 64, 256, 256
-# Up to this many texts of candidate pairs are named to all tasks (about 60 bytes each), so that the other texts stay where they are.
+# In the rounds, up to this many texts of candidate pairs are named to all tasks (about 60 bytes each), so that the other texts stay where they are.
 BROADCAST_TEXTS = 10_000
 # Four standard errors of a signature's estimate at the threshold.
 SLACK = 4 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
@@ -195,7 +195,7 @@ def linked(texts: DataFrame, sets: DataFrame, width: int, threshold: float) -> D
         if fresh.isEmpty():
             continue
         checked = checked.unionByName(fresh)
-        alike = cut(links(texts, fresh, width, threshold).select("a", "b"))
+        alike = cut(links(texts, fresh, width, threshold, few=True).select("a", "b"))
         if not alike.isEmpty():
             labels = components(labels.toDF("a", "b").unionByName(alike)).toDF("_id", "_label")
 
@@ -223,14 +223,15 @@ def _round(state: DataFrame, leading: DataFrame, sigs: DataFrame, threshold: flo
     return members.join(leaders, "_bucket").select("_lead", "_members").mapInPandas(run, "a long, b long")
 
 
-def links(texts: tuple[DataFrame, DataFrame], pairs: DataFrame, width: int, threshold: float) -> DataFrame:
+def links(texts: tuple[DataFrame, DataFrame], pairs: DataFrame, width: int, threshold: float, few: bool = False) -> DataFrame:
     """The pairs (a, b) of sets that are alike, with their similarity. Texts are shuffled once, and only the shingles of those in a pair go on.
+    With `few`, texts of pairs are counted first, and up to BROADCAST_TEXTS of them are found without a shuffle.
 
     texts: rows (_id, _hash, _text), and the row that stands for each set (_key, _id, _hash).
     """
     rows, owners = texts
     wanted = cut(owners.join(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct(), "_key"))
-    if wanted.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
+    if few and wanted.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
         wanted = F.broadcast(wanted)
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
