@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.sampling import bar
 from larkspur.llm.store import small_batches
 
 UND = "und"
@@ -170,10 +171,9 @@ def train(df: DataFrame, key: str, text: str, lang: str, eligible: Column, per_l
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return fit([])
-    top = {lang_: min(2**63 - 1, -(2**63) + (5 * per_language * 2**64) // (4 * max(1, n))) for lang_, n in counts.items()}
-    bar = F.create_map(*[F.lit(x) for lang_, n in sorted(top.items()) for x in (lang_, F.lit(n).cast("long"))])
+    bars = F.create_map(*[F.lit(x) for lang_, n in sorted(counts.items()) for x in (lang_, F.lit(bar(n, per_language)).cast("long"))])
     # Equal rows have one hash and count once, each task's copies before the shuffle.
-    chosen = hashed.where(F.col("_order") <= F.element_at(bar, F.col("_lang"))).dropDuplicates(["_lang", "_order"])
+    chosen = hashed.where(F.col("_order") <= F.element_at(bars, F.col("_lang"))).dropDuplicates(["_lang", "_order"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

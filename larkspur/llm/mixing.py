@@ -14,9 +14,9 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.ranks import gapless
+from larkspur.llm.ranks import gapless, unfold
 
-MAX_SOURCES = 10_000
+MAX_SOURCES = 500
 RESOLUTION = 1_000
 NO_SOURCE = "\u0000none"
 
@@ -98,22 +98,28 @@ def plan(rows: dict[str, int], parts: dict[str, int], block_rows: int) -> list[t
 def mix(df: DataFrame, source: str, key: str, text: str | None = None, weights: dict[str, float] | None = None, block_rows: int = 32) -> DataFrame:
     """df with its place in the mixture: block (in its source), phase, slot and position (gapless from 0), all long or int.
 
-    Target weights default to equal ones; a source not named gets weight 1. A null source counts as one source of
-    its own. Inside a source, rows go in the order of a hash of key (and text): a fixed shuffle. Rows that are equal
-    in key and text are interchangeable. An empty table gives an empty table. Only the sources' row counts, at most
-    MAX_SOURCES of them, come to the driver. Columns named like a new one are replaced.
+    Target weights default to equal ones; a source not named gets weight 1. Weights are rounded to thousandths of their sum, and a smaller
+    one counts as a thousandth. A null source counts as one source of its own. Inside a source, rows go in the order of a hash of
+    the whole row, of key and text first: a fixed shuffle. Equal rows are counted before the shuffle and unfolded after it, so a row that is a
+    third of a table is no hot spot; their positions are interchangeable. Rows that share a key, also a null one, are spread by their
+    other columns. A very long text is shuffled with its row: give its hash instead, as the query does. An empty table gives an empty table.
+    Only the sources' row counts come to the driver, of at most MAX_SOURCES sources: their schedule has a row for each source and phase,
+    125,000 rows and a period of 1,500 slots for each at most. Columns named like a new one are replaced. Maps cannot be columns.
     """
-    named = df.drop("block", "phase", "slot", "position").withColumn("_lk_source", F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)))
+    named = df.drop("block", "phase", "slot", "position")
+    names = named.columns
+    named = named.withColumn("_lk_source", F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)))
     counts = {r["_lk_source"]: r["n"] for r in named.groupBy("_lk_source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
     target = {s: (weights or {}).get(s, 1.0) for s in counts}
     phases = plan(counts, shares(target) if target else {}, block_rows)
     schedule = df.sparkSession.createDataFrame(phases, "_lk_source string, phase int, _lk_first long, _lk_blocks long, _lk_base long, _lk_rows long, _lk_period long, _lk_slots array<int>")
-    spread = F.xxhash64(*[F.col(c) for c in ([key, text] if text else [key])])
-    ranked = gapless(named.withColumn("_lk_spread", spread), ["_lk_source"], F.col("_lk_spread"), ["_lk_spread", key], out="_lk_rank")
+    whole = named.groupBy(*names, "_lk_source").agg(F.count(F.lit(1)).alias("_lk_copies"))
+    spread = F.xxhash64(*[F.col(c) for c in [key, *([text] if text else []), *names]])
+    ranked = gapless(whole.withColumn("_lk_spread", spread), ["_lk_source"], F.col("_lk_spread"), ["_lk_spread", *names], copies="_lk_copies", out="_lk_first_rank")
     placed = (
-        ranked.withColumn("block", F.floor(F.col("_lk_rank") / block_rows).cast("long"))
+        unfold(ranked, "_lk_copies", "_lk_first_rank", "_lk_rank").withColumn("block", F.floor(F.col("_lk_rank") / block_rows).cast("long"))
         .join(schedule, "_lk_source")
         .where("block >= _lk_first AND block < _lk_first + _lk_blocks")
     )
@@ -123,5 +129,5 @@ def mix(df: DataFrame, source: str, key: str, text: str | None = None, weights:
         placed.withColumn("_lk_at", at)
         .withColumn("slot", F.col("_lk_base") + F.col("_lk_at"))
         .withColumn("position", F.col("_lk_rows") + F.col("_lk_at") * block_rows + F.col("_lk_rank") % block_rows)
-        .select(*[c for c in df.columns if c not in ("block", "phase", "slot", "position")], "block", "phase", "slot", "position")
+        .select(*names, "block", "phase", "slot", "position")
     )

@@ -31,3 +31,16 @@ def gapless(df: DataFrame, group: list[str], spread: Column, order: list, copies
         .withColumn(out, (F.col("_lk_offset") + F.col("_lk_inner")).cast("long"))
         .drop("_lk_bucket", "_lk_inner", "_lk_offset")
     )
+
+
+CHUNK = 4096
+
+
+def unfold(df: DataFrame, copies: str, first: str, out: str) -> DataFrame:
+    """One row for each of the `copies` equal rows that a row stands for, numbered in `out` from `first` on.
+
+    Chunks of copies go out to all tasks before they are unfolded, so a row that stands for a third of a table is no hot spot.
+    """
+    chunks = df.withColumn("_lk_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(CHUNK).cast("long")))).hint("rebalance")
+    each = F.explode(F.sequence(F.col("_lk_from"), F.least(F.col("_lk_from") + CHUNK, F.col(copies)) - 1))
+    return chunks.withColumn("_lk_i", each).withColumn(out, (F.col(first) + F.col("_lk_i")).cast("long")).drop("_lk_from", "_lk_i")

@@ -6,7 +6,7 @@ characters with a letter in it; it is a secret if its log-likelihood as a random
 `threshold`. Spans count code points, the end is exclusive.
 
 A null text counts as empty. Spans of one kind do not overlap; spans of different kinds may. Rows are judged one by
-one, so repeated rows give repeated results, and an empty table an empty one.
+one, so repeated rows give repeated results, and an empty table an empty one. A very long text is one string in one task. Other columns stay.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.llm.sampling import lowest
+
 # The patterns of the base kinds, in the order in which spans with the same start are listed.
 ASSIGN = r"""((?i)(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = ("assign", "access", "hex", "markov")
@@ -108,15 +110,19 @@ def train(samples: DataFrame) -> list[float]:
 def labelled(spark: SparkSession, df: DataFrame, key: str, text: str, documents: int = TRAINING_DOCUMENTS, strings: int = RANDOM_STRINGS) -> DataFrame:
     """Labelled samples: text, random.
 
-    Random strings are base64, hexadecimal and upper-case digests of a counter. Ordinary identifiers are all runs of
-    key characters in about `documents` texts, the lowest hashes of the ids, without what a base pattern finds there.
+    Random strings are digests of a counter in base 64 (plain, without marks, for URLs), in lower-case hexadecimal, as a UUID and in upper case. Ordinary
+    identifiers are all runs of key characters in at most `documents` different texts, the lowest hashes of id and text, without what a
+    base pattern finds there; the bound holds at any size, and an id that many rows share is no hot spot.
     """
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
-    source = spark.range(strings).select(F.explode(F.array(F.regexp_replace(F.substring(F.base64(F.unhex(digest)), 1, 40), "=", ""), F.substring(digest, 1, 40), F.upper(F.substring(F.base64(F.unhex(digest)), 1, 20)))).alias("text"))
-    total = max(1, df.count())
-    share = min(1.0, documents / total)
-    chosen = df.select(key, text).where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000))
-    bare = F.coalesce(F.col(text), F.lit(""))
+    plain = F.regexp_replace(F.substring(F.base64(F.unhex(digest)), 1, 40), "=", "")
+    forms = [
+        plain, F.regexp_replace(plain, "[+/]", ""), F.translate(plain, "+/", "-_"), F.substring(digest, 1, 40), F.upper(F.substring(F.base64(F.unhex(digest)), 1, 20)),
+        F.concat_ws("-", *[F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]),
+    ]
+    source = spark.range(strings).select(F.explode(F.array(*forms)).alias("text"))
+    chosen = lowest(df.select(F.col(text).alias("_text"), F.xxhash64(key, text).alias("_hash")), F.col("_hash"), documents)
+    bare = F.coalesce(F.col("_text"), F.lit(""))
     for p in (ASSIGN, ACCESS, HEX):
         bare = F.regexp_replace(bare, p, " ")
     ordinary = chosen.select(F.explode(F.regexp_extract_all(bare, F.lit(r"[A-Za-z0-9+/_=-]{2,}"), F.lit(0))).alias("text"))

@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.ranks import gapless
-
-CHUNK = 4096
+from larkspur.llm.ranks import gapless, unfold
 
 
 def scores(key: Column, weights: list[float]) -> Column:
@@ -41,7 +39,8 @@ def layout(df: DataFrame, key: str, text: str, weights: list[float], grown: list
     size is the UTF-8 bytes of the text and 1 more (a null text counts as empty). Slots are gapless from 0 in each
     shard. `grown` are the weights with one shard more, of which the first ones must be `weights`. Equal rows
     (same key, size and checksum) are counted before the first shuffle, so a key that holds a third of all rows
-    costs one row a task; their numbers are unfolded at the end in chunks of CHUNK that go out to all tasks.
+    costs one row a task; their numbers are unfolded at the end in chunks that go out to all tasks. Very long texts cost a
+    pass over their bytes, and no shuffle has a text in it. An empty table gives an empty one; extra columns are not read.
     """
     if grown[: len(weights)] != weights:
         raise ValueError("growing keeps the weights of the shards there are")
@@ -54,9 +53,5 @@ def layout(df: DataFrame, key: str, text: str, weights: list[float], grown: list
     )
     order = ["_key", "size", "text_crc32"]
     first = gapless(rows, ["shard"], F.xxhash64(*order), order, copies="_copies", out="_first")
-    chunks = first.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(CHUNK).cast("long"))))
-    return (
-        chunks.hint("rebalance")
-        .withColumn("_i", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + CHUNK, F.col("_copies")) - 1)))
-        .select(F.col("_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_first") + F.col("_i")).alias("slot"), "grown_shard")
-    )
+    rows = unfold(first, "_copies", "_first", "slot")
+    return rows.select(F.col("_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -5,7 +5,8 @@ Documents are range-partitioned by key, each partition is encoded and written as
 it, and it appears under that name only when complete, so a repeated task writes the same file again.
 
 A null text is an empty one: its only id is the end id. A null key comes first. Rows with the same key stand in
-the order of their texts. An empty table makes no file.
+the order of a hash of their texts, so that a key with many rows is split like any other range; its equal rows are split by the
+partitions they come from. A very long text is encoded whole in one task. An empty table makes no file. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -229,11 +230,12 @@ def write(df: DataFrame, key: str, text: str, tokenizer_path: str, directory: st
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
-        df.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-        .repartitionByRange(n, F.col("_key").asc_nulls_first())
-        .sortWithinPartitions(F.col("_key").asc_nulls_first(), "_text")
+        df.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.spark_partition_id().alias("_from"))
+        .withColumn("_hash", F.xxhash64("_text"))
+        .repartitionByRange(n, F.col("_key").asc_nulls_first(), "_hash", "_from")
+        .sortWithinPartitions(F.col("_key").asc_nulls_first(), "_hash", "_text")
         # As text, so that a null key does not turn keys into doubles on the way.
-        .withColumn("_key", F.col("_key").cast("string"))
+        .select(F.col("_key").cast("string").alias("_key"), "_text")
     )
     return cut(ordered.mapInPandas(run, "file string, documents long, ids long"))
 
@@ -272,7 +274,7 @@ def digest(spark: SparkSession, directory: str, manifest: DataFrame, key: str) -
                 yield pd.DataFrame({"file": path.rsplit("/", 1)[-1], "key": pd.array(keys, dtype="Int64"), "first": firsts, "n_tokens": counts, "ids_crc32": crc})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(directory).select("path", "content")
-    # One row a file, not a document: a file has millions of ids.
+    # One row a file, not a document: a file has millions of ids, so this one task reads few rows even for millions of files.
     before = manifest.select("file", (F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("ids")).alias("_before"))
     rows = files.mapInPandas(run, "file string, key long, first long, n_tokens long, ids_crc32 long")
     return rows.join(before, "file").select(F.col("key").alias(key), (F.col("first") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32")

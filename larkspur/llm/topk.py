@@ -4,24 +4,31 @@ Components are "terms" with signed weights. Rows are numbered so that rows with
 together, and cut into shards of SHARD rows and ranges of RANGE rows. A range keeps its largest and smallest weight of
 each term; their products with a query, summed, bound every score in it. Each query takes its ranges by falling
 bound, scores them through the range's own rows (its forward index), and stops at the first range whose bound lies
-below its k-th score. Queries go against every shard in blocks of QUERIES, so a task holds one shard and one block.
+below its k-th score. A query starts with the k-th of its scores against FIRST rows (the lowest hashes), which the k-th of all cannot be below,
+so every shard prunes from its first range on. Shards hold still: a task reads one, then the queries batch by batch.
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id. Of rows
 with the same id, the query is the one with the smallest vector, and none is a candidate for its own id. Scores
-that may pass 2**53 are computed in whole numbers of any size; a score beyond 64 bits fails. An empty table has no result.
+that may pass 2**53 are computed in whole numbers of any size; a score beyond 64 bits fails. An empty table has no result. Extra columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.ranks import gapless
-from larkspur.llm.vectors import dimensions, matrix, taking_part, top
+from larkspur.llm.sampling import lowest
+from larkspur.llm.vectors import beside_shards, dimensions, matrix, taking_part, top
 
-SHARD, RANGE, QUERIES, WAVE = 8192, 64, 1024, 8
+SHARD, RANGE, BLOCK, WAVE, FIRST = 8192, 64, 1024, 8, 2048
+# A table is cut into so many shards at least, if they have a range each.
+SHARDS = 16
 
 
 def search(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 5, scale: float = 256.0, shard: int = SHARD) -> DataFrame:
@@ -33,43 +40,57 @@ def search(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int
     sizes = dimensions(own)
     if not sizes:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    shards = F.from_json(F.lit("{" + ",".join(f'"{d}":{-(-n // shard)}' for d, n in sizes.items()) + "}"), "map<string,int>")
+    found = [_search(own.where(F.col("_dim") == dim), n, is_query, k, min(shard, max(RANGE, -(-n // SHARDS)))) for dim, n in sorted(sizes.items())]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(own: DataFrame, n: int, is_query: Column, k: int, shard: int) -> DataFrame:
     strongest = F.array_position(F.transform("_v", F.abs), F.array_max(F.transform("_v", F.abs)))
     numbered = gapless(own, ["_dim"], strongest * 8 + F.pmod(F.xxhash64("_id"), F.lit(8)), [F.xxhash64("_id", "_v"), "_id"], out="_at")
+    shards = -(-n // shard)
     stored = numbered.withColumn("_shard", F.floor(F.col("_at") / shard).cast("int"))
-    queries = (
-        own.where(is_query).groupBy("_dim", "_id").agg(F.min("_v").alias("_v"))
-        .withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(10**9)))
-    )
-    count = {r["_dim"]: r["n"] for r in queries.groupBy("_dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = F.from_json(F.lit("{" + ",".join(f'"{d}":{-(-count.get(d, 0) // QUERIES)}' for d in sizes) + "}"), "map<string,int>")
-    mine = F.col("_dim").cast("string")
-    stored = stored.where(F.element_at(blocks, mine) > 0).withColumn("_block", F.explode(F.sequence(F.lit(0), F.element_at(blocks, mine) - 1, F.lit(1))))
-    asked = (
-        queries.withColumn("_block", F.pmod("_block", F.element_at(blocks, mine)).cast("int"))
-        .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.element_at(shards, mine) - 1, F.lit(1))))
-    )
-
-    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        left = left.sort_values("_at", kind="stable")
-        q_ids = right["_id"].to_numpy()
-        rows, worse, ids = pruned(matrix(left["_v"]), left["_id"].to_numpy(), matrix(right["_v"]), q_ids, k)
-        return pd.DataFrame({"query_id": q_ids[rows], "vec_id": ids, "score": [int(-w) for w in worse]})
-
-    keys = ["_dim", "_shard", "_block"]
-    found = (
-        stored.select(*keys, "_at", "_id", "_v").groupBy(*keys)
-        .cogroup(asked.select(*keys, "_id", "_v").toDF(*keys, "_id", "_v").groupBy(*keys))
-        .applyInPandas(scan, "query_id long, vec_id long, score long")
-    )
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    sample = lowest(own.select("_id", "_v"), F.xxhash64("_id", "_v"), FIRST, n).toPandas()
+    shared = own.sparkSession.sparkContext.broadcast((matrix(sample["_v"]), sample["_id"].to_numpy()))
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v, ids = shared.value
+        for b in batches:
+            q, floor = matrix(b["_v"]) if len(b) else None, []
+            for i, own_id in enumerate(b["_id"].to_numpy()):
+                # A row that repeats an id counts once: the k-th of different candidates is the bound.
+                score = pd.Series(v @ q[i]).groupby(ids).max().drop(own_id, errors="ignore").nlargest(k)
+                safe = len(score) == k and v.shape[1] * np.abs(v).max() * np.abs(q[i]).max() < 2.0**53
+                floor.append(float(score.iloc[-1]) if safe else -np.inf)
+            yield b.assign(_floor=floor)
+
+    queries = own.where(is_query).groupBy("_id").agg(F.min("_v").alias("_v")).mapInPandas(begin, "_id long, _v array<double>, _floor double")
+    asked = queries.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+
+    def hold(held: pd.DataFrame) -> tuple:
+        held = held.sort_values("_at", kind="stable")
+        return matrix(held["_v"]), held["_id"].to_numpy()
+
+    def answer(held: tuple, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for at in range(0, len(asked), BLOCK):
+            part = asked.iloc[at : at + BLOCK]
+            q_ids = part["_id"].to_numpy()
+            rows, worse, ids = pruned(*held, matrix(part["_v"]), q_ids, k, part["_floor"].to_numpy())
+            out.append(pd.DataFrame({"query_id": q_ids[rows], "vec_id": ids, "score": [int(-w) for w in worse]}))
+        return pd.concat(out)
+
+    return beside_shards(stored, asked, shards, ["_at", "_id", "_v"], ["_id", "_v", "_floor"], hold, answer, "query_id long, vec_id long, score long")
+
 
+def pruned(v: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, minus the score, id) of the k best for each query among the rows of v, by range-at-a-time pruning.
 
-def pruned(v: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, minus the score, id) of the k best for each query among the rows of v, by range-at-a-time pruning."""
+    floor: a score that the query's k-th best of all rows, here and elsewhere, is not below. Ranges bounded below it are not scored.
+    """
     n, dim = v.shape
     if dim * np.abs(v).max() * np.abs(q).max() >= 2.0**53:
         v, q = np.array([[int(x) for x in row] for row in v], dtype=object), np.array([[int(x) for x in row] for row in q], dtype=object)
@@ -86,7 +107,8 @@ def pruned(v: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
     for at in range(0, ranges, WAVE):
         turn = order[live, at : at + WAVE]
         # Ranges whose bound is below the k-th score cannot change the result; an equal bound can, by a smaller id.
-        open_ = bound[live[:, None], turn] >= -best[live, k - 1][:, None]
+        least = -best[live, k - 1]
+        open_ = bound[live[:, None], turn] >= (least if floor is None else np.maximum(least, floor[live]))[:, None]
         going = open_.any(axis=1)
         live, turn, open_ = live[going], turn[going], open_[going]
         if not len(live):

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +50,28 @@ def top(worse: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         near = np.arange(len(worse))
     near = near[worse[near] < np.inf]
     return near[np.lexsort((ids[near], worse[near]))[:k]]
+
+
+def beside_shards(stored: DataFrame, asked: DataFrame, shards: int, of_stored: list[str], of_asked: list[str], hold: Callable[[pd.DataFrame], Any], answer: Callable[[Any, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """answer(hold(rows of a shard), some of the queries sent to it), for every shard: both tables have `_shard`, from 0 to below `shards`.
+
+    A shard's rows are shuffled once and come first; its queries follow in batches. So a task holds one shard (its rows are bounded by the
+    caller) and one batch, however many queries there are. Shards without queries are read and give nothing.
+    """
+    tagged = stored.select("_shard", F.lit(0).alias("_kind"), *of_stored).unionByName(asked.select("_shard", F.lit(1).alias("_kind"), *of_asked), allowMissingColumns=True)
+    dealt = tagged.repartitionById(max(1, shards), F.col("_shard")).sortWithinPartitions("_shard", "_kind")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, parts, shard = None, [], None
+        for batch in batches:
+            for (number, kind), part in batch.groupby(["_shard", "_kind"], sort=True):
+                if number != at:
+                    at, parts, shard = number, [], None
+                if kind == 0:
+                    parts.append(part[of_stored])
+                elif parts or shard is not None:
+                    if shard is None:
+                        shard, parts = hold(pd.concat(parts, ignore_index=True)), []
+                    yield answer(shard, part[of_asked])
+
+    return dealt.mapInPandas(run, schema)

@@ -201,13 +201,13 @@ def test_pruned_search_with_weights_beyond_double_precision():
 
 def test_page_text_and_records():
     page = '<!DOCTYPE html><html lang="fr"><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body><!-- x --><p>one<br>t<b>w</b>o &lt;b&gt;</p><a href=\'/u?a&amp;b\'>link</a></body></html>'
-    assert warc.page_text(page) == "A & B\none\ntwo <b>\nlink"
+    assert warc.parsed(page)[1] == "A & B\none\ntwo <b>\nlink"
     meta, text = warc.derived(3, "<urn:uuid:1>", "http://x/", "2020-01-01T00:00:00Z", b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nServer: s\r\n\r\n", page.encode())
     fields = dict(line.split(": ", 1) for line in meta[8].decode().strip().split("\r\n"))
     assert fields["title"] == "A & B" and fields["languages-html"] == "fr" and fields["outlink"] == "/u?a&b"
     assert {h["name"]: h["value"] for h in text[7]}["WARC-Source-Content-Type"] == "text/html" and text[3] == "<urn:uuid:1>"
     assert warc.digest(b"") == "sha1:3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
-    assert warc.page_text("") == "" and warc.page_text("<p>unclosed <b") == "unclosed"
+    assert warc.parsed("")[1] == "" and warc.parsed("<p>unclosed <b")[1] == "unclosed"
     assert zlib.crc32(b"a") == 0xE8B7BE43
 
 
