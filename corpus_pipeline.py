@@ -1,12 +1,16 @@
 """From raw documents to sampled pieces: language, near duplicates, secrets, mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; its result is written as
-Parquet and read again as the next one's docs. All but the last return the columns of documents.
+Parquet and read again as the next one's docs. All but the last return the columns of documents; the last gives pieces and the position in the mixture.
+
+In every stage: an empty table gives an empty one; a null text is an empty one (language rejects it); rows without an id or a source stay; rows that
+repeat an id with other texts are documents of their own; exact repeats are one near-duplicate class, so one row of them stays, and only those without an id
+stay as often as they come; texts are processed whole, whatever their length; extra columns go with the first stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import language, mixing, neardup, pieces, secrets
@@ -19,7 +23,10 @@ MIN_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language, which becomes theirs. Documents without a letter or with a score below the least go."""
+    """Documents with a language, which becomes theirs. Documents without a letter or with a score below the least go. Without any labelled document all go.
+
+    The model learns from the documents' own labels where there are some; equal scores go to the language first by name.
+    """
     model = language.train(docs, "doc_id", "text", "lang", ~language.held_out(F.col("doc_id")))
     found = language.predict(docs, "text", model).where((F.col("lang_pred") != language.UND) & (F.col("score") >= MIN_LANGUAGE_SCORE))
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
@@ -27,6 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class, one text of those with that id in it; documents without an id stay."""
+    docs = docs.select(*COLUMNS)
     rows = neardup.members(docs, "doc_id", "text")
     kept = rows.where("_id = class_id").groupBy("_label").agg(F.min(F.struct("_id", "_hash")).alias("_m")).select(F.col("_m._id").alias("doc_id"), F.col("_m._hash").alias("_hash"))
     named = docs.where("doc_id IS NOT NULL").withColumn("_hash", neardup.text_hash("text"))
@@ -35,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret in their texts masked and n_chars counted anew where one was."""
+    """All documents, with every secret in their texts masked and n_chars counted anew where one was. A null text stays null."""
     model = secrets.train(secrets.labelled(spark, docs, "doc_id", "text"))
     found = secrets.scan(docs, "text", model)
     clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col("spans")))
@@ -43,15 +51,37 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture: equal weights for all sources that still have documents."""
-    mixed = mixing.mix(docs, "source", "doc_id")
+    """All documents, in the order of the mixture: equal weights for all sources that still have documents. File names and the rows in them keep the order.
+
+    Ids and hashes of the texts are mixed, not the texts; equal documents share a place. Documents with a null id or a null source are mixed like others.
+    """
+    hashed = docs.select(*COLUMNS, neardup.text_hash("text").alias("_hash"))
+    light = mixing.mix(hashed.select("doc_id", "source", "_hash").distinct(), "source", "doc_id", "_hash").select("doc_id", "source", "_hash", "position")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("doc_id", "source", "_hash")]
+    placed = hashed.alias("d").join(light.alias("m"), same).select(*[f"d.{c}" for c in COLUMNS], "position", F.spark_partition_id().alias("_from"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(n, "position").sortWithinPartitions("position").select(*COLUMNS)
+    return placed.repartitionByRange(n, "position", "_from").sortWithinPartitions("position").select(*COLUMNS)
+
+
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """docs with `position`: the place of each row in the order of its files' names, and of the rows in a file; NULL where docs come from no file.
+
+    Spark reads files in an order of its own, so the order is taken from the files themselves. One row a file is numbered in one task.
+    """
+    names = docs.inputFiles()
+    if not names:
+        return docs.withColumn("position", F.lit(None).cast("long"))
+    named = docs.select(*COLUMNS, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = named.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = files.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
+    # About 100 bytes a file; beyond that many files the join is left to Spark.
+    before = F.broadcast(before) if len(names) <= 50_000 else before
+    return named.join(before, "_file").withColumn("position", F.col("_before") + F.col("_row"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's sampled pieces."""
-    return pieces.encode(docs, "doc_id", "text", tokenizer("piece_bpe_32k.model"))
+    """Each document's sampled pieces, and its position in the mixture: the order of docs' files."""
+    return pieces.encode(in_file_order(docs), "doc_id", "text", tokenizer("piece_bpe_32k.model"), keep="position")
 
 
 STAGES = [
