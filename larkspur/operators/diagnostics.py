@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.maths import annual_ratio, clean, correlation, ratio, zscores
-from larkspur.operators.evaluation import daily_ic, diagnostic_deciles, spread_by, summarize_ic
+from larkspur.operators.evaluation import ZERO, daily_ic, diagnostic_deciles, spread_by, summarize_ic
 from larkspur.operators.panel import KEYS, keyed, long_form, require
 
 LONG = ("split", "factor", "date")
@@ -53,7 +53,8 @@ def decile_metrics(long: DataFrame, n: int = 10) -> DataFrame:
 def summary(ic: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
     """factor, split and fifteen measures of their daily coefficients, with the decile measures if given."""
     def share(c: str) -> Column:
-        return F.try_divide(F.count_if(F.col(c) > 0).cast("double"), F.count(c).cast("double"))
+        # What rounding leaves of a zero has no sign.
+        return F.try_divide(F.count_if(F.col(c) > ZERO).cast("double"), F.count(c).cast("double"))
 
     out = ic.groupBy("factor", "split").agg(
         F.avg("IC").alias("IC"), annual_ratio(F.avg("IC"), F.stddev_samp("IC")).alias("ICIR"), F.avg("RankIC").alias("RankIC"), annual_ratio(F.avg("RankIC"), F.stddev_samp("RankIC")).alias("RankICIR"),
@@ -144,6 +145,7 @@ def keep_drop(factors: list[str], table: DataFrame, pairs: DataFrame) -> DataFra
     best = w.orderBy(F.col("stability_score").desc_nulls_last(), F.col("test_RankIC").desc_nulls_last(), "_i")
     marked = scored.select("*", F.row_number().over(best).alias("_r"), F.first("factor").over(best.rowsBetween(Window.unboundedPreceding, 0)).alias("_keep"), F.transform(F.array_sort(F.collect_list(F.struct("_i", "factor")).over(w)), lambda s: s["factor"]).alias("_all"))
     others = F.array_remove("_all", F.col("factor"))
+    # The three reasons.
     reason = F.when(F.col("_r") > 1, F.concat(F.lit("drop in favor of "), F.col("_keep"))).when(F.size(others) > 0, "best stability score among correlated factors").otherwise("no abs(corr) >= threshold pair")
     return marked.select("factor", F.when(F.col("_r") == 1, "keep").otherwise("drop").alias("keep_or_drop"), reason.alias("reason"), F.array_join(others, ";").alias("correlated_with"), "test_RankIC", "direction_consistent", "stability_score")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.maths import ratio, zscores
 from larkspur.operators.diagnostics import linear
-from larkspur.operators.panel import KEYS, keyed, unique_by
+from larkspur.operators.panel import KEYS, first_by, keyed, unique_by
 
 # The registry of baselines.
 BASELINES = [
@@ -20,6 +20,9 @@ BASELINES = [
 ]
 
 
+SUMS = 16
+
+
 @dataclass(frozen=True)
 class Linear:
     columns: list[str]
@@ -31,7 +34,7 @@ class Linear:
 
 
 def gram(df: DataFrame, columns: list[str], label: str) -> np.ndarray:
-    """Z'Z of Z = [1, columns, label], missing values as 0: each task sums one matrix, and the matrices are summed."""
+    """Z'Z of Z = [1, columns, label], missing values as 0: each task sums one matrix into one row, SUMS tasks add those up, and the driver the rest."""
     k = len(columns) + 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,13 +42,20 @@ def gram(df: DataFrame, columns: list[str], label: str) -> np.ndarray:
         for b in batches:
             z = np.column_stack([np.ones(len(b)), b.to_numpy(dtype=np.float64)])
             total += z.T @ z
-        yield pd.DataFrame({"i": np.arange(k * k), "x": total.ravel()})
+        yield pd.DataFrame({"x": [total.tobytes()]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, k))
+        for b in batches:
+            for x in b["x"]:
+                total += np.frombuffer(x).reshape(k, k)
+        yield pd.DataFrame({"x": [total.tobytes()]})
 
     rows = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate([*columns, label])])
-    out = np.zeros(k * k)
-    for r in rows.mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
-        out[r["i"]] = r["x"]
-    return out.reshape(k, k)
+    out = np.zeros((k, k))
+    for r in rows.mapInPandas(run, "x binary").repartition(SUMS).mapInPandas(add, "x binary").collect():
+        out += np.frombuffer(r["x"]).reshape(k, k)
+    return out
 
 
 def centred_ridge(df: DataFrame, columns: list[str], label: str, alpha: float = 1.0) -> Linear:
@@ -129,15 +139,15 @@ def assemble(factor: DataFrame, fusion: DataFrame, gates: DataFrame) -> DataFram
 
 
 def text_alpha(predictions: DataFrame, coverage: DataFrame | None = None, attention: DataFrame | None = None, labels: DataFrame | None = None, label: str = "future_20d_market_adjusted_return") -> DataFrame:
-    """The gated difference of the branches, its daily z-score, and what else is known of the stock-day."""
+    """The gated difference of the branches, its daily z-score, and what else is known of the stock-day. Of repeated rows the largest counts and the least entropy stand."""
     out = keyed(predictions).withColumn("text_alpha_raw", F.col("gate_news_prob") * (F.col("fusion_pred") - F.col("factor_only_pred")))
     if coverage is not None:
-        own = keyed(coverage).select(*KEYS, "news_count", "chunk_count").dropDuplicates(KEYS)
+        own = first_by(keyed(coverage).select(*KEYS, "news_count", "chunk_count"), KEYS, F.col("news_count").desc(), F.col("chunk_count").desc())
         out = out.drop("news_count", "chunk_count").join(own, KEYS, "left")
     for c in ("news_count", "chunk_count"):
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)) if c in out.columns else F.lit(0))
     if attention is not None:
-        out = out.drop("attention_entropy").join(keyed(attention).select(*KEYS, "attention_entropy").dropDuplicates(KEYS), KEYS, "left")
+        out = out.drop("attention_entropy").join(first_by(keyed(attention).select(*KEYS, "attention_entropy"), KEYS, "attention_entropy"), KEYS, "left")
     elif "attention_entropy" not in out.columns:
         out = out.withColumn("attention_entropy", F.lit(None).cast("double"))
     if labels is not None:

@@ -45,7 +45,7 @@ def day_map(days: DataFrame, first: Column | None = None) -> DataFrame:
 def signal_dates(news: DataFrame, days: DataFrame, published: str = "publish_time", out: str = "date", past_end: str = "drop", close: str = CLOSE) -> DataFrame:
     """news with the first trading day on which it can be used; news past the calendar goes, fails or stays NULL (drop, fail, keep).
 
-    A publication time that is missing or cannot be read fails.
+    A publication time that is missing or cannot be read fails, and so does news without any trading day.
     """
     if past_end not in ("drop", "fail", "keep"):
         raise ValueError(f"past_end cannot be {past_end}")
@@ -57,6 +57,7 @@ def signal_dates(news: DataFrame, days: DataFrame, published: str = "publish_tim
     edges = days.agg(F.min("date").alias("_a"), F.lit(1).alias("_k"))
     # Days before the map's first lead to the first trading day; the map is small, and Spark sees its size.
     joined = dated.join(lookup.withColumnRenamed("day", "_day"), "_day", "left").withColumn("_k", F.lit(1)).join(edges, "_k")
+    joined = joined.where(F.assert_true(F.col("_a").isNotNull(), "the calendar has no day").isNull())
     found = F.when(F.col("_day") < F.col("_a"), F.col("_a")).when(F.col("_strict"), F.col("after")).otherwise(F.col("on_or_after"))
     named = joined.withColumn(out, found).drop("_day", "_strict", "on_or_after", "after", "_k", "_a")
     if past_end == "fail":
@@ -64,10 +65,11 @@ def signal_dates(news: DataFrame, days: DataFrame, published: str = "publish_tim
     return named if past_end == "keep" else named.where(F.col(out).isNotNull())
 
 
-def normalized(df: DataFrame, order: Column | str, names: dict[str, str] | None = None) -> DataFrame:
+def normalized(df: DataFrame, order: Column | str, names: dict[str, str] | None = None, bucket: Column | str | None = None) -> DataFrame:
     """Vendor columns under their own names, texts and tickers cleaned; a missing id is news_<row number by order, from 0>.
 
-    A row without a ticker fails. An alias gives way to a column that has the name already.
+    A row without a ticker fails. An alias gives way to a column that has the name already. `bucket`, which must not fall where `order` rises (the
+    day of a time, say), lets rows be numbered bucket by bucket; without it one task numbers all rows that lack an id.
     """
     wanted = {k.lower(): v for k, v in (ALIASES | (names or {})).items()}
     have = set(df.columns)
@@ -78,7 +80,7 @@ def normalized(df: DataFrame, order: Column | str, names: dict[str, str] | None
             rename[c] = to
     out = require(df.withColumnsRenamed(rename), ["ticker", "text", "publish_time"], "news")
     if "news_id" not in out.columns:
-        out = out.withColumn("news_id", F.concat(F.lit("news_"), (F.row_number().over(Window.orderBy(order)) - 1).cast("string")))
+        out = _numbered(out, order, F.lit(0) if bucket is None else bucket).withColumn("news_id", F.concat(F.lit("news_"), F.col("_n").cast("string"))).drop("_n")
     for c in ("title", "source"):
         if c not in out.columns:
             out = out.withColumn(c, F.lit(""))
@@ -86,6 +88,15 @@ def normalized(df: DataFrame, order: Column | str, names: dict[str, str] | None
     return out.withColumns({"ticker": T.news_ticker("ticker"), "text": T.clean_text("text"), "title": T.clean_text("title"), "news_id": F.col("news_id").cast("string")})
 
 
+def _numbered(df: DataFrame, order: Column | str, bucket: Column | str) -> DataFrame:
+    """df with `_n`, from 0 in (bucket, order) order: the rows of a bucket in one task, then one row a bucket."""
+    tagged = df.withColumn("_b", bucket if isinstance(bucket, Column) else F.col(bucket))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).select(F.col("_b").alias("_b2"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    inner = tagged.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1)
+    return inner.join(offsets, F.col("_b").eqNullSafe(F.col("_b2"))).withColumn("_n", F.col("_o") + F.col("_i")).drop("_b", "_b2", "_o", "_i")
+
+
 def alias_map(rows: DataFrame, order: str) -> DataFrame:
     """alias, ticker: lower-case tickers and company names to the canonical ticker; the last by `order` wins."""
     own = rows.select(T.news_ticker("ticker").alias("ticker"), F.col(order).alias("_o"), F.explode(F.array(F.lower("ticker"), F.lower(F.trim("company_name")))).alias("alias"))
@@ -98,9 +109,9 @@ def chunk_news(news: DataFrame, days: DataFrame, most: int = WORDS_PER_CHUNK, pe
     The cap is a window limit, so a stock-day with much news is cut before the shuffle, not after.
     """
     dated = signal_dates(require(news, ["news_id", "ticker", "text", "publish_time"], "news"), days)
-    # The decoded text is a column of its own first: a lambda cannot hold a Python function.
-    cleaned = dated.withColumn("_clean", T.clean_text("text", entities))
-    words = T.tokens(F.col("_clean"))
+    # The decoded text and its words are columns of their own first: a lambda cannot hold a Python function, and would split the text for every chunk.
+    cleaned = dated.withColumn("_clean", T.clean_text("text", entities)).withColumn("_words", T.tokens(F.col("_clean")))
+    words = F.col("_words")
     ticker = T.news_ticker("ticker")
     cut = cleaned.select("date", ticker.alias("ticker"), F.col("news_id").cast("string").alias("source_news_id"), "publish_time", *[c for c in ("title",) if c in news.columns], F.posexplode(T.chunks(words, most, overlap)).alias("chunk_index", "chunk_text"))
     order = Window.partitionBy("ticker", "date").orderBy("publish_time", "source_news_id", "chunk_index")

@@ -104,7 +104,7 @@ def training_panel(panel: DataFrame, pooled: DataFrame, vector: str, width: int)
     """A panel with a vector for each row: zeros where a stock-day has none. Repeated keys keep their first row by all columns."""
     def once(df: DataFrame) -> DataFrame:
         rest = [c for c in df.columns if c not in KEYS]
-        return first_by(df, KEYS, *[F.to_json(F.struct(c)) for c in rest])
+        return first_by(df, KEYS, *[F.to_json(F.struct(c)) for c in rest] or KEYS)
     zeros = F.array_repeat(F.lit(0.0), width)
     return once(keyed(panel)).join(once(keyed(pooled)).select(*KEYS, vector), KEYS, "left").withColumn(vector, F.coalesce(F.col(vector), zeros))
 

@@ -12,11 +12,18 @@ from pyspark.sql import functions as F
 from larkspur.operators.panel import KEYS, first_by
 
 
-def numbered_mean(df: DataFrame, keys: list[str], vector: str, out: str = "vector") -> DataFrame:
+def numbered_mean(df: DataFrame, keys: list[str], vector: str, out: str = "vector", width: int | None = None) -> DataFrame:
     """Component means of the vectors of each key, with their number; different lengths in a key fail.
 
-    Components go out as rows and are summed before the shuffle, so a key with many vectors costs one row a component and task.
+    With the vectors' width, each component is an aggregate of its own, and a key costs one row a task. Without it components go out
+    as rows and are summed before the shuffle: one row a component and task.
     """
+    if width:
+        sized = df.select(*keys, vector, F.size(vector).alias("_n"))
+        means = [F.avg(F.get(vector, F.lit(i)).cast("double")).alias(f"_m{i}") for i in range(width)]
+        whole = sized.groupBy(*keys).agg(*means, F.count(F.lit(1)).alias("embedded_chunk_count"), F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
+        fits = whole.where(F.assert_true((F.col("_lo") == width) & (F.col("_hi") == width), "vectors of another length").isNull())
+        return fits.select(*keys, F.array(*[f"_m{i}" for i in range(width)]).alias(out), "embedded_chunk_count")
     sizes = df.select(*keys, vector, F.size(vector).alias("_n"))
     parts = sizes.select(*keys, "_n", F.posexplode(vector).alias("_i", "_x")).groupBy(*keys, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"), F.count(F.lit(1)).alias("_c"), F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
     whole = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_v"), F.max("_c").alias("embedded_chunk_count"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))

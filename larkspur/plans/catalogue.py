@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.plans import evaluation_queries, factor_queries, text_queries
+from larkspur.plans import evaluation_queries, factor_queries, run_queries, text_queries
 
-MODULES = (factor_queries, evaluation_queries, text_queries)
+MODULES = (factor_queries, evaluation_queries, text_queries, run_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

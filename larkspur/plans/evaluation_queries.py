@@ -183,7 +183,7 @@ def rolling_rank_ic_by_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TABLE = f"""SELECT factor, split, avg(IC) AS IC, avg(IC) / nullif(stddev_samp(IC), 0) * sqrt(252) AS ICIR, avg(RankIC) AS RankIC, avg(RankIC) / nullif(stddev_samp(RankIC), 0) * sqrt(252) AS RankICIR, stddev_samp(IC) AS IC_std, stddev_samp(RankIC) AS RankIC_std,
- count(CASE WHEN IC > 0 THEN 1 END) / nullif(count(IC), 0) AS positive_IC_ratio, count(CASE WHEN RankIC > 0 THEN 1 END) / nullif(count(RankIC), 0) AS positive_RankIC_ratio, count(*) AS days, avg(coverage) AS avg_coverage, min(coverage) AS min_coverage, max(coverage) AS max_coverage, sum(coverage) / sum(total_rows) AS coverage_ratio FROM ic GROUP BY factor, split"""
+ count(CASE WHEN IC > 1e-12 THEN 1 END) / nullif(count(IC), 0) AS positive_IC_ratio, count(CASE WHEN RankIC > 1e-12 THEN 1 END) / nullif(count(RankIC), 0) AS positive_RankIC_ratio, count(*) AS days, avg(coverage) AS avg_coverage, min(coverage) AS min_coverage, max(coverage) AS max_coverage, sum(coverage) / sum(total_rows) AS coverage_ratio FROM ic GROUP BY factor, split"""
 MEASURES = ["IC", "ICIR", "RankIC", "RankICIR", "IC_std", "RankIC_std", "positive_IC_ratio", "positive_RankIC_ratio", "avg_coverage", "coverage_ratio"]
 
 

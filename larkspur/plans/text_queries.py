@@ -93,11 +93,11 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHUNKS = f"""{DATED}, words AS (SELECT news_id, date, upper(regexp_replace(ticker, '\\s+', '', 'g')) AS ticker, publish_time, string_split({CLEAN}, ' ') AS w FROM dated WHERE date IS NOT NULL AND {CLEAN} <> ''),
 parts AS (SELECT *, unnest(range(CASE WHEN len(w) <= 64 THEN 1 ELSE ceil((len(w) - 64) / 56)::BIGINT + 1 END)) AS i FROM words),
 texts AS (SELECT date, ticker, news_id AS source_news_id, publish_time, i AS chunk_index, array_to_string(list_slice(w, i * 56 + 1, i * 56 + 64), ' ') AS chunk_text FROM parts),
-chunks AS (SELECT *, substr(sha1(concat_ws('|', source_news_id, ticker, CAST(date AS STRING), CAST(chunk_index AS STRING))), 1, 16) AS chunk_id FROM texts QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY publish_time, source_news_id, chunk_index) <= 20)"""
+chunks AS (SELECT *, substr(sha1(concat_ws('|', source_news_id, ticker, CAST(date AS STRING), CAST(chunk_index AS STRING))), 1, 16) AS chunk_id FROM texts QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY publish_time, source_news_id, chunk_index) <= 64)"""
 
 
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.chunk_news(load(spark, sf_dir, "news"), load(spark, sf_dir, "calendar"), 64, 20, 8)
+    return N.chunk_news(load(spark, sf_dir, "news"), load(spark, sf_dir, "calendar"), 64, overlap=8)
 
 
 @query(f"{CHUNKS} SELECT chunk_id, date, ticker, source_news_id, chunk_index::INT AS chunk_index, sha1(chunk_text) AS digest, len(string_split(chunk_text, ' '))::INT AS token_count FROM chunks")
@@ -114,8 +114,9 @@ def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT g.date, g.ticker, length(g.ticker) AS factor, CASE WHEN day(g.date) % 2 = 0 THEN day(g.date) END AS label, coalesce(n, 0) AS news_count, coalesce(c, 0) AS chunk_count, (coalesce(n, 0) > 0)::INT AS has_news FROM g LEFT JOIN cov ON g.date = cov.date AND g.ticker = cov.ticker""")
 def stock_day_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     days, names = load(spark, sf_dir, "calendar"), load(spark, sf_dir, "news").select(F.upper("ticker").alias("ticker")).distinct()
-    # A grid of few days and few tickers, made without a join of all with all.
-    grid = names.withColumn("date", F.explode(F.array_sort(F.lit([x["date"] for x in days.collect()]))))
+    # A grid of few days and few tickers: the days are one row, an array.
+    calendar = days.agg(F.array_sort(F.collect_list("date")).alias("_days")).withColumn("_k", F.lit(1))
+    grid = names.withColumn("_k", F.lit(1)).join(calendar, "_k").select("ticker", F.explode("_days").alias("date"))
     labels = grid.where(F.dayofmonth("date") % 2 == 0).withColumn("label", F.dayofmonth("date").cast("long"))
     return P.stock_day_panel(grid.withColumn("factor", F.length("ticker").cast("long")), labels, chunked(spark, sf_dir))
 
@@ -142,7 +143,7 @@ def ticker_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {oracle('news')} SELECT concat('news_', CAST(row_number() OVER (ORDER BY published, news_id) - 1 AS STRING)) AS news_id, upper(ticker) AS ticker, sha1({CLEAN}) AS digest FROM news")
 def vendor_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = load(spark, sf_dir, "news").select(F.col("ticker").alias("Stock_symbol"), F.col("text").alias("Article"), F.col("published").alias("Date"), F.col("news_id").alias("key"))
-    out = N.normalized(raw, F.struct("publish_time", "key"))
+    out = N.normalized(raw, F.struct("publish_time", "key"), bucket=F.to_date("publish_time"))
     return out.select("news_id", "ticker", F.sha1(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -158,7 +159,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{VECTORS} SELECT DATE '2024-01-01' + day AS date, ticker, count(*) AS embedded_chunk_count, {MEANS} FROM vectors GROUP BY 1, 2")
 def mean_pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = E.numbered_mean(vectors(spark, sf_dir), P.KEYS, "embedding")
+    out = E.numbered_mean(vectors(spark, sf_dir), P.KEYS, "embedding", width=64)
     return rounded(out.select(*P.KEYS, "embedded_chunk_count", *E.to_columns("vector", 64, "mean_emb_")))
 
 
@@ -186,12 +187,14 @@ def first_of_each_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.first_of_each(again.unionByName(v)).select("chunk_id", "day")
 
 
-@query(f"""{VECTORS}, p AS (SELECT day, ticker, count(*) AS n, avg(embedding[1]::DOUBLE) AS x FROM vectors WHERE vec_id % 3 = 0 GROUP BY 1, 2), g AS (SELECT DISTINCT day, ticker FROM vectors)
+@query(f"""{VECTORS}, p AS (SELECT day, ticker, count(*) AS n, avg(embedding[1]::DOUBLE) AS x FROM vectors GROUP BY 1, 2), g AS (SELECT DISTINCT unnest([day, day + 10]) AS day, ticker FROM vectors)
 SELECT DATE '2024-01-01' + g.day AS date, g.ticker, {r('coalesce(x, 0)', 'news_repr_0')}, x IS NOT NULL AS has_vector FROM g LEFT JOIN p ON g.day = p.day AND g.ticker = p.ticker""")
 def vectors_into_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    pooled = E.numbered_mean(v.where("vec_id % 3 = 0"), P.KEYS, "embedding")
-    out = E.into_panel(v.select(*P.KEYS).distinct(), pooled, "vector", 64)
+    pooled = E.numbered_mean(v, P.KEYS, "embedding", width=64)
+    # The panel has days without vectors too.
+    panel = v.select(F.explode(F.array("date", F.date_add("date", 10))).alias("date"), "ticker").distinct()
+    out = E.into_panel(panel, pooled, "vector", 64)
     return rounded(out.select(*P.KEYS, F.get("vector", F.lit(0)).alias("news_repr_0"), "has_vector"))
 
 
@@ -202,9 +205,9 @@ def coverage_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.with_coverage(pooled, panel).select(*P.KEYS, "embedded_chunk_count", "news_count", "chunk_count")
 
 
-@query(f"""{VECTORS}, k AS (SELECT day, ticker, least(count(*), 4) AS length FROM vectors GROUP BY 1, 2) SELECT DATE '2024-01-01' + day AS date, ticker, length, (sum(length) OVER (ORDER BY ticker, day) - length)::BIGINT AS "offset" FROM k""")
+@query(f"""{VECTORS}, k AS (SELECT day, ticker, least(count(*), 64) AS length FROM vectors GROUP BY 1, 2) SELECT DATE '2024-01-01' + day AS date, ticker, length, (sum(length) OVER (ORDER BY ticker, day) - length)::BIGINT AS "offset" FROM k""")
 def packed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.packed(vectors(spark, sf_dir), ["vec_id"], 4).select(*P.KEYS, "length", "offset")
+    return E.packed(vectors(spark, sf_dir), ["vec_id"]).select(*P.KEYS, "length", "offset")
 
 
 @query(f"{VECTORS} SELECT count(CASE WHEN vec_id % 5 = 0 THEN 1 END) AS only_direct, 0::BIGINT AS only_cached, count(CASE WHEN vec_id % 5 <> 0 THEN 1 END) AS both, 0.5::DOUBLE AS largest_difference FROM vectors")
@@ -373,14 +376,16 @@ def causal_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("date", "ticker", F.element_at(S.causal_convolution(series, [-1.0, 0.25, 0.5], 2), -1).alias("last_state")), 8)
 
 
-@query()
+@query(f"""{VECTORS}, m AS (SELECT ticker, day, [x::DOUBLE FOR x IN embedding] AS v, 0.5 * list_sum([x::DOUBLE FOR x IN embedding]) AS s FROM vectors QUALIFY row_number() OVER (PARTITION BY ticker, day ORDER BY vec_id) <= 64),
+w AS (SELECT *, exp(s - max(s) OVER d) / sum(exp(s)) OVER d * exp(max(s) OVER d) AS w FROM m WINDOW d AS (PARTITION BY ticker, day))
+SELECT ticker, DATE '2024-01-01' + day AS date, 64 AS padded_rows, count(*)::INT AS own_rows, {r('-sum(greatest(w, 1e-8) * ln(greatest(w, 1e-8)))', 'entropy')}, {', '.join(r(f'sum(w * v[{i + 1}])', f'pooled_{i}') for i in range(4))} FROM w GROUP BY 1, 2""")
 def attention_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = E.packed(vectors(spark, sf_dir), ["vec_id"], 8)
+    days = E.packed(vectors(spark, sf_dir), ["vec_id"])
     matrix = F.transform("matrix", lambda row: row.cast("array<double>"))
-    rows, mask = S.padded(matrix, 8, 64)
+    rows, mask = S.padded(matrix, 64, 64)
     weights, pooled = S.attention_pool(matrix, [0.5] * 64)
     out = days.select("ticker", "date", weights.alias("weights"), pooled.alias("pooled"), F.size(rows).alias("padded_rows"), F.size(F.filter(mask, lambda m: m)).alias("own_rows"))
-    return out.select("ticker", "date", "padded_rows", "own_rows", E.attention_entropy("weights").alias("entropy"), *E.to_columns("pooled", 4, "pooled_"))
+    return rounded(out.select("ticker", "date", "padded_rows", "own_rows", E.attention_entropy("weights").alias("entropy"), *E.to_columns("pooled", 4, "pooled_")))
 
 
 # --- sources

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import io
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.panel import KEYS, keyed, require
+from larkspur.sources.tables import append_vectors, exists, write_json
 
 # The columns of a manifest line.
 LINE = "embedding_id string, chunk_id string, ticker string, date string, model_name string, embedding_path string, embedding_dim int, publish_time string, source_news_id string, chunk_index int, embedding array<double>"
@@ -19,11 +21,15 @@ REQUIRED = ["chunk_id", "embedding_path", "ticker", "date"]
 def numbered_lines(spark: SparkSession, root: str, name: str = "manifest.jsonl") -> DataFrame:
     """path, line (from 1), value of every line of the files of that name under a folder.
 
-    A file is one row here, so its line numbers are its own; a manifest is split in files of bounded size by its writer.
+    Files are read by blocks: lines are numbered in their block, and the blocks' counts give the offsets, so a file of any size is split.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
-    lines = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("_i", "value"))
-    return lines.where(F.trim("value") != "").select("path", (F.col("_i") + 1).alias("line"), "value")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root)
+    lines = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), "value")
+    numbered = lines.withColumn("_r", F.row_number().over(Window.partitionBy("path", "_b").orderBy("_i")))
+    blocks = lines.groupBy("path", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("path").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("path", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    return numbered.join(offsets, ["path", "_b"]).where(F.trim("value") != "").select("path", (F.col("_o") + F.col("_r")).cast("int").alias("line"), "value")
 
 
 def read_manifests(spark: SparkSession, root: str, name: str = "manifest.jsonl", required: list[str] | None = None) -> DataFrame:
@@ -82,3 +88,51 @@ def chunk_index(vectors: DataFrame, most: int = 64) -> DataFrame:
 
     once = first_of_each(require(vectors, [*KEYS, "chunk_id", "embedding"], "vectors").where("embedding IS NOT NULL"))
     return packed(once, ["publish_time", "source_news_id", "chunk_index", "chunk_id"], most)
+
+
+@dataclass(frozen=True)
+class VectorStore:
+    """A store of vectors: one Parquet table under a root, with chunk_id, ticker, date, model_name and embedding."""
+
+    spark: SparkSession
+    root: str
+
+    @property
+    def path(self) -> str:
+        return f"{self.root.rstrip('/')}/vectors.parquet"
+
+    def load(self) -> DataFrame:
+        """All vectors; an empty table of the store's columns before the first save."""
+        return self.spark.read.parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], STORED)
+
+    def get(self, chunk_id: str) -> DataFrame:
+        """The vectors of an id: the condition goes to the scan."""
+        return self.load().where(F.col("chunk_id") == chunk_id)
+
+    def ids(self) -> DataFrame:
+        return self.load().select("chunk_id").distinct()
+
+    def manifest(self) -> DataFrame:
+        """What is stored, without the vectors."""
+        return self.load().select("chunk_id", "ticker", "date", "model_name", F.size("embedding").alias("embedding_dim"))
+
+    def save(self, df: DataFrame) -> None:
+        append_vectors(df.select("chunk_id", "ticker", F.to_date("date").alias("date"), "model_name", F.col("embedding").cast("array<float>").alias("embedding")), self.path)
+
+
+STORED = "chunk_id string, ticker string, date date, model_name string, embedding array<float>"
+
+
+def packed_index(spark: SparkSession, packed_path: str | None, vectors: DataFrame, most: int = 64) -> DataFrame:
+    """The packed stock-days if they are there, else made from the vectors."""
+    return spark.read.parquet(packed_path) if packed_path and exists(spark, packed_path) else chunk_index(vectors, most)
+
+
+def write_packed(index: DataFrame, path: str) -> dict[str, int]:
+    """The packed stock-days as one table, and its metadata beside it, which is returned: stock-days, chunks, width."""
+    index.write.mode("overwrite").parquet(path)
+    spark = index.sparkSession
+    row = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("stock_days"), F.sum("length").alias("chunks"), F.max(F.size(F.get("matrix", F.lit(0)))).alias("width")).first()
+    meta = {k: int(row[k] or 0) for k in ("stock_days", "chunks", "width")}
+    write_json(spark, meta, f"{path.rstrip('/')}.meta")
+    return meta
