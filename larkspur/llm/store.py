@@ -5,8 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,24 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """While this lasts, rows go to Python in batches of bounded rows and bytes: texts and packs of sketches are wide.
+def small_batches(df: DataFrame) -> DataFrame:
+    """df in a session of its own that hands rows to Python in batches of bounded rows and bytes: texts and packs of sketches are wide.
 
-    For work that is done before it ends; the session's own settings come back after it.
+    The session is a copy of df's, with all its settings as they are now; df's own session stays as it is. What is made of
+    the result runs with the copy's settings, unless it is joined to the right of a table of another session.
     """
-    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
-    before = {k: spark.conf.get(k, None) for k in own}
-    for k, v in own.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+    spark = df.sparkSession
+    copy = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    copy.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    copy.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    rows = spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copy._jsparkSession, df._jdf.logicalPlan())
+    return DataFrame(rows, copy)
