@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.sampling import bar
-from larkspur.llm.store import small_batches
+from larkspur.llm.store import released, small_batches
 
 UND = "und"
 BUCKETS = 1 << 16
@@ -95,8 +95,9 @@ class Model:
             return None
         total, size = np.zeros(len(self.languages)), 0
         # A long text is read in parts that overlap by the length of an n-gram less one.
-        for at in range(0, len(c) - 2, CHUNK):
-            for part in grams(c[at : at + CHUNK + 2]):
+        step = max(4096, CHUNK // len(self.languages)) if self.languages else CHUNK
+        for at in range(0, len(c) - 2, step):
+            for part in grams(c[at : at + step + 2]):
                 total += self.weights[part].sum(axis=0, dtype=np.float64)
                 size += int(np.count_nonzero(part))
         return total / max(1, size) + self.bias
@@ -180,7 +181,7 @@ def train(df: DataFrame, key: str, text: str, lang: str, eligible: Column, per_l
             both = [features(t) for t in b["_text"]]
             yield pd.DataFrame({"lang": b["_lang"], "order": b["_order"], "buckets": [x.astype("<i4").tobytes() for x, _ in both], "shares": [x.astype("<f4").tobytes() for _, x in both]})
 
-    got = chosen.mapInPandas(run, "lang string, order long, buckets binary, shares binary").toPandas().sort_values(["order", "lang"], kind="stable")
+    got = chosen.mapInPandas(released(run), "lang string, order long, buckets binary, shares binary").toPandas().sort_values(["order", "lang"], kind="stable")
     got = got.groupby("lang", sort=False).head(per_language)
     return fit([(lang_, np.frombuffer(a, "<i4"), np.frombuffer(b, "<f4")) for lang_, a, b in zip(got["lang"], got["buckets"], got["shares"], strict=True)])
 
@@ -191,8 +192,8 @@ def predict(df: DataFrame, text: str, model: Model) -> DataFrame:
     names = [c for c in df.columns if c not in ("lang_pred", "score")]
 
     @F.pandas_udf("lang_pred string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return released(lambda b: (pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"]) for texts in b))(batches)
 
     return small_batches(df).select(*names, run(F.col(text)).alias("_lk_found")).select(*names, "_lk_found.lang_pred", "_lk_found.score")
 

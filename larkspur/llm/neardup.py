@@ -18,7 +18,7 @@ allow it: both sets' weights are summed in BINS hashed bins, and what two sets s
 bins' smaller values. That bound is exact, so it never costs a link, and it leaves few false pairs among texts of one template.
 
 A null text counts as empty. Texts without a word are alike only if they are equal. A text with fewer words than
-`width` is one shingle. Very long texts are hashed whole, about 1 MB of text at a time and never less than one text. Ties between
+`width` is one shingle. Very long texts are hashed whole, about half a megabyte of text at a time and never less than one text. Ties between
 leaders go to the smaller key. Extra columns are not read, whatever their names, but a key or text column is named by the caller. Rows without an id are in no class (class_id null). Rows that repeat
 an id are judged by their own texts; two classes with the same smallest id have the same name, and differ in `_label` of `members`.
 An empty table has no classes.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.components import components
 from larkspur.llm.dartminhash import signature, similarity
-from larkspur.llm.store import cut, small_batches
+from larkspur.llm.store import cut, released, small_batches
 from larkspur.llm.wordhash import mix, shingles, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -74,7 +74,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _text_slices(batch: pd.DataFrame, column: str, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _text_slices(batch: pd.DataFrame, column: str, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Slices of a batch with about `most` characters each."""
     start = size = 0
     for i, n in enumerate(batch[column].str.len()):
@@ -103,7 +103,7 @@ def fingerprints(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     sketches.append(None if own is None else sketch(elements, counts, own))
                 yield pd.DataFrame({"_id": part["_id"].to_numpy(), "_hash": part["_hash"].to_numpy(), "_set": prints, "_sig": signs, "_sketch": sketches})
 
-    return _rows(df, key, text).where("_id IS NOT NULL").mapInPandas(run, "_id long, _hash string, _set binary, _sig binary, _sketch binary")
+    return _rows(df, key, text).where("_id IS NOT NULL").mapInPandas(released(run), "_id long, _hash string, _set binary, _sig binary, _sketch binary")
 
 
 def text_hash(text: str) -> Column:
@@ -151,7 +151,7 @@ def bands(sets: DataFrame) -> DataFrame:
             if len(b):
                 yield pd.DataFrame({"_id": b["_id"].to_numpy(), "_b": list(band_keys(np.frombuffer(b"".join(b["_sig"]), dtype=np.uint32).reshape(len(b), COORDINATES)))})
 
-    return sets.select("_id", "_sig").mapInPandas(run, "_id long, _b array<long>").select("_id", F.explode("_b").alias("_bucket"))
+    return sets.select("_id", "_sig").mapInPandas(released(run), "_id long, _b array<long>").select("_id", F.explode("_b").alias("_bucket"))
 
 
 def linked(texts: DataFrame, sets: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -175,7 +175,7 @@ def linked(texts: DataFrame, sets: DataFrame, width: int, threshold: float) -> D
             if len(b):
                 yield b[["_id", "_leader"]][possible(_sketches(b["_sketch"]), _sketches(b["_other"]), threshold)]
 
-    checked = cut(first.mapInPandas(sieve, "_id long, _leader long").select(F.least("_leader", "_id").alias("a"), F.greatest("_leader", "_id").alias("b")).distinct())
+    checked = cut(first.mapInPandas(released(sieve), "_id long, _leader long").select(F.least("_leader", "_id").alias("a"), F.greatest("_leader", "_id").alias("b")).distinct())
     alike = cut(links(texts, checked, width, threshold).select("a", "b"))
     labels = components(alike).toDF("_id", "_label")
     # The members that have not led their bucket.
@@ -220,7 +220,7 @@ def _round(state: DataFrame, leading: DataFrame, sigs: DataFrame, threshold: flo
                     right += np.maximum(near, x["_id"]).tolist()
                 yield pd.DataFrame({"a": np.array(left, dtype=np.int64), "b": np.array(right, dtype=np.int64)})
 
-    return members.join(leaders, "_bucket").select("_lead", "_members").mapInPandas(run, "a long, b long")
+    return members.join(leaders, "_bucket").select("_lead", "_members").mapInPandas(released(run), "a long, b long")
 
 
 def links(texts: tuple[DataFrame, DataFrame], pairs: DataFrame, width: int, threshold: float, few: bool = False) -> DataFrame:
@@ -243,7 +243,7 @@ def links(texts: tuple[DataFrame, DataFrame], pairs: DataFrame, width: int, thre
 
     # Rows that repeat an id and a text are cut to one before their shingles are made; where both were shuffled, they already stand together.
     once = rows.join(wanted, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"])
-    sets = cut(once.select("_key", "_text").mapInPandas(cover, "_id long, _e binary, _c binary"))
+    sets = cut(once.select("_key", "_text").mapInPandas(released(cover), "_id long, _e binary, _c binary"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def view(e: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +254,7 @@ def links(texts: tuple[DataFrame, DataFrame], pairs: DataFrame, width: int, thre
             yield b[["a", "b"]].assign(similarity=np.array(s, dtype=np.float64))
 
     joined = pairs.join(sets.toDF("a", "_e", "_c"), "a").join(sets.toDF("b", "_e2", "_c2"), "b")
-    return joined.mapInPandas(check, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
+    return joined.mapInPandas(released(check), "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
 def members(df: DataFrame, key: str, text: str, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:

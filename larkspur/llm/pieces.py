@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.store import small_batches
+from larkspur.llm.store import released, small_batches
 from larkspur.llm.wordhash import SpanHasher, mix, unit
 
 MARK = "▁"
@@ -270,7 +270,7 @@ def encode(df: DataFrame, key: str, text: str, model_path: str, check: bool = Tr
                 at = end
 
     rows = small_batches(df).select(F.col(key).cast("long").alias("key"), F.coalesce(F.xxhash64(key), F.lit(0)).alias("seed"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.col(keep).cast("long").alias("kept")] if keep else []))
-    out = rows.mapInArrow(run, "key long, piece_ids array<int>, n_pieces long, ids_crc32 long, lossless boolean" + (", kept long" if keep else ""))
+    out = rows.mapInArrow(released(run), "key long, piece_ids array<int>, n_pieces long, ids_crc32 long, lossless boolean" + (", kept long" if keep else ""))
     return out.withColumnsRenamed({"key": key} | ({"kept": keep} if keep else {}))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,21 @@ def small_batches(df: DataFrame) -> DataFrame:
     copy.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copy._jsparkSession, df._jdf.logicalPlan())
     return DataFrame(rows, copy)
+
+
+def released(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """run, a task's function in Python, after which the worker gives unused memory back to the system: workers live on between stages."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its memory
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task

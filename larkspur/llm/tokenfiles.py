@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import pfor
-from larkspur.llm.store import cut
+from larkspur.llm.store import cut, released
 
 END_ID = 0
 IDS_PER_FILE = 8 << 20
@@ -237,7 +237,7 @@ def write(df: DataFrame, key: str, text: str, tokenizer_path: str, directory: st
         # As text, so that a null key does not turn keys into doubles on the way.
         .select(F.col("_key").cast("string").alias("_key"), "_text")
     )
-    return cut(ordered.mapInPandas(run, "file string, documents long, ids long"))
+    return cut(ordered.mapInPandas(released(run), "file string, documents long, ids long"))
 
 
 def read(spark: SparkSession, directory: str) -> DataFrame:
