@@ -12,7 +12,7 @@ the pieces' bytes gives back exactly the text.
 No piece has a space after another character, so a text falls into independent parts before each space that follows one:
 each different part of a batch is filtered once, all parts together, place by place. A null text counts as empty and
 has no pieces. Rows that repeat key and text get equal pieces; a null key has a seed of its own. An empty table gives an empty one. A text
-is filtered whole: batches hold 2 MB of texts or one longer text, and a single run without a space needs about 400 bytes for each of its bytes. Other
+is filtered whole: batches hold 1 MB of texts or one longer text, and a single run without a space needs about 400 bytes for each of its bytes. Other
 columns than key, text and `keep` are not read.
 """
 
@@ -27,12 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.store import released, small_batches
+from larkspur.llm.store import released, small_batches, trim
 from larkspur.llm.wordhash import SpanHasher, mix, unit
 
 MARK = "▁"
 RANK_SHIFT, SMOOTHING = 100.0, 0.4
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 _U = np.uint64
 
 
@@ -239,6 +239,7 @@ def lattice(path: str) -> Lattice:
     """A model's lattice, kept while the Python worker lives."""
     if path not in _LATTICES:
         _LATTICES[path] = Lattice(path)
+        trim()
     return _LATTICES[path]
 
 

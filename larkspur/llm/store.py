@@ -59,12 +59,17 @@ def released(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
         try:
             yield from run(batches)
         finally:
-            import ctypes
+            trim()
 
-            import pyarrow
+    return task
 
-            pyarrow.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its memory
-                ctypes.CDLL(None).malloc_trim(0)
 
-    return task
+def trim() -> None:
+    """Give the memory that this process does not use back to the system."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its memory
+        ctypes.CDLL(None).malloc_trim(0)
