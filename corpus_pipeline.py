@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import language, mixing, neardup, pieces, secrets
 from larkspur.llm.queries import tokenizer
-from larkspur.llm.store import fresh_dir
+from larkspur.llm.store import fresh_dir, settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # The least score of a language for a document to stay. Rejected: no text, no letter, or no language that stands out.
@@ -34,6 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class, one text of those with that id in it; documents without an id stay."""
+    settle(spark)
     docs = docs.select(*COLUMNS)
     rows = neardup.members(docs, "doc_id", "text")
     kept = rows.where("_id = class_id").groupBy("_label").agg(F.min(F.struct("_id", "_hash")).alias("_m")).select(F.col("_m._id").alias("doc_id"), F.col("_m._hash").alias("_hash"))
@@ -55,6 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Ids and hashes of the texts are mixed, not the texts; equal documents share a place. Documents with a null id or a null source are mixed like others.
     """
+    settle(spark)
     hashed = docs.select(*COLUMNS, neardup.text_hash("text").alias("_hash"))
     light = mixing.mix(hashed.select("doc_id", "source", "_hash").distinct(), "source", "doc_id", "_hash").select("doc_id", "source", "_hash", "position")
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("doc_id", "source", "_hash")]
@@ -81,6 +83,7 @@ def in_file_order(docs: DataFrame) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's sampled pieces, and its position in the mixture: the order of docs' files."""
+    settle(spark)
     return pieces.encode(in_file_order(docs), "doc_id", "text", tokenizer("piece_bpe_32k.model"), keep="position")
 
 
