@@ -15,41 +15,41 @@ from larkspur.operators.asof import asof, available
 from larkspur.operators.panel import KEYS, keyed, require
 
 # The names of the factors, by style.
-PRICE_FACTORS = "momentum_5d momentum_20d momentum_60d reversal_5d volatility_20d volume_zscore_20d max_drawdown_60d rsi_14 overnight_gap beta_60d".split()
+PRICE_FACTORS = ["momentum_5d", "momentum_20d", "momentum_60d", "reversal_5d", "volatility_20d", "volume_zscore_20d", "max_drawdown_60d", "rsi_14", "overnight_gap", "beta_60d"]
 STYLES = {
-    "valuation": "book_to_price earnings_yield sales_to_price cash_flow_yield free_cash_flow_yield ebitda_ev dividend_yield shareholder_yield".split(),
-    "momentum_reversal": "reversal_1m momentum_3m momentum_6m momentum_12m_skip_1m industry_relative_momentum momentum_acceleration high_52w_proximity reversal_5d max_daily_return_1m".split(),
-    "quality_profitability": "roe roa roic gross_margin operating_margin net_margin asset_turnover accruals cfo_assets".split(),
-    "growth_investment": "revenue_growth_yoy eps_growth_yoy ebitda_growth_yoy gross_profit_growth_yoy cfo_growth_yoy asset_growth_yoy capex_assets".split(),
-    "risk_volatility": "market_beta_1y volatility_1m volatility_3m idiosyncratic_volatility downside_volatility max_drawdown_1y leverage interest_coverage".split(),
-    "size_liquidity_volume": "log_market_cap turnover_1m dollar_volume_1m amihud_illiquidity volume_surge".split(),
-    "revision": "fy1_eps_revision_1m fy2_eps_revision_3m target_price_revision_1m recommendation_change".split(),
+    "valuation": ["book_to_price", "earnings_yield", "sales_to_price", "cash_flow_yield", "free_cash_flow_yield", "ebitda_ev", "dividend_yield", "shareholder_yield"],
+    "momentum_reversal": ["reversal_1m", "momentum_3m", "momentum_6m", "momentum_12m_skip_1m", "industry_relative_momentum", "momentum_acceleration", "high_52w_proximity", "reversal_5d", "max_daily_return_1m"],
+    "quality_profitability": ["roe", "roa", "roic", "gross_margin", "operating_margin", "net_margin", "asset_turnover", "accruals", "cfo_assets"],
+    "growth_investment": ["revenue_growth_yoy", "eps_growth_yoy", "ebitda_growth_yoy", "gross_profit_growth_yoy", "cfo_growth_yoy", "asset_growth_yoy", "capex_assets"],
+    "risk_volatility": ["market_beta_1y", "volatility_1m", "volatility_3m", "idiosyncratic_volatility", "downside_volatility", "max_drawdown_1y", "leverage", "interest_coverage"],
+    "size_liquidity_volume": ["log_market_cap", "turnover_1m", "dollar_volume_1m", "amihud_illiquidity", "volume_surge"],
+    "revision": ["fy1_eps_revision_1m", "fy2_eps_revision_3m", "target_price_revision_1m", "recommendation_change"],
 }
 STYLE_FACTORS = [f for names in STYLES.values() for f in names]
 # What a fact may be called, in order of preference.
 FACTS = {
-    "assets": "assets Assets",
-    "assets_current": "assets_current AssetsCurrent",
-    "liabilities": "liabilities Liabilities",
-    "liabilities_current": "liabilities_current LiabilitiesCurrent",
-    "book_equity": "book_equity stockholders_equity StockholdersEquity CommonStocksIncludingAdditionalPaidInCapital",
-    "revenue_ttm": "revenue_ttm revenues_ttm Revenues RevenueFromContractWithCustomerExcludingAssessedTax SalesRevenueNet",
-    "gross_profit_ttm": "gross_profit_ttm GrossProfit",
-    "operating_income_ttm": "operating_income_ttm OperatingIncomeLoss",
-    "net_income_ttm": "net_income_ttm NetIncomeLoss",
-    "eps_ttm": "eps_ttm EarningsPerShareDiluted EarningsPerShareBasic",
-    "cfo_ttm": "cfo_ttm NetCashProvidedByUsedInOperatingActivities",
-    "capex_ttm": "capex_ttm PaymentsToAcquirePropertyPlantAndEquipment",
-    "depreciation_ttm": "depreciation_ttm DepreciationDepletionAndAmortization",
-    "interest_expense_ttm": "interest_expense_ttm InterestExpenseNonOperating InterestExpense",
-    "short_term_debt": "short_term_debt LongTermDebtCurrent DebtCurrent",
-    "long_term_debt": "long_term_debt LongTermDebtNoncurrent",
-    "cash_and_equivalents": "cash_and_equivalents CashAndCashEquivalentsAtCarryingValue",
-    "dividends_ttm": "dividends_ttm PaymentsOfDividends",
-    "buybacks_ttm": "buybacks_ttm PaymentsForRepurchaseOfCommonStock",
-    "shares_outstanding": "shares_outstanding CommonStocksOutstanding EntityCommonStockSharesOutstanding WeightedAverageNumberOfDilutedSharesOutstanding",
+    "assets": ["assets", "Assets"],
+    "assets_current": ["assets_current", "AssetsCurrent"],
+    "liabilities": ["liabilities", "Liabilities"],
+    "liabilities_current": ["liabilities_current", "LiabilitiesCurrent"],
+    "book_equity": ["book_equity", "stockholders_equity", "StockholdersEquity", "CommonStocksIncludingAdditionalPaidInCapital"],
+    "revenue_ttm": ["revenue_ttm", "revenues_ttm", "Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "SalesRevenueNet"],
+    "gross_profit_ttm": ["gross_profit_ttm", "GrossProfit"],
+    "operating_income_ttm": ["operating_income_ttm", "OperatingIncomeLoss"],
+    "net_income_ttm": ["net_income_ttm", "NetIncomeLoss"],
+    "eps_ttm": ["eps_ttm", "EarningsPerShareDiluted", "EarningsPerShareBasic"],
+    "cfo_ttm": ["cfo_ttm", "NetCashProvidedByUsedInOperatingActivities"],
+    "capex_ttm": ["capex_ttm", "PaymentsToAcquirePropertyPlantAndEquipment"],
+    "depreciation_ttm": ["depreciation_ttm", "DepreciationDepletionAndAmortization"],
+    "interest_expense_ttm": ["interest_expense_ttm", "InterestExpenseNonOperating", "InterestExpense"],
+    "short_term_debt": ["short_term_debt", "LongTermDebtCurrent", "DebtCurrent"],
+    "long_term_debt": ["long_term_debt", "LongTermDebtNoncurrent"],
+    "cash_and_equivalents": ["cash_and_equivalents", "CashAndCashEquivalentsAtCarryingValue"],
+    "dividends_ttm": ["dividends_ttm", "PaymentsOfDividends"],
+    "buybacks_ttm": ["buybacks_ttm", "PaymentsForRepurchaseOfCommonStock"],
+    "shares_outstanding": ["shares_outstanding", "CommonStocksOutstanding", "EntityCommonStockSharesOutstanding", "WeightedAverageNumberOfDilutedSharesOutstanding"],
 }
-ESTIMATES = "fy1_eps_estimate fy2_eps_estimate target_price recommendation_score".split()
+ESTIMATES = ["fy1_eps_estimate", "fy2_eps_estimate", "target_price", "recommendation_score"]
 TAX_KEPT = 0.79  # fixed value: the share of operating income left after tax
 
 
@@ -163,9 +163,9 @@ def industry_relative(df: DataFrame, industry: DataFrame | None) -> DataFrame:
     return neutralize(df.join(named, "ticker", "left"), "momentum_6m", "_industry", "industry_relative_momentum").drop("_industry")
 
 
-def first_existing(df: DataFrame, aliases: str, prefix: str = "") -> Column:
+def first_existing(df: DataFrame, aliases: list[str], prefix: str = "") -> Column:
     """The first of the names that is a column, as a double; it is not replaced by a later one where it is NULL."""
-    name = next((a for a in aliases.split() if prefix + a in df.columns), None)
+    name = next((a for a in aliases if prefix + a in df.columns), None)
     return F.lit(None).cast("double") if name is None else F.col(f"`{prefix}{name}`").try_cast("double")
 
 
@@ -221,7 +221,7 @@ def analyst_factors(df: DataFrame, analyst: DataFrame | None, lag_days: int = 1)
     source = analyst.withColumnRenamed("as_of_date", "date") if "as_of_date" in analyst.columns and "date" not in analyst.columns else analyst
     known = available(keyed(source), lag_days).drop("date")
     at = asof(df, known, ["ticker"], "date", "available_date", [c for c in known.columns if c not in ("ticker", "available_date")], prefix="_a_")
-    at = at.select(*[c for c in df.columns], *[first_existing(at, c, "_a_").alias(f"_e_{c}") for c in ESTIMATES])
+    at = at.select(*[c for c in df.columns], *[first_existing(at, [c], "_a_").alias(f"_e_{c}") for c in ESTIMATES])
     made = {"fy1_eps_revision_1m": ("fy1_eps_estimate", 21), "fy2_eps_revision_3m": ("fy2_eps_estimate", 63), "target_price_revision_1m": ("target_price", 21)}
     score = F.col("_e_recommendation_score")
     return at.select(*df.columns, *[change(F.col(f"_e_{c}"), lag(f"_e_{c}", n)).alias(name) for name, (c, n) in made.items()], (score - lag("_e_recommendation_score", 21)).alias("recommendation_change"))

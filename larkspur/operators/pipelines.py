@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.maths import annual_ratio, zscores
+from larkspur.functions.maths import annual_ratio, by_entity, zscores
 from larkspur.operators import diagnostics, evaluation, models, sequences, vectors
 from larkspur.operators.news import not_yet
 from larkspur.operators.panel import KEYS, SPLIT, keyed, long_form, percent_rank_label, require, safe_factor_columns, split_of
@@ -77,7 +77,7 @@ def ridge_by_split(panel: DataFrame, label: str = LABEL, factors: list[str] | No
         raise KeyError("no z-score factor in the panel")
     features = chosen
     if lookback:
-        lagged = frame.select(*KEYS, label, *chosen, *[F.lag(c, i).over(models_window()).cast("double").alias(f"{c}_lag{i}") for c in chosen for i in range(lookback)])
+        lagged = frame.select(*KEYS, label, *chosen, *[F.lag(c, i).over(by_entity()).cast("double").alias(f"{c}_lag{i}") for c in chosen for i in range(lookback)])
         frame, features = lagged, [f"{c}_lag{i}" for c in chosen for i in range(lookback)]
     parts = frame.withColumn("split", split_of("date", split)).where("split IS NOT NULL")
     train = parts.where("split = 'train'")
@@ -92,12 +92,6 @@ def ridge_by_split(panel: DataFrame, label: str = LABEL, factors: list[str] | No
     return {"predictions": predictions, "metrics": metrics, "single_factor": single, "top": top}
 
 
-def models_window():
-    from larkspur.functions.maths import by_entity
-
-    return by_entity()
-
-
 def representations(stored: DataFrame, panel: DataFrame, to: int = 64, width: int | None = None, method: str = "pca", seed: int = 42) -> dict[str, DataFrame]:
     """Mean-pooled stock-day vectors projected to `to` components, with coverage, and the panel that holds them (zeros without news): repr, panel, quality.
 

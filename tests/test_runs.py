@@ -1,5 +1,6 @@
 """Whole runs and forward passes against plain versions."""
 
+import datetime
 import math
 
 import numpy as np
@@ -12,7 +13,7 @@ from larkspur.operators import pipelines as R
 from larkspur.operators import vectors as E
 from larkspur.sources import manifests, tables
 
-DAY = __import__("datetime").date(2024, 1, 2)
+DAY = datetime.date(2024, 1, 2)
 
 
 def plain_norm(x, w, b):
@@ -145,7 +146,7 @@ def test_representations_are_the_projected_means(spark):
 
 def test_chunks_are_encoded_once(spark):
     chunks = spark.createDataFrame([("a", "T", DAY, "one two"), ("b", "T", DAY, None), ("c", "T", DAY, "x")], "chunk_id string, ticker string, date date, chunk_text string")
-    store = manifests.VectorStore(spark, R.tables and spark.conf.get("spark.checkpoint.dir") + "/store")
+    store = manifests.VectorStore(spark, spark.conf.get("spark.checkpoint.dir") + "/store")
     out = R.encode_chunks(chunks, store.ids(), lambda: lambda texts: np.array([[len(t)] for t in texts]), "m", 2)
     store.save(out.where("chunk_id <> 'c'"))
     assert {q["chunk_id"]: q["embedding"] for q in store.load().collect()} == {"a": [7.0], "b": [0.0]}
