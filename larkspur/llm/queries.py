@@ -1,11 +1,11 @@
-"""The ten operators as queries over whole tables, with production parameters."""
+"""The operators as queries over whole tables, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import ann, language, mixing, neardup, pieces, secrets, sharding, store, tokenfiles, topk, warc
+from larkspur.llm import ann, fim, language, mixing, neardup, pieces, secrets, sharding, store, tokenfiles, topk, warc
 
 SHARDS = [1.0] * 16
 
@@ -80,9 +80,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, "text", model).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+    def digest(c: Column) -> Column:
+        return F.sha2(c.cast("binary"), 256)
+
+    output = F.col("output")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(output).alias("output_sha256"), digest(fim.restore(output, F.col("form"))).alias("restored_sha256"))
+
+
 _ALL = (
     op1_dartminhash_classes, op2_rendezvous_sharding, op3_projection_forest, op4_token_files, op5_warc_derivatives,
     op6_sampled_pieces, op7_block_pruned_topk, op8_pfair_mixture, op9_markov_secrets, op10_language,
+    op13_fill_in_middle,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -100,4 +111,13 @@ _TOPK = """WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding]
 p AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p QUALIFY rank <= 5"""
 
-ORACLES: dict[str, str] = {"op1_dartminhash_classes": _CLASSES, "op7_block_pruned_topk": _TOPK}
+_MIDDLE = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w FROM d),
+m AS (SELECT *, len(w)::BIGINT AS n, [('0x' || substr(h, 8 * i + 1, 8))::UBIGINT FOR i IN range(4)] AS r FROM k),
+c AS (SELECT *, (r[1] % (n + 1))::BIGINT AS x, (r[2] % (n + 1))::BIGINT AS y,
+CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM m),
+p AS (SELECT *, array_to_string(w[:least(x, y)], '') AS a, array_to_string(w[least(x, y) + 1:greatest(x, y)], '') AS b, array_to_string(w[greatest(x, y) + 1:], '') AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+ORACLES: dict[str, str] = {"op1_dartminhash_classes": _CLASSES, "op7_block_pruned_topk": _TOPK, "op13_fill_in_middle": _MIDDLE}
