@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import ann, fim, language, mixing, neardup, pieces, secrets, sharding, store, tokenfiles, topk, warc
+from larkspur.llm import ann, fim, language, mixing, neardup, pieces, resample, secrets, sharding, store, tokenfiles, topk, warc
 
 SHARDS = [1.0] * 16
 
@@ -80,6 +80,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, "text", model).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "text")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
@@ -93,7 +97,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_dartminhash_classes, op2_rendezvous_sharding, op3_projection_forest, op4_token_files, op5_warc_derivatives,
     op6_sampled_pieces, op7_block_pruned_topk, op8_pfair_mixture, op9_markov_secrets, op10_language,
-    op13_fill_in_middle,
+    op11_importance_resampling, op13_fill_in_middle,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -111,6 +115,22 @@ _TOPK = """WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding]
 p AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p QUALIFY rank <= 5"""
 
+# The checksum's table has 256 entries, from its polynomial; only different words are summed, byte by byte.
+_RESAMPLE = r"""WITH RECURSIVE k(i, v, n) AS (SELECT i::UBIGINT, i::UBIGINT, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, n + 1 FROM k WHERE n < 8),
+tab AS (SELECT i, v FROM k WHERE n = 8), d AS (SELECT doc_id, row_number() OVER () AS id, coalesce(text, '') AS t FROM documents),
+low AS (SELECT doc_id, id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+f AS (SELECT id, unnest(w) AS w FROM low), b AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+u AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM f UNION SELECT w FROM b)),
+c(w, h, pos, v) AS (SELECT w, h, 1, 4294967295::UBIGINT FROM u UNION ALL SELECT w, h, pos + 2, xor(tab.v, c.v >> 8) FROM c JOIN tab ON tab.i = xor(c.v & 255, ('0x' || substr(h, pos, 2))::UBIGINT) WHERE pos < length(h)),
+x AS (SELECT w, (xor(v, 4294967295::UBIGINT) % 10000)::BIGINT AS bucket FROM c WHERE pos > length(h)),
+s AS (SELECT bucket, count(*) AS n FROM f JOIN x USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM b JOIN x USING (w) GROUP BY bucket),
+g AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+m AS (SELECT id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN x USING (w) JOIN g USING (bucket) GROUP BY id),
+r AS (SELECT low.doc_id, coalesce(m.n, 0)::BIGINT AS n_features, coalesce(m.weight, 0)::BIGINT AS weight, len(low.w) >= 20 AS enough, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT AS h FROM low LEFT JOIN m USING (id)),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY enough) AS many FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND place <= many * 10 // 100 THEN place END AS rank FROM o"""
+
 _MIDDLE = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 k AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w FROM d),
 m AS (SELECT *, len(w)::BIGINT AS n, [('0x' || substr(h, 8 * i + 1, 8))::UBIGINT FOR i IN range(4)] AS r FROM k),
@@ -120,4 +140,4 @@ p AS (SELECT *, array_to_string(w[:least(x, y)], '') AS a, array_to_string(w[lea
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
 sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 
-ORACLES: dict[str, str] = {"op1_dartminhash_classes": _CLASSES, "op7_block_pruned_topk": _TOPK, "op13_fill_in_middle": _MIDDLE}
+ORACLES: dict[str, str] = {"op1_dartminhash_classes": _CLASSES, "op7_block_pruned_topk": _TOPK, "op11_importance_resampling": _RESAMPLE, "op13_fill_in_middle": _MIDDLE}
