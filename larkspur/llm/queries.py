@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import ann, fim, language, mixing, neardup, pieces, resample, secrets, sharding, store, tokenfiles, topk, warc
+from larkspur.llm import ann, fim, language, licenses, mixing, neardup, pieces, resample, secrets, sharding, store, tokenfiles, topk, warc
 
 SHARDS = [1.0] * 16
 
@@ -84,6 +84,15 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "text")
 
 
+def op12_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    starts = F.transform("base", lambda s: s["start"])
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        licenses.labels("base").alias("base_labels"), licenses.labels("base", "found").alias("labels"), "score",
+    )
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
@@ -97,7 +106,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_dartminhash_classes, op2_rendezvous_sharding, op3_projection_forest, op4_token_files, op5_warc_derivatives,
     op6_sampled_pieces, op7_block_pruned_topk, op8_pfair_mixture, op9_markov_secrets, op10_language,
-    op11_importance_resampling, op13_fill_in_middle,
+    op11_importance_resampling, op12_license_spans, op13_fill_in_middle,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -131,6 +140,30 @@ z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296))):
 o AS (SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY enough) AS many FROM z)
 SELECT doc_id, n_features, weight, score, CASE WHEN enough AND place <= many * 10 // 100 THEN place END AS rank FROM o"""
 
+_NOTICES = ", ".join("({}, '{}', '{}')".format(i, label, text.replace("'", "''")) for i, (label, text) in enumerate(licenses.NOTICES))
+_LICENSES = (
+    r"""WITH d AS (SELECT doc_id, row_number() OVER () AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT notice, label, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (VALUES """
+    + _NOTICES
+    + r""") v(notice, label, text)),
+f AS (SELECT * FROM (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')) v(ph, label)),
+b AS (SELECT id, label, unnest([i - 1 FOR i IN range(1, len(w) - len(ph) + 2) IF w[i:i + len(ph) - 1] = ph]) AS p FROM d, f),
+bb AS (SELECT id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, list(DISTINCT label) AS l FROM b GROUP BY id),
+dg AS (SELECT id, unnest(range(len(w) - 3)) AS p, unnest([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) AS g FROM d WHERE len(w) > 3),
+tg AS (SELECT notice, label, len(w) AS n, unnest(range(len(w) - 3)) AS q, unnest([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) AS g FROM t),
+h AS (SELECT id, notice, label, n, p, q, p - q AS diagonal FROM dg JOIN tg USING (g)),
+v AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY id, notice ORDER BY diagonal) > 4, true)::INT AS o FROM (SELECT DISTINCT id, notice, diagonal FROM h)),
+s AS (SELECT id, notice, diagonal, sum(o) OVER (PARTITION BY id, notice ORDER BY diagonal) AS span FROM v),
+c AS (SELECT h.*, span, coalesce(least(4, p - lag(p) OVER (PARTITION BY id, notice, span ORDER BY p)), 4) AS x, coalesce(least(4, q - lag(q) OVER (PARTITION BY id, notice, span ORDER BY q)), 4) AS y FROM h JOIN s USING (id, notice, diagonal)),
+a AS (SELECT id, notice, label, min(p) AS b, max(p) + 4 AS e, sum(x) / (max(p) + 4 - min(p)) AS density, sum(y) AS y, sum(y) / max(n) AS share FROM c GROUP BY id, notice, label, span),
+g AS (SELECT * FROM a WHERE share >= 0.7 AND density >= 0.7),
+k AS (SELECT *, coalesce(e > max(e) OVER (PARTITION BY id ORDER BY b, e DESC, y DESC, share DESC, notice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS beyond FROM g),
+m AS (SELECT id, max(share) AS share, list(DISTINCT label) AS l FROM k WHERE beyond GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(bb.l), ','), '') AS base_labels,
+coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(bb.l, []), coalesce(m.l, [])))), ','), '') AS labels,
+CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score FROM d LEFT JOIN bb USING (id) LEFT JOIN m USING (id)"""
+)
+
 _MIDDLE = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 k AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w FROM d),
 m AS (SELECT *, len(w)::BIGINT AS n, [('0x' || substr(h, 8 * i + 1, 8))::UBIGINT FOR i IN range(4)] AS r FROM k),
@@ -140,4 +173,4 @@ p AS (SELECT *, array_to_string(w[:least(x, y)], '') AS a, array_to_string(w[lea
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
 sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 
-ORACLES: dict[str, str] = {"op1_dartminhash_classes": _CLASSES, "op7_block_pruned_topk": _TOPK, "op11_importance_resampling": _RESAMPLE, "op13_fill_in_middle": _MIDDLE}
+ORACLES: dict[str, str] = {"op1_dartminhash_classes": _CLASSES, "op7_block_pruned_topk": _TOPK, "op11_importance_resampling": _RESAMPLE, "op12_license_spans": _LICENSES, "op13_fill_in_middle": _MIDDLE}
