@@ -64,21 +64,38 @@ def rolling_beta(a: str, b: str, n: int, least: int | None = None, window: Windo
     return ratio(rolling_cov(a, b, n, least, window), rolling(F.var_samp, b, n, least, window))
 
 
-def drawdown(values: Column) -> Column:
-    """The deepest fall from a running maximum in an array without nulls, as a share (0 or less)."""
-    empty = F.struct(F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("low"))
+def with_rolling_drawdown(df: DataFrame, x: str, outs: dict[str, tuple[int, int]], window: WindowSpec | None = None) -> DataFrame:
+    """df with the deepest fall from a running maximum over the last n rows, as a share (0 or less), for each out: (n, least values).
 
-    def step(acc: Column, x: Column) -> Column:
-        top = F.greatest(acc["top"], x)
-        return F.struct(top.alias("top"), F.least(acc["low"], ratio(x, top) - 1.0).alias("low"))
-
-    return F.aggregate(values, empty, step, lambda acc: acc["low"])
-
-
-def rolling_drawdown(x: Column | str, n: int, least: int | None = None, window: WindowSpec | None = None) -> Column:
-    w = (window or by_entity()).rowsBetween(-(n - 1), 0)
-    kept = F.collect_list(clean(x)).over(w)
-    return F.when(F.size(kept) >= (n if least is None else least), drawdown(kept))
+    x is positive or NULL; what is neither finite nor positive counts as missing. A span of rows has a state: its highest and lowest value and its deepest
+    fall. The states of two neighbouring spans give that of both, so spans of 1, 2, 4, ... rows come from one another by `lag`, and n rows are made of the spans
+    of n's binary digits. An empty span is neutral. All steps share one order of the rows: one shuffle and one sort.
+    """
+    w = window or by_entity()
+    value = F.when(clean(x) > 0, clean(x))
+    out = df.withColumn("_lk_x", value).select("*", F.col("_lk_x").alias("_lk_hi0"), F.col("_lk_x").alias("_lk_lo0"), F.when(F.col("_lk_x").isNotNull(), F.lit(0.0)).alias("_lk_fall0"))
+    State = tuple[Column, Column, Column]
+
+    def state(k: int, back: int = 0) -> State:
+        return tuple(F.lag(f"_lk_{c}{k}", back).over(w) if back else F.col(f"_lk_{c}{k}") for c in ("hi", "lo", "fall"))
+
+    def joined(old: State, new: State) -> State:
+        return F.greatest(old[0], new[0]), F.least(old[1], new[1]), F.least(old[2], new[2], ratio(new[1], old[0]) - 1.0)
+
+    digits = {name: [k for k in range(n.bit_length()) if n >> k & 1] for name, (n, _) in outs.items()}
+    for k in range(max(d[-1] for d in digits.values())):
+        both = joined(state(k, 1 << k), state(k))
+        out = out.select("*", *[c.alias(f"_lk_{name}{k + 1}") for name, c in zip(("hi", "lo", "fall"), both, strict=True)])
+    results = []
+    for name, (n, least) in outs.items():
+        back, whole = 0, None
+        for k in digits[name]:
+            part = state(k, back)
+            whole = part if whole is None else joined(part, whole)
+            back += 1 << k
+        enough = F.count("_lk_x").over(w.rowsBetween(-(n - 1), 0)) >= least
+        results.append(F.when(enough, whole[2]).alias(name))
+    return out.select(*[c for c in df.columns if c not in outs], *results)
 
 
 def average_rank(x: Column | str, *keys: str) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.maths import annual_ratio, clean, correlation, ratio, zscores
-from larkspur.operators.evaluation import ZERO, daily_ic, diagnostic_deciles, spread_by, summarize_ic
+from larkspur.operators.correlations import pairwise
+from larkspur.operators.evaluation import ZERO, daily_ic, diagnostic_deciles, spread_by, spread_of, summarize_ic
 from larkspur.operators.panel import KEYS, keyed, long_form, require
 
 LONG = ("split", "factor", "date")
@@ -33,21 +34,34 @@ def all_daily_ic(long: DataFrame, least: int = LEAST) -> DataFrame:
     return daily_ic(long, "value", "label", LONG, least).select(*LONG, "IC", "RankIC", F.col("valid_count").alias("coverage"), "total_rows")
 
 
+def decile_days(long: DataFrame, n: int = 10) -> DataFrame:
+    """split, factor, date, decile, mean_return, count: what the decile tables are made of."""
+    return diagnostic_deciles(long, "value", "label", LONG, n)
+
+
 def decile_summary(long: DataFrame, n: int = 10) -> DataFrame:
     """split, factor, decile, mean_return, days, avg_count: means of the days' means."""
-    return diagnostic_deciles(long, "value", "label", LONG, n).groupBy("split", "factor", "decile").agg(F.avg("mean_return").alias("mean_return"), F.count(F.lit(1)).alias("days"), F.avg("count").alias("avg_count"))
+    return summary_of_days(decile_days(long, n))
+
+
+def summary_of_days(days: DataFrame) -> DataFrame:
+    return days.groupBy("split", "factor", "decile").agg(F.avg("mean_return").alias("mean_return"), F.count(F.lit(1)).alias("days"), F.avg("count").alias("avg_count"))
 
 
 def decile_metrics(long: DataFrame, n: int = 10) -> DataFrame:
     """split, factor and how monotonic their deciles are; top and bottom returns here are those of the summary."""
-    table = decile_summary(long, n)
+    return metrics_of_days(decile_days(long, n), n)
+
+
+def metrics_of_days(days: DataFrame, n: int = 10) -> DataFrame:
+    table = summary_of_days(days)
     w = Window.partitionBy("split", "factor")
     ranked = table.select("*", (F.rank().over(w.orderBy("mean_return")) + (F.count(F.lit(1)).over(Window.partitionBy("split", "factor", "mean_return")) - 1) / 2.0).alias("_rank"))
     shape = ranked.groupBy("split", "factor").agg(
         correlation(F.col("decile").cast("double"), F.col("_rank")).alias("decile_monotonic_score"),
         F.max(F.when(F.col("decile") == n, F.col("mean_return"))).alias("top_decile_return"), F.max(F.when(F.col("decile") == 1, F.col("mean_return"))).alias("bottom_decile_return"),
     )
-    return shape.join(spread_by(long, "value", "label", LONG, n).select("split", "factor", "top_bottom_return", "top_bottom_tstat"), ["split", "factor"], "left")
+    return shape.join(spread_of(days, LONG, n).select("split", "factor", "top_bottom_return", "top_bottom_tstat"), ["split", "factor"], "left")
 
 
 def summary(ic: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
@@ -66,30 +80,18 @@ def summary(ic: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
 
 
 def factor_correlations(panel: DataFrame, factors: list[str], method: str, least: int = LEAST) -> DataFrame:
-    """split, factor_a, factor_b (a before b in the list), corr: the mean over dates of the pairwise correlation.
-
-    Pairs are made of the columns, not of rows: each row carries its pairs, and both are ranked among the rows that have both.
-    """
-    x = panel.where("split IS NOT NULL").select("split", *KEYS, *[clean(f).alias(f) for f in factors])
-    some = F.lit(False)
-    for f in factors:
-        some = some | F.col(f).isNotNull()
-    enough = F.count_if(some).over(Window.partitionBy("split", "date")) >= least
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(factors) for b in factors[i + 1 :]])
-    rows = x.withColumn("_ok", enough).where("_ok").select("split", "date", F.explode(F.filter(pairs, lambda p: p["x"].isNotNull() & p["y"].isNotNull())).alias("p")).select("split", "date", "p.*")
-    keys = ["split", "date", "a", "b"]
-    if method == "spearman":
-        def rank(c: str) -> Column:
-            return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2.0
-        rows = rows.select(*keys, rank("x").alias("x"), rank("y").alias("y"))
-    by_day = rows.groupBy(*keys).agg(correlation("x", "y", least).alias("corr"))
-    return by_day.groupBy("split", F.col("a").alias("factor_a"), F.col("b").alias("factor_b")).agg(F.avg("corr").alias("corr"))
+    """split, factor_a, factor_b (a before b in the list), corr: the mean over dates of the pairwise correlation."""
+    return pairwise(panel, factors, (method,), least).drop("method")
 
 
-def high_pairs(panel: DataFrame, factors: list[str], threshold: float = 0.8) -> DataFrame:
+def over_threshold(pairs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """split, factor_a, factor_b, corr, abs_corr, method of the pairs at or over the threshold."""
-    both = [factor_correlations(panel, factors, m).withColumn("method", F.lit(m)) for m in ("pearson", "spearman")]
-    return both[0].unionByName(both[1]).withColumn("abs_corr", F.abs("corr")).where(F.col("abs_corr") >= threshold).select("split", "factor_a", "factor_b", "corr", "abs_corr", "method")
+    return pairs.withColumn("abs_corr", F.abs("corr")).where(F.col("abs_corr") >= threshold).select("split", "factor_a", "factor_b", "corr", "abs_corr", "method")
+
+
+def high_pairs(panel: DataFrame, factors: list[str], threshold: float = 0.8) -> DataFrame:
+    """The pairs at or over the threshold by values or by ranks, from one pass over the panel."""
+    return over_threshold(pairwise(panel, factors, least=LEAST), threshold)
 
 
 def _by_split(name: str = "RankIC") -> list[Column]:

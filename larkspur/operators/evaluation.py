@@ -170,7 +170,12 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 def spread_by(df: DataFrame, factor: str, ret: str, keys: tuple[str, ...], n: int = 10, every: int = 1) -> DataFrame:
     """keys without date: mean and t of top less bottom decile, on rows with both, at n different values a date at least."""
     groups = tuple(k for k in keys if k != "date")
-    by_day = diagnostic_deciles(rebalance_dates(df, every, groups), factor, ret, keys, n)
+    return spread_of(diagnostic_deciles(rebalance_dates(df, every, groups), factor, ret, keys, n), keys, n)
+
+
+def spread_of(by_day: DataFrame, keys: tuple[str, ...], n: int = 10) -> DataFrame:
+    """spread_by from the days' deciles."""
+    groups = tuple(k for k in keys if k != "date")
     ends = by_day.groupBy(*keys).agg(F.max(F.when(F.col("decile") == n, F.col("mean_return"))).alias("_top"), F.max(F.when(F.col("decile") == 1, F.col("mean_return"))).alias("_bottom"))
     diff = F.col("_top") - F.col("_bottom")
     return ends.groupBy(*groups).agg(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.maths import by_entity, change, positive_log, ratio, rolling, rolling_beta, rolling_drawdown, zscores
+from larkspur.functions.maths import by_entity, change, positive_log, ratio, rolling, rolling_beta, with_rolling_drawdown, zscores
 from larkspur.operators.asof import asof, available
 from larkspur.operators.panel import KEYS, keyed, require
 
@@ -84,6 +84,7 @@ def price_volume_factors(prices: DataFrame, market: DataFrame | None = None, sta
     """The ten price and volume factors, with z-scores (0 for a whole date without spread)."""
     base = with_market(returns(require(prices, ["open", "high", "low"], "prices")), market)
     base = base.select("*", lag("ret_1d").alias("ret_lag1"), lag("market_ret_1d").alias("market_ret_lag1"))
+    base = with_rolling_drawdown(base, "close_lag1", {"max_drawdown_60d": (60, 60)})
     gain, loss = F.when(F.col("ret_lag1").isNotNull(), F.greatest("ret_lag1", F.lit(0.0))), F.when(F.col("ret_lag1").isNotNull(), F.greatest(-F.col("ret_lag1"), F.lit(0.0)))
     strength = ratio(rolling(F.avg, gain, 14), rolling(F.avg, loss, 14))
     out = base.select(
@@ -92,7 +93,7 @@ def price_volume_factors(prices: DataFrame, market: DataFrame | None = None, sta
         (-change(lag("close"), lag("close", 6))).alias("reversal_5d"),
         rolling(F.stddev_samp, "ret_lag1", 20).alias("volatility_20d"),
         ratio(F.col("volume_lag1") - rolling(F.avg, "volume_lag1", 20), rolling(F.stddev_samp, "volume_lag1", 20)).alias("volume_zscore_20d"),
-        rolling_drawdown("close_lag1", 60).alias("max_drawdown_60d"),
+        "max_drawdown_60d",
         (100.0 - F.try_divide(F.lit(100.0), 1.0 + strength)).alias("rsi_14"),
         change(F.col("open"), F.col("close_lag1")).alias("overnight_gap"),
         rolling_beta("ret_lag1", "market_ret_lag1", 60).alias("beta_60d"),
@@ -122,6 +123,7 @@ def style_price_factors(prices: DataFrame) -> DataFrame:
     """The price block of the style library, and what the fundamental block needs of it."""
     base = with_market(returns(prices))
     base = base.select("*", lag("ret_1d").alias("ret_lag1"), lag("market_ret_1d").alias("market_ret_lag1"))
+    base = with_rolling_drawdown(base, "close_lag1", {"max_drawdown_1y": (252, 63)})
     top = "high_lag1" if "high" in prices.columns else "close_lag1"
     traded = F.col("close_lag1") * F.col("volume_lag1")
     beta = rolling_beta("ret_lag1", "market_ret_lag1", 252, 63)
@@ -141,7 +143,7 @@ def style_price_factors(prices: DataFrame) -> DataFrame:
         rolling(F.stddev_samp, "ret_lag1", 21, 5).alias("volatility_1m"),
         rolling(F.stddev_samp, "ret_lag1", 63, 21).alias("volatility_3m"),
         rolling(F.stddev_samp, F.when(F.col("ret_lag1") < 0, F.col("ret_lag1")), 63, 10).alias("downside_volatility"),
-        rolling_drawdown("close_lag1", 252, 63).alias("max_drawdown_1y"),
+        "max_drawdown_1y",
         rolling(F.avg, traded, 21, 5).alias("dollar_volume_1m"),
         rolling(F.avg, ratio(F.abs("ret_lag1"), traded), 21, 5).alias("amihud_illiquidity"),
         ratio("volume_lag1", rolling(F.avg, "volume_lag1", 21, 5)).alias("volume_surge"),

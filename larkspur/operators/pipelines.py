@@ -7,11 +7,11 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from larkspur.functions.maths import annual_ratio, by_entity, zscores
-from larkspur.operators import diagnostics, evaluation, models, sequences, vectors
+from larkspur.operators import correlations, diagnostics, evaluation, models, sequences, vectors
 from larkspur.operators.news import not_yet
 from larkspur.operators.panel import KEYS, SPLIT, keyed, long_form, percent_rank_label, require, safe_factor_columns, split_of
 from larkspur.sources import tables
@@ -117,53 +117,50 @@ def raw_representations(stored: DataFrame, width: int) -> dict[str, DataFrame]:
     return {"repr": pooled.select(*KEYS, F.lit(1).alias("has_news"), "embedded_chunk_count", *vectors.to_columns("vector", width, "mean_emb_")), "quality": vectors.manifest_quality(stored)}
 
 
-def raw_diagnostics(panel: DataFrame, factors: list[str], label: str = LABEL, split: dict[str, tuple[str, str]] | None = SPLIT, n: int = 10, window: int = 60, least: int = 15, threshold: float = 0.8) -> dict[str, DataFrame]:
-    """The seven tables and six matrices of a diagnostics run, by the names of their files. split None: the panel has a split column."""
-    frame = require(keyed(panel), [label, *factors], "panel")
-    frame = frame.withColumn("split", split_of("date", split)) if split else frame
+def diagnostic_parts(frame: DataFrame, factors: list[str], label: str, n: int = 10) -> dict[str, DataFrame]:
+    """What all tables of a diagnostics run are made of: daily coefficients, the days' deciles and the pairs' correlations. frame has a split column."""
     long = diagnostics.long_factors(frame, factors, label)
-    ic = diagnostics.all_daily_ic(long)
-    table = diagnostics.summary(ic, diagnostics.decile_metrics(long, n))
-    pairs = {m: diagnostics.factor_correlations(frame, factors, m) for m in ("pearson", "spearman")}
-    high = [p.withColumn("method", F.lit(m)) for m, p in pairs.items()]
-    high = high[0].unionByName(high[1]).withColumn("abs_corr", F.abs("corr")).where(F.col("abs_corr") >= threshold)
+    return {"ic": diagnostics.all_daily_ic(long), "deciles": diagnostics.decile_days(long, n), "pairs": correlations.pairwise(frame, factors, least=diagnostics.LEAST)}
+
+
+def diagnostic_tables(parts: dict[str, DataFrame], factors: list[str], n: int = 10, window: int = 60, least: int = 15, threshold: float = 0.8) -> dict[str, DataFrame]:
+    """The seven tables and six matrices of a diagnostics run from its parts, by the names of their files."""
+    ic, days, pairs = parts["ic"], parts["deciles"], parts["pairs"]
+    table = diagnostics.summary(ic, diagnostics.metrics_of_days(days, n))
+    high = diagnostics.over_threshold(pairs, threshold)
     out = {
         "summary_by_factor_split": table, "raw_factor_daily_ic": ic, f"raw_factor_rolling{window}_rankic": evaluation.rolling_mean(ic, {window: least}, keys=("factor", "split")),
-        "raw_factor_decile_returns": diagnostics.decile_summary(long, n), "highly_correlated_pairs": high, "factor_stability_flags": diagnostics.stability(table), "recommended_factor_keep_drop": diagnostics.keep_drop(factors, table, high),
+        "raw_factor_decile_returns": diagnostics.summary_of_days(days), "highly_correlated_pairs": high, "factor_stability_flags": diagnostics.stability(table), "recommended_factor_keep_drop": diagnostics.keep_drop(factors, table, high),
     }
-    for m, p in pairs.items():
+    for m in correlations.METHODS:
         for s in ("train", "valid", "test"):
-            out[f"factor_corr_{s}_{m}"] = correlation_matrix(p.where(F.col("split") == s), factors)
+            out[f"factor_corr_{s}_{m}"] = correlations.matrix(pairs.where((F.col("split") == s) & (F.col("method") == m)), factors)
     return out
 
 
-def correlation_matrix(pairs: DataFrame, factors: list[str]) -> DataFrame:
-    """factor and a column for each factor: the pairs both ways round, 1 on the diagonal."""
-    both = pairs.select("factor_a", "factor_b", "corr").unionByName(pairs.select(F.col("factor_b").alias("factor_a"), F.col("factor_a").alias("factor_b"), "corr"))
-    return both.groupBy(F.col("factor_a").alias("factor")).agg(*[F.max(F.when(F.col("factor_a") == f, F.lit(1.0)).when(F.col("factor_b") == f, F.col("corr"))).alias(f) for f in factors])
-
-
-def run_diagnostics(panel: DataFrame, root: str, factors: list[str], label: str = LABEL, split: dict[str, tuple[str, str]] | None = SPLIT, **options: Any) -> dict[str, Any]:
-    """raw_diagnostics written under a folder as CSV, with a JSON summary, which is returned. The panel is kept in memory meanwhile."""
-    held = panel.persist()
-    try:
-        frames = raw_diagnostics(held, factors, label, split, **options)
-        files = tables.write_fan_out(frames, root)
-        spark = panel.sparkSession
-
-        def read(name: str) -> DataFrame:
-            return spark.read.option("header", True).csv(f"{root.rstrip('/')}/{name}.csv")
-
-        # A row a factor, or a pair of factors: few.
-        flags, choice = read("factor_stability_flags").collect(), read("recommended_factor_keep_drop").collect()
-        summary = {
-            "panel_rows": held.count(), "factor_cols": factors, "label_col": label, "split": split, "files": files, "unstable_factors": sorted(r["factor"] for r in flags if r["unstable_flag"] == "true"), "weak_test_factors": sorted(r["factor"] for r in flags if r["weak_flag"] == "true"),
-            "highly_correlated_pair_count": read("highly_correlated_pairs").count(), "recommended_keep": sorted(r["factor"] for r in choice if r["keep_or_drop"] == "keep"), "recommended_drop": sorted(r["factor"] for r in choice if r["keep_or_drop"] == "drop"),
-        } | options
-        tables.write_json(spark, summary, f"{root.rstrip('/')}/diagnostics_summary")
-        return summary
-    finally:
-        held.unpersist()
+def run_diagnostics(panel: DataFrame, root: str, factors: list[str], label: str = LABEL, split: dict[str, tuple[str, str]] | None = SPLIT, n: int = 10, **options: Any) -> dict[str, Any]:
+    """A diagnostics run written under a folder as CSV, with a JSON summary, which is returned. split None: the panel has a split column.
+
+    The panel is read once for each of the three parts, which are written as tables under `parts`; all files are made of those, several at a time.
+    """
+    spark, root = panel.sparkSession, root.rstrip("/")
+    frame = require(keyed(panel), [label, *factors], "panel")
+    frame = frame.withColumn("split", split_of("date", split)) if split else frame
+    parts = {name: f"{root}/parts/{name}.parquet" for name in ("ic", "deciles", "pairs")}
+    made = diagnostic_parts(frame, factors, label, n)
+    tables.write_together({path: made[name] for name, path in parts.items()}, spark)
+    frames = diagnostic_tables({name: spark.read.parquet(path) for name, path in parts.items()}, factors, n, **options)
+    counted = Observation("highly_correlated_pairs")
+    written = frames | {"highly_correlated_pairs": frames["highly_correlated_pairs"].observe(counted, F.count(F.lit(1)).alias("rows"))}
+    files = tables.write_fan_out(written, root)
+    # A row a factor: few.
+    flags, choice = frames["factor_stability_flags"].collect(), frames["recommended_factor_keep_drop"].collect()
+    summary = {
+        "panel_rows": panel.count(), "factor_cols": factors, "label_col": label, "split": split, "files": files, "unstable_factors": sorted(r["factor"] for r in flags if r["unstable_flag"]), "weak_test_factors": sorted(r["factor"] for r in flags if r["weak_flag"]),
+        "highly_correlated_pair_count": counted.get["rows"], "recommended_keep": sorted(r["factor"] for r in choice if r["keep_or_drop"] == "keep"), "recommended_drop": sorted(r["factor"] for r in choice if r["keep_or_drop"] == "drop"),
+    } | options
+    tables.write_json(spark, summary, f"{root}/diagnostics_summary")
+    return summary
 
 
 def attention_columns(df: DataFrame, weights: str, most: int, keys: list[str] = KEYS) -> DataFrame:

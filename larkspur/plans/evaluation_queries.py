@@ -243,14 +243,22 @@ def direction_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(D.direction_flags(D.summary(D.all_daily_ic(long(spark, sf_dir)))).select("factor", "split", "RankIC", "direction_failed_test", "unstable_direction"))
 
 
-@query()
+HIGH = " UNION ALL ".join(f"SELECT *, '{m}' AS method FROM ({corr_sql(m)}) AS {m}" for m in ("pearson", "spearman"))
+# One factor of each connected group of correlated ones; w, s as in WIDE.
+KEEP = f"""names AS (SELECT unnest({FACTORS}) AS factor, unnest(range({len(FACTORS)})) AS i), edge AS (SELECT factor_a AS a, factor_b AS b FROM ({HIGH}) AS h WHERE abs(corr) >= 0.2), both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach(n, label) AS (SELECT factor, i FROM names UNION SELECT both_ways.b, reach.label FROM reach JOIN both_ways ON both_ways.a = reach.n), grp AS (SELECT n AS factor, min(label) AS g FROM reach GROUP BY n),
+sc AS (SELECT factor, i, g, c, {AGREE} AS direction_consistent, CASE WHEN t.split IS NOT NULL THEN coalesce(abs(c) * 100, 0) + coalesce(t.positive_RankIC_ratio, 0) + ({AGREE})::INT + coalesce(1 / (1 + t.RankIC_std), 0) END AS stability_score
+  FROM names JOIN grp USING (factor) LEFT JOIN w USING (factor) LEFT JOIN (SELECT * FROM s WHERE split = 'test') t USING (factor)),
+chosen AS (SELECT *, row_number() OVER o AS k, first_value(factor) OVER o AS kept, (SELECT coalesce(string_agg(x.factor, ';' ORDER BY x.i), '') FROM sc x WHERE x.g = sc.g AND x.factor <> sc.factor) AS correlated_with FROM sc WINDOW o AS (PARTITION BY g ORDER BY stability_score DESC NULLS LAST, c DESC NULLS LAST, i)),
+choice AS (SELECT factor, CASE WHEN k = 1 THEN 'keep' ELSE 'drop' END AS keep_or_drop, CASE WHEN k > 1 THEN 'drop in favor of ' || kept WHEN correlated_with <> '' THEN 'best stability score among correlated factors' ELSE 'no abs(corr) >= threshold pair' END AS reason, correlated_with, c AS test_RankIC, direction_consistent, stability_score FROM chosen)"""
+RECURSIVE_WIDE = WIDE.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(f"{RECURSIVE_WIDE}, {KEEP} SELECT factor, keep_or_drop, reason, correlated_with, {r('test_RankIC', 'test_RankIC')}, direction_consistent, {r('stability_score', 'stability_score', 5)} FROM choice")
 def keep_or_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = load(spark, sf_dir, "signals")
     table = D.summary(D.all_daily_ic(long(spark, sf_dir)))
-    return D.keep_drop(FACTORS, table, D.high_pairs(signals, FACTORS, 0.2))
-
-
-HIGH = " UNION ALL ".join(f"SELECT *, '{m}' AS method FROM ({corr_sql(m)}) AS {m}" for m in ("pearson", "spearman"))
+    return five(D.keep_drop(FACTORS, table, D.high_pairs(signals, FACTORS, 0.2)), ["stability_score"])
 
 
 @query(f"SELECT split, factor_a, factor_b, corr, abs(corr) AS abs_corr, method FROM ({HIGH}) AS h WHERE abs(corr) >= 0.2")

@@ -75,7 +75,7 @@ frames AS (SELECT a.date, a.ticker, b.date AS d, b.close_lag1 AS c, max(b.close_
   FROM (SELECT *, row_number() OVER {W} AS k FROM base) a JOIN (SELECT *, row_number() OVER {W} AS k FROM base) b ON a.ticker = b.ticker AND b.k BETWEEN a.k - 59 AND a.k WHERE b.close_lag1 IS NOT NULL)
 SELECT date, ticker, {r('min(c / top - 1)', 'max_drawdown_60d')} FROM frames WHERE n >= 60 GROUP BY date, ticker""")
 def rolling_max_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = X.returns(load(spark, sf_dir, "bars")).select("date", "ticker", M.rolling_drawdown("close_lag1", 60).alias("max_drawdown_60d"))
+    out = M.with_rolling_drawdown(X.returns(load(spark, sf_dir, "bars")), "close_lag1", {"max_drawdown_60d": (60, 60)}).select("date", "ticker", "max_drawdown_60d")
     return rounded(out.where("max_drawdown_60d IS NOT NULL"))
 
 

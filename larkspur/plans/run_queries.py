@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.operators import correlations as C
 from larkspur.operators import diagnostics as D
 from larkspur.operators import inference as I
 from larkspur.operators import news as N
@@ -19,7 +20,7 @@ from larkspur.operators import pipelines as R
 from larkspur.operators import sequences as S
 from larkspur.operators import vectors as E
 from larkspur.plans.adapters import load, oracle
-from larkspur.plans.evaluation_queries import ALL_IC, DIAG, FACTORS, HIGH, IC, SIGNALS, TABLE, avg_rank, corr_sql, decile_sql, ic_sql
+from larkspur.plans.evaluation_queries import AGREE, DIAG, FACTORS, HIGH, IC, KEEP, LONG, MEASURES, RECURSIVE_WIDE, SIGNALS, avg_rank, corr_sql, decile_sql, ic_sql, rolling_sql
 from larkspur.plans.factor_queries import r, rounded
 from larkspur.plans.text_queries import CALENDAR, PREDS, chunked, vectors
 from larkspur.plans.text_queries import CHUNKS as CHUNK_SQL
@@ -298,14 +299,54 @@ def single_factor_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(baseline(spark, sf_dir)["single_factor"], 5)
 
 
-@query(f"""{ALL_IC}, s AS ({TABLE}) SELECT 'summary_by_factor_split' AS name, count(*) AS rows FROM s UNION ALL SELECT 'raw_factor_daily_ic', count(*) FROM ic UNION ALL SELECT 'raw_factor_rolling60_rankic', count(*) FROM ic
-UNION ALL SELECT 'raw_factor_decile_returns', (SELECT count(*) FROM ({DIAG} SELECT * FROM agg) AS a) UNION ALL SELECT 'highly_correlated_pairs', (SELECT count(*) FROM ({HIGH}) AS h WHERE abs(corr) >= 0.2) UNION ALL SELECT 'factor_stability_flags', {len(FACTORS)} UNION ALL SELECT 'recommended_factor_keep_drop', {len(FACTORS)}
-UNION ALL SELECT * FROM (VALUES {', '.join(f"('factor_corr_{s}_{m}', {len(FACTORS)})" for s in ('train', 'valid', 'test') for m in ('pearson', 'spearman'))}) AS v(name, rows)""")
+# Each table of a diagnostics run by its file's name: key columns, numbers, their digits, texts, and its rows in SQL.
+FLAGS = ["direction_consistent", "unstable_flag", "weak_flag"]
+SHAPE = ["decile_monotonic_score", "top_decile_return", "bottom_decile_return", "top_bottom_return", "top_bottom_tstat"]
+SPLIT_RANKS = ["train_RankIC", "valid_RankIC", "test_RankIC"]
+RUN_TABLES = {
+    "summary_by_factor_split": (["factor", "split"], [*MEASURES, "days", "min_coverage", "max_coverage", *SHAPE], 5, [], "s JOIN shape USING (factor, split)"),
+    "raw_factor_daily_ic": (["split", "factor", "date"], ["IC", "RankIC", "coverage", "total_rows"], 6, [], "ic"),
+    "raw_factor_rolling60_rankic": (["split", "factor", "date"], ["rolling_60d_RankIC"], 6, [], f"(SELECT split, factor, date, {rolling_sql(60, 15, 'PARTITION BY factor, split')} FROM ic)"),
+    "raw_factor_decile_returns": (["split", "factor", "decile"], ["mean_return", "days", "avg_count"], 6, [], "agg"),
+    "highly_correlated_pairs": (["method", "split", "factor_a", "factor_b"], ["corr", "abs_corr"], 6, [], "(SELECT *, abs(corr) AS abs_corr FROM high WHERE abs(corr) >= 0.2)"),
+    "factor_stability_flags": (["factor"], [*SPLIT_RANKS, "selected_direction"], 6, FLAGS, f"(SELECT factor, a AS train_RankIC, b AS valid_RankIC, c AS test_RankIC, {AGREE} AS direction_consistent, coalesce(a * c < 0, false) OR coalesce(b * c < 0, false) AS unstable_flag, coalesce(abs(c) < 0.005, true) AS weak_flag, coalesce(sign(list_median([x FOR x IN [a, b, c] IF x IS NOT NULL])), 0) AS selected_direction FROM w)"),
+    "recommended_factor_keep_drop": (["factor"], ["test_RankIC", "stability_score"], 5, ["keep_or_drop", "reason", "correlated_with", "direction_consistent"], "choice"),
+} | {
+    f"factor_corr_{split}_{m}": (["factor"], FACTORS, 6, [], f"""(SELECT factor_a AS factor, {', '.join(f"max(CASE WHEN factor_b = '{f}' THEN corr END) AS {f}" for f in FACTORS)} FROM (SELECT factor_a, factor_b, corr FROM high WHERE split = '{split}' AND method = '{m}'
+      UNION ALL SELECT factor_b, factor_a, corr FROM high WHERE split = '{split}' AND method = '{m}' UNION ALL SELECT factor, factor, 1.0 FROM names) GROUP BY 1)""")
+    for split in ("train", "valid", "test") for m in ("pearson", "spearman")
+}
+
+
+def melted_sql(name: str) -> str:
+    keys, numbers, digits, texts, source = RUN_TABLES[name]
+    fields = ", ".join(f"'{c}'" for c in [*numbers, *texts])
+    values = ", ".join([*[f"round({c}::DOUBLE, {digits}) + 0.0" for c in numbers], *["NULL" for _ in texts]])
+    words = ", ".join([*["NULL::VARCHAR" for _ in numbers], *[f"{c}::VARCHAR" for c in texts]])
+    return f"SELECT '{name}' AS name, concat_ws('|', {', '.join(f'{k}::VARCHAR' for k in keys)}) AS key, unnest([{fields}]) AS field, unnest([{values}]::DOUBLE[]) AS number, unnest([{words}]) AS text FROM {source}"
+
+
+def melted(df: DataFrame, name: str) -> DataFrame:
+    """name, key, field, number, text: one row a value of one of the run's files, which are all text."""
+    keys, numbers, digits, texts, _ = RUN_TABLES[name]
+    none = F.lit(None).cast("string")
+    fields = [F.struct(F.lit(c).alias("field"), (F.round(F.col(c).cast("double"), digits) + 0.0).alias("number"), none.alias("text")) for c in numbers]
+    fields += [F.struct(F.lit(c).alias("field"), F.lit(None).cast("double").alias("number"), F.coalesce(c, F.lit("")).alias("text")) for c in texts]
+    return df.select(F.lit(name).alias("name"), F.concat_ws("|", *keys).alias("key"), F.inline(F.array(*fields)))
+
+
+SHAPES = f"""ends AS (SELECT split, factor, date, max(CASE WHEN decile = 10 THEN m END) - max(CASE WHEN decile = 1 THEN m END) AS x FROM day GROUP BY ALL), spread AS (SELECT split, factor, avg(x) AS top_bottom_return, avg(x) / stddev_samp(x) * sqrt(count(x)) AS top_bottom_tstat FROM ends GROUP BY ALL),
+ranked AS (SELECT *, {avg_rank('mean_return', 'split, factor')} AS k FROM agg), shape AS (SELECT * FROM (SELECT split, factor, corr(decile, k) AS decile_monotonic_score, max(CASE WHEN decile = 10 THEN mean_return END) AS top_decile_return, max(CASE WHEN decile = 1 THEN mean_return END) AS bottom_decile_return FROM ranked GROUP BY ALL) JOIN spread USING (split, factor))"""
+
+
+@query(f"{RECURSIVE_WIDE}{DIAG[len(LONG):]}, {SHAPES}, high AS ({HIGH}), {KEEP} {' UNION ALL '.join(map(melted_sql, RUN_TABLES))}")
 def diagnostics_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tables of the run as they are in their files: rows of each."""
+    """Every value of the thirteen tables of a run, as they are in its files."""
     root = scratch(spark)
-    done = R.run_diagnostics(load(spark, sf_dir, "signals"), root, FACTORS, "fwd5", None, threshold=0.2)
-    parts = [spark.read.option("header", True).csv(f"{root}/{n}.csv").agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows")) for n in done["files"]]
+    panel = f"{root}/signals.parquet"
+    tables.write_table(load(spark, sf_dir, "signals"), panel)
+    done = R.run_diagnostics(tables.read_panel(spark, panel), root, FACTORS, "fwd5", None, threshold=0.2)
+    parts = [melted(spark.read.option("header", True).csv(f"{root}/{n}.csv"), n) for n in done["files"]]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -315,7 +356,7 @@ def diagnostics_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT factor_a AS factor, max(CASE WHEN factor_b = 'momentum' THEN corr END) AS momentum, max(CASE WHEN factor_b = 'momentum_20' THEN corr END) AS momentum_20, max(CASE WHEN factor_b = 'surge' THEN corr END) AS surge, max(CASE WHEN factor_b = 'distance' THEN corr END) AS distance
 FROM (WITH c AS ({corr_sql('pearson')}) SELECT factor_a, factor_b, corr FROM c WHERE split = 'test' UNION ALL SELECT factor_b, factor_a, corr FROM c WHERE split = 'test' UNION ALL SELECT DISTINCT factor_a, factor_a, 1.0 FROM c UNION ALL SELECT DISTINCT factor_b, factor_b, 1.0 FROM c) AS t GROUP BY 1""")
 def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(R.correlation_matrix(D.factor_correlations(load(spark, sf_dir, "signals"), FACTORS, "pearson").where("split = 'test'"), FACTORS))
+    return rounded(C.matrix(D.factor_correlations(load(spark, sf_dir, "signals"), FACTORS, "pearson").where("split = 'test'"), FACTORS))
 
 
 @query(f"""{VECTOR_ROWS}, p AS (SELECT day, ticker, count(*) AS n, {', '.join(f'avg(embedding[{i + 1}]::DOUBLE) AS e{i}' for i in range(4))} FROM vectors GROUP BY 1, 2) SELECT DATE '2024-01-01' + day AS date, ticker, 1 AS has_news, n AS embedded_chunk_count, {', '.join(r(f'e{i}', f'mean_emb_{i}') for i in range(4))} FROM p""")

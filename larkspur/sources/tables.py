@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -88,10 +90,16 @@ def append_vectors(df: DataFrame, path: str) -> None:
     require(df, ["chunk_id", "ticker", "date", "embedding"], "vectors").write.mode("append").parquet(path)
 
 
+def write_together(frames: dict[str, DataFrame], spark: SparkSession, at_once: int = 4) -> None:
+    """Tables by their paths, several jobs at a time: small ones do not wait for one another."""
+    with ThreadPoolExecutor(at_once) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(write_table), df, path) for path, df in frames.items()]:
+            done.result()
+
+
 def write_fan_out(frames: dict[str, DataFrame], root: str) -> list[str]:
     """Several result tables under one folder."""
-    for name, df in frames.items():
-        write_table(df, f"{root.rstrip('/')}/{name}.csv")
+    write_together({f"{root.rstrip('/')}/{name}.csv": df for name, df in frames.items()}, next(iter(frames.values())).sparkSession)
     return sorted(frames)
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,8 +131,24 @@ def test_drawdown_and_betas_against_plain_python(spark):
         cov = sum((x - mx) * (y - my) for x, y in both) / (len(both) - 1)
         mean = sum(ys) / len(ys)
         assert abs(v - cov / (sum((y - mean) ** 2 for y in ys) / (len(ys) - 1))) < 1e-9
-    c = spark.createDataFrame([([4.0, 5.0, 3.0, 6.0, 3.0],)], "x array<double>").select(M.drawdown(F.col("x"))).first()[0]
-    assert abs(c + 0.5) < 1e-12
+
+
+def test_drawdown_from_doubled_spans_matches_a_plain_one(spark, capsys):
+    rng = random.Random(4)
+    prices = {t: [rng.choice([None, float("nan"), 0.0]) if rng.random() < 0.15 else round(rng.uniform(1, 9), 2) for _ in range(n)] for t, n in (("A", 90), ("B", 1), ("C", 41), ("D", 300))}
+    df = spark.createDataFrame([(d, t, x) for t, xs in prices.items() for d, x in zip(days(len(xs)), xs, strict=True)], "date date, ticker string, x double").repartition(3)
+    outs = {"one": (1, 1), "seven": (7, 3), "sixty": (60, 20), "year": (252, 63)}
+    made = M.with_rolling_drawdown(df, "x", outs)
+    got = {(r["ticker"], r["date"]): r for r in made.collect()}
+    for t, xs in prices.items():
+        for i, d in enumerate(days(len(xs))):
+            for name, (n, least) in outs.items():
+                inside = [x for x in xs[max(0, i - n + 1) : i + 1] if x is not None and x == x and x > 0]
+                want = min(x / max(inside[: k + 1]) - 1 for k, x in enumerate(inside)) if len(inside) >= least else None
+                assert got[t, d][name] == want if want is None else abs(got[t, d][name] - want) < 1e-12
+    M.with_rolling_drawdown(df, "x", outs).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "collect_list" not in plan and "array" not in plan
 
 
 def test_panel_joins_check_their_keys(spark):
