@@ -6,7 +6,8 @@ characters with a letter in it; it is a secret if its log-likelihood as a random
 `threshold`. Spans count code points, the end is exclusive.
 
 A null text counts as empty. Spans of one kind do not overlap; spans of different kinds may. Rows are judged one by
-one, so repeated rows give repeated results, and an empty table an empty one. A very long text is one string in one task. Other columns stay.
+one, so repeated rows give repeated results, and an empty table an empty one. A very long text is one string in one task, which
+takes time in proportion to its length and n log n steps for its n spans. Other columns stay.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.llm.arrays import blocks_of, let, piece, running
 from larkspur.llm.sampling import lowest
 
 # The patterns of the base kinds, in the order in which spans with the same start are listed.
 ASSIGN = r"""((?i)(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = ("assign", "access", "hex", "markov")
+MARKOV, FAR = 3, 2**31 - 1
 # A run of the characters is as long as it can be, so a least length in the pattern drops just the shorter runs.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
@@ -45,16 +48,15 @@ def matches(text: Column, pattern: str) -> Column:
     The pieces between the matches and the matches themselves have lengths; their running sum gives the places.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(F.transform(F.split(text, pattern, -1), F.length), F.transform(found, F.length), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["hit"], F.lit(0))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))).alias("out"))
+    def placed(v: Column) -> Column:
+        n = F.size(v["found"])
+        return let(running(F.zip_with(F.slice(v["gaps"], F.lit(1), n), v["found"], lambda gap, hit: gap + F.length(hit)), lambda x, y: x + y, 0), lambda ends: F.zip_with(
+            ends, v["found"], lambda end, hit: F.struct((end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("text"))
+        ))
 
-    places = F.aggregate(lengths, empty, step, lambda acc: acc["out"])
-    return F.zip_with(places, found, lambda p, f: F.struct(p["start"].alias("start"), p["end"].alias("end"), f.alias("text")))
+    return let(F.struct(found.alias("found"), gaps.alias("gaps")), placed)
 
 
 def spans_of(text: Column, kind: int, pattern: str, keep=None) -> Column:
@@ -77,10 +79,9 @@ def with_base(df: DataFrame, text: str) -> DataFrame:
 
 
 def pairs(s: Column) -> Column:
-    """Places in the model table of a string's neighbouring characters."""
-    def code(i: Column) -> Column:
-        return F.ascii(F.substring(s, i, F.lit(1))) - LOW
-    return F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: code(i) * CODES + code(i + 1))
+    """Places in the model table of a string's neighbouring characters; the string has two at least."""
+    codes = F.transform(F.split(s, ""), lambda c: F.ascii(c) - LOW)
+    return let(codes, lambda v: F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: a * CODES + b))
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -129,6 +130,23 @@ def labelled(spark: SparkSession, df: DataFrame, key: str, text: str, documents:
     return source.withColumn("random", F.lit(True)).unionByName(ordinary.withColumn("random", F.lit(False)))
 
 
+def with_fresh(base: Column, extra: Column) -> Column:
+    """base and those spans of extra (of a later kind) that overlap none of it, sorted.
+
+    In the order of starts, what overlaps a span began before it and ends behind its start, or is the next to begin and begins before its end.
+    """
+    def judged(all_spans: Column) -> Column:
+        def is_base(s: Column) -> Column:
+            return s["kind"] < MARKOV
+
+        ends = running(F.transform(all_spans, lambda s: F.when(is_base(s), s["end"]).otherwise(0)), lambda x, y: F.greatest(x, y), 0)
+        starts = F.reverse(running(F.reverse(F.transform(all_spans, lambda s: F.when(is_base(s), s["start"]).otherwise(FAR))), lambda x, y: F.least(x, y), FAR))
+        both = F.struct(all_spans.alias("spans"), ends.alias("ends"), starts.alias("starts"))
+        return let(both, lambda v: F.filter(v["spans"], lambda s, i: is_base(s) | ((F.get(v["ends"], i) <= s["start"]) & (F.get(v["starts"], i) >= s["end"]))))
+
+    return F.when(F.size(extra) > 0, let(F.array_sort(F.concat(base, extra)), judged)).otherwise(base)
+
+
 def scan(df: DataFrame, text: str, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """df with `base` and `spans`: arrays of (start, kind, end) by start, then kind. Columns of those names are replaced.
 
@@ -140,11 +158,10 @@ def scan(df: DataFrame, text: str, model: list[float], threshold: float = THRESH
         return F.aggregate(pairs(s), F.lit(0.0), lambda acc, p: acc + F.get(ratios, p))
 
     found = with_base(df.drop("base", "spans"), text).withColumn("base", F.array_sort(F.concat("_lk_assign", "_lk_access", "_lk_hex")))
-    random = spans_of(F.col("_lk_text"), 3, CANDIDATE, lambda m: F.rlike(m["text"], F.lit("[A-Za-z]")) & (score(m["text"]) > threshold))
-    fresh = F.filter(F.col("_lk_markov"), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    random = spans_of(F.col("_lk_text"), MARKOV, CANDIDATE, lambda m: F.rlike(m["text"], F.lit("[A-Za-z]")) & (score(m["text"]) > threshold))
     return (
         found.withColumn("_lk_markov", random)
-        .withColumn("spans", F.array_sort(F.concat("base", fresh)))
+        .withColumn("spans", with_fresh(F.col("base"), F.col("_lk_markov")))
         .drop("_lk_assign", "_lk_access", "_lk_hex", "_lk_markov", "_lk_text")
     )
 
@@ -157,14 +174,12 @@ def listed(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mask: str = MASK) -> Column:
     """The text with every span, or run of overlapping spans, replaced by the mask."""
-    clear = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-
-    return F.when(F.size(spans) > 0, F.aggregate(spans, clear, step, finish)).otherwise(text)
+    def masked(v: Column) -> Column:
+        ends, many = v["ends"], F.size(v["spans"])
+        heads = F.filter(F.sequence(F.lit(0), many - 1), lambda i: (i == 0) | (F.get(v["spans"], i)["start"] >= F.get(ends, i - 1)))
+        clear = F.transform(heads, lambda i: piece(v["blocks"], F.coalesce(F.get(ends, i - 1), F.lit(0)), F.get(v["spans"], i)["start"]))
+        return F.array_join(F.concat(clear, F.array(piece(v["blocks"], F.get(ends, many - 1), v["length"]))), mask)
+
+    ends = running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y), 0)
+    parts = F.struct(spans.alias("spans"), ends.alias("ends"), blocks_of(text).alias("blocks"), F.length(text).alias("length"))
+    return F.when(F.size(spans) > 0, let(parts, masked)).otherwise(text)

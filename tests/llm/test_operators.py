@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import random
 import re
 import time
 import zlib
@@ -391,6 +392,59 @@ def test_mixture_of_a_row_and_a_key_with_many_rows(spark):
 # --- secrets
 
 
+def plain_spans(text, model, threshold=secrets.THRESHOLD):
+    """Base and Markov spans by loops over matches and characters; the text with its spans masked."""
+    text, out = text or "", []
+    for m in re.finditer(secrets.ASSIGN.replace("(?i)(?:", "(?i:"), text):
+        if len(m.group(2)) >= secrets.LEAST_VALUE:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer(secrets.ACCESS, text)] + [(m.start(), 2, m.end()) for m in re.finditer(secrets.HEX, text)]
+    base = sorted(out)
+    for m in re.finditer(secrets.CANDIDATE, text):
+        run = m.group()
+        score = sum(model[(ord(a) - secrets.LOW) * secrets.CODES + ord(b) - secrets.LOW] for a, b in zip(run, run[1:], strict=False))
+        if re.search("[A-Za-z]", run) and score > threshold and not any(b[0] < m.end() and m.start() < b[2] for b in base):
+            out.append((m.start(), 3, m.end()))
+    masked, at = "", 0
+    for start, _, end in sorted(out):
+        if start >= at:
+            masked += text[at:start] + secrets.MASK
+        at = max(at, end)
+    return base, sorted(out), masked + text[at:]
+
+
+def test_spans_and_masks_match_plain_loops(spark, odd):
+    rng = random.Random(6)
+    model = [rng.uniform(-2, 2) for _ in range(secrets.CODES**2)]
+    parts = ["password=", "SECRET: 'abc", "token", "AKIA" + "A1B2" * 5, "0123456789abcdef" * 2, "plainwords_of_some_length", "é你🎉", "\n", " ", "/", "xYz123+/=-_Q", "api_key=", "ab", "AKIA", "deadbeef" * 3]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 40))) for _ in range(300)] + ["x" * 3000 + " password=abcdefgh " + "é" * 2500 + "token: zzzzzzzzz"]
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS).unionByName(odd)
+    rounded = [round(x, 6) for x in model]
+    out = secrets.scan(df, "text", model).withColumn("clean", secrets.redacted(F.coalesce("text", F.lit("")), F.col("spans"))).collect()
+    assert any(s["kind"] == 3 for r in out for s in r["spans"])
+    for r in out:
+        base, spans, clean = plain_spans(r["text"], rounded)
+        assert [tuple(s) for s in r["base"]] == base and [tuple(s) for s in r["spans"]] == spans and r["clean"] == clean
+
+
+def test_time_grows_with_the_spans_of_a_text(spark):
+    text = "".join(hashlib.md5(str(i).encode()).hexdigest() + " " + base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode()[:30] + ", " for i in range(15_000))
+    model = [1.0] * secrets.CODES**2
+    found = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text", model)
+    masked = found.select(F.size("spans").alias("n"), F.length(secrets.redacted(F.col("text"), F.col("spans"))).alias("left"))
+    took = []
+    for _ in range(3):
+        began = time.time()
+        r = masked.first()
+        took.append(time.time() - began)
+    assert len(text) > 950_000 and r["n"] > 29_000 and r["left"] < 400_000
+    assert min(took) < 3
+    long_run = spark.createDataFrame([(1, base64.b64encode(bytes(i * 7919 % 251 for i in range(750_000))).decode())], "doc_id long, text string")
+    began = time.time()
+    assert secrets.scan(long_run, "text", model).select(F.size("spans").alias("n")).first()["n"] == 1
+    assert time.time() - began < 20
+
+
 def plain_base(text):
     a = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m.group(2)) >= 6]
     b = [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
