@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from larkspur.functions.maths import ratio, zscores
 from larkspur.operators.diagnostics import linear
 from larkspur.operators.panel import KEYS, first_by, keyed, unique_by
+from larkspur.operators.quantiles import exact_quantiles
 
 # The registry of baselines.
 BASELINES = [
     ("B0", "factor-only ridge"), ("B1", "headline embedding"), ("B2", "mean chunk pooling"), ("B3", "stock-aware chunk attention"), ("B4", "end-to-end mixture"), ("B5", "decoupled gate"),
 ]
-
+GATE_QUANTILES = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
 
 SUMS = 16
 
@@ -160,9 +161,10 @@ def text_alpha(predictions: DataFrame, coverage: DataFrame | None = None, attent
 
 
 def gate_statistics(df: DataFrame, column: str) -> DataFrame:
-    """Mean, population spread and five quantiles."""
-    q = F.percentile(column, F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
-    return df.agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), *[F.get(q, F.lit(i)).alias(n) for i, n in enumerate(("q05", "q25", "q50", "q75", "q95"))])
+    """Mean, population spread and five exact quantiles: one row."""
+    found = exact_quantiles(df, column, list(GATE_QUANTILES.values()))
+    row = (found["mean"], found["std"], *found["quantiles"])
+    return df.sparkSession.createDataFrame([row], ", ".join(f"{c} double" for c in ("mean", "std", *GATE_QUANTILES)))
 
 
 def split_sizes(df: DataFrame, label: str) -> DataFrame:

@@ -11,6 +11,7 @@ from larkspur.functions import maths as M
 from larkspur.operators import asof as A
 from larkspur.operators import factors as X
 from larkspur.operators import panel as P
+from larkspur.operators.quantiles import exact_quantiles
 
 
 def days(n, start=dt.date(2020, 1, 1)):
@@ -163,3 +164,55 @@ def test_panel_joins_check_their_keys(spark):
     with pytest.raises(KeyError):
         P.keyed(f.drop("ticker"))
     assert P.only_new(f, f.withColumn("z", F.lit(2)), ["date", "ticker"]).columns == ["date", "ticker", "x", "z"]
+
+
+def test_asof_of_a_hot_ticker_by_blocks(spark):
+    rng = random.Random(1)
+    start = dt.date(2020, 1, 1)
+    facts = [(t, start + dt.timedelta(rng.randrange(900)), rng.randrange(5), rng.choice([None, 1.0, 2.0, 3.0])) for t in ["HOT"] * 40 + ["B"] * 3 + [None] * 2 for _ in range(1)]
+    facts += [("HOT", None, 1, 9.0)]
+    rows = [("HOT", start + dt.timedelta(i % 1000), i) for i in range(6000)] + [(t, start + dt.timedelta(rng.randrange(-50, 1000)), 7) for t in ["B", "C", None] * 20] + [("HOT", None, -1)]
+    left = spark.createDataFrame(rows, "ticker string, date date, n int").repartition(4)
+    right = spark.createDataFrame(facts, "ticker string, day date, tie int, v double").repartition(3)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = A.asof(left, right, ["ticker"], "date", "day", ["tie"], "f_", block=20).withColumn("_p", F.spark_partition_id()).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(out) == len(rows)
+    for r in out:
+        known = sorted((f for f in facts if f[0] == r["ticker"] and f[1] is not None and r["date"] is not None and f[1] <= r["date"]), key=lambda f: (f[1], f[2]))
+        ties = {f[3] for f in known if f[1:3] == known[-1][1:3]} if known else {None}
+        assert r["f_v"] in ties and (r["f_day"], r["f_tie"]) == (known[-1][1:3] if known else (None, None))
+    sizes = {}
+    for r in out:
+        sizes[r["_p"]] = sizes.get(r["_p"], 0) + 1
+    assert len(sizes) == 16 and max(sizes.values()) < len(rows) / 4
+    numbers = A.asof(spark.range(10).selectExpr("id", "1 AS k"), spark.createDataFrame([(1, 3, "a"), (1, 7, "b")], "k int, at long, x string"), ["k"], "id", "at", block=2)
+    assert [r["x"] for r in numbers.orderBy("id").collect()] == [None] * 3 + ["a"] * 4 + ["b"] * 3
+
+
+@pytest.mark.parametrize("kind", ["even", "ties", "outliers", "tiny", "one", "none"])
+def test_exact_quantiles_by_refined_ranges(spark, kind):
+    rng = random.Random(2)
+    xs = {
+        "even": [rng.random() for _ in range(3001)], "ties": [float(rng.randrange(3)) for _ in range(2000)] + [1.5], "outliers": [rng.gauss(0, 1) * 10.0 ** rng.randrange(-300, 300) for _ in range(2500)] + [1e308, -1e308],
+        "tiny": [1.0 + i * 2.0**-52 for i in range(2000)], "one": [4.0], "none": [],
+    }[kind]
+    df = spark.createDataFrame([(x,) for x in [*xs, None, float("nan"), float("inf")]], "x double").repartition(3)
+    probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+    # Few ranges and values held, so that ranges are refined again and again.
+    for ranges, held in ((8, 4), (1024, 16_384)):
+        found = exact_quantiles(df, "x", probs, ranges, held)
+        assert found["n"] == len(xs)
+        ordered = sorted(xs)
+        for p, q in zip(probs, found["quantiles"], strict=True):
+            if not xs:
+                assert q is None
+                continue
+            at = (len(xs) - 1) * p
+            low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+            assert q == (low if at == math.floor(at) else (math.ceil(at) - at) * low + (at - math.floor(at)) * high)
