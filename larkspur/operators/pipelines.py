@@ -99,8 +99,8 @@ def representations(stored: DataFrame, panel: DataFrame, to: int = 64, width: in
     """
     quality = vectors.manifest_quality(stored)
     once = vectors.first_of_each(stored.where("embedding IS NOT NULL"))
-    pooled = vectors.numbered_mean(keyed(once), KEYS, "embedding")
     width = width or (once.select(F.size("embedding").alias("n")).first() or {"n": to})["n"]
+    pooled = vectors.numbered_mean(keyed(once), KEYS, "embedding", width=width)
     mean, matrix = vectors.projection(pooled, "vector", width, to, method, seed)
     projected = vectors.project(pooled, "vector", mean, matrix, to, "vector")
     named = vectors.with_coverage(projected, keyed(panel)).withColumns({"embedding_dim": F.lit(to), "repr_method": F.lit(PROJECTED)})
@@ -113,7 +113,7 @@ def representations(stored: DataFrame, panel: DataFrame, to: int = 64, width: in
 def raw_representations(stored: DataFrame, width: int) -> dict[str, DataFrame]:
     """Mean-pooled stock-day vectors of full width as columns, with has_news and the number of chunks: repr, quality."""
     once = vectors.first_of_each(stored.where("embedding IS NOT NULL"))
-    pooled = vectors.numbered_mean(keyed(once), KEYS, "embedding")
+    pooled = vectors.numbered_mean(keyed(once), KEYS, "embedding", width=width)
     return {"repr": pooled.select(*KEYS, F.lit(1).alias("has_news"), "embedded_chunk_count", *vectors.to_columns("vector", width, "mean_emb_")), "quality": vectors.manifest_quality(stored)}
 
 

@@ -74,19 +74,6 @@ def into_panel(panel: DataFrame, pooled: DataFrame, vector: str, width: int) ->
     return joined.withColumn("has_vector", F.exists(vector, lambda x: x != 0))
 
 
-def packed(vectors: DataFrame, order: list[str], most: int = 64) -> DataFrame:
-    """One row a stock-day: its first `most` vectors in order as a matrix, their number, and where they begin in the order of (ticker, date).
-
-    The offset is a running sum over stock-days by ticker, then over tickers: no task sees more than a ticker's days or the list of tickers.
-    """
-    ranked = vectors.withColumn("_r", F.row_number().over(Window.partitionBy("ticker", "date").orderBy(*order))).where(F.col("_r") <= most)
-    days = ranked.groupBy("ticker", "date").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "embedding"))), lambda s: s["embedding"]).alias("matrix")).withColumn("length", F.size("matrix"))
-    own = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    inner = days.withColumn("_in", F.sum("length").over(own) - F.col("length"))
-    totals = days.groupBy("ticker").agg(F.sum("length").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("ticker").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-    return inner.join(totals.select("ticker", "_before"), "ticker").select("ticker", "date", "matrix", (F.col("_before") + F.col("_in")).alias("offset"), F.col("length").cast("long").alias("length"))
-
-
 def compare(direct: DataFrame, cached: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
     """One row: keys on one side only, keys on both, and the largest difference of a component."""
     a, b = direct.select(*keys, F.col(vector).alias("_a")), cached.select(*keys, F.col(vector).alias("_b"))

@@ -24,7 +24,7 @@ from larkspur.plans.evaluation_queries import AGREE, DIAG, FACTORS, HIGH, IC, KE
 from larkspur.plans.factor_queries import r, rounded
 from larkspur.plans.text_queries import CALENDAR, PREDS, chunked, vectors
 from larkspur.plans.text_queries import CHUNKS as CHUNK_SQL
-from larkspur.sources import filings, manifests, tables
+from larkspur.sources import blocks, filings, manifests, tables
 
 QUERIES, ORACLES = {}, {}
 
@@ -131,31 +131,44 @@ def stored(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
         F.concat(F.lit("chunk"), F.col("vec_id").cast("string")).alias("chunk_id"), F.concat(F.lit("t"), F.col("label").cast("string")).alias("ticker"), date.alias("date"), F.lit("m").alias("model_name"),
         F.format_string("v%d.npy", "vec_id").alias("embedding_path"), F.size("embedding").alias("embedding_dim"), F.lit("2024-01-01 09:00:00").alias("publish_time"), F.format_string("n%d", (F.col("vec_id") / 7).cast("int")).alias("source_news_id"), (F.col("vec_id") % 7).cast("int").alias("chunk_index"),
     )
-    lines = v.orderBy("vec_id").select(F.to_json(line).alias("value")).coalesce(1)
-    lines.write.text(f"{root}/manifest")
-    return root, v
+    v.select(F.to_json(line).alias("value")).write.text(f"{root}/manifest")
+    return root, manifests.stored_vectors(spark, f"{root}/manifest", f"{root}/vectors", "part-*")
 
 
-@query(f"{MANIFEST} SELECT concat('chunk', CAST(vec_id AS STRING)) AS chunk_id, ticker, date, row_number() OVER (ORDER BY vec_id)::INT AS line, len(embedding)::INT AS width, round(embedding[1]::DOUBLE, 6) + 0.0 AS first FROM v")
+@query(f"{MANIFEST} SELECT concat('chunk', CAST(vec_id AS STRING)) AS chunk_id, ticker, date, len(embedding)::INT AS width, round(embedding[1]::DOUBLE, 6) + 0.0 AS first FROM v")
 def manifest_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifest lines, numbered in their file, joined to the NumPy files they name."""
-    root, _ = stored(spark, sf_dir)
-    lines = manifests.read_manifests(spark, f"{root}/manifest", "part-*")
-    held = manifests.read_vectors(spark, f"{root}/vectors")
-    named = manifests.resolved(lines.drop("embedding"), held.select(F.col("file").alias("path")), f"{root}/vectors".removeprefix("file:"))
-    out = P.keyed(named.join(held, "file", "left"))
-    return rounded(out.select("chunk_id", "ticker", "date", "line", F.size("embedding").alias("width"), F.get("embedding", F.lit(0)).alias("first")))
+    """Manifest lines with the NumPy files they name, through a data source that opens those alone."""
+    _, named = stored(spark, sf_dir)
+    return rounded(named.select("chunk_id", "ticker", "date", F.size("embedding").alias("width"), F.get("embedding", F.lit(0)).cast("double").alias("first")))
 
 
-@query(f"{MANIFEST}, k AS (SELECT ticker, date, count(*) AS length FROM v GROUP BY ALL) SELECT ticker, date, least(length, 64) AS length FROM k")
+@query(f"{MANIFEST} SELECT concat('chunk', CAST(vec_id AS STRING)) AS chunk_id, ticker, date, round(embedding[64]::DOUBLE, 6) + 0.0 AS last FROM v WHERE ticker IN ('T3', 'T7') AND date >= DATE '2024-01-05' AND date < DATE '2024-01-15'")
+def vectors_of_some_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions on ticker and date reach the reader of the manifest."""
+    _, named = stored(spark, sf_dir)
+    some = named.where(F.col("ticker").isin("T3", "T7") & (F.col("date") >= F.lit("2024-01-05").cast("date")) & (F.col("date") < F.lit("2024-01-15").cast("date")))
+    return rounded(some.select("chunk_id", "ticker", "date", F.get("embedding", F.lit(63)).cast("double").alias("last")))
+
+
+@query(f"""{MANIFEST}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY 'n' || CAST(CAST(floor(vec_id / 7) AS INT) AS STRING), vec_id % 7, 'chunk' || CAST(vec_id AS STRING)) AS r FROM v)
+SELECT ticker, date, count(*) AS length, round(max(CASE WHEN r = 1 THEN embedding[1] END)::DOUBLE, 6) + 0.0 AS first, round(sum(embedding[64]::DOUBLE), 5) + 0.0 AS last FROM k WHERE r <= 64 GROUP BY ticker, date""")
 def chunk_index_of_a_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root, _ = stored(spark, sf_dir)
-    lines = manifests.read_manifests(spark, f"{root}/manifest", "part-*").drop("embedding")
-    held = manifests.read_vectors(spark, f"{root}/vectors")
-    named = P.keyed(manifests.resolved(lines, held.select(F.col("file").alias("path")), f"{root}/vectors".removeprefix("file:")).join(held, "file"))
-    packed = f"{root}/packed.parquet"
-    manifests.write_packed(manifests.chunk_index(named), packed)
-    return manifests.packed_index(spark, packed, named).select("ticker", "date", "length")
+    """Each stock-day's vectors in order, written to block files and read back."""
+    root, named = stored(spark, sf_dir)
+    index = blocks.write_blocks(named, f"{root}/packed")
+    out = blocks.read_blocks(index, f"{root}/packed")
+    last = F.aggregate("matrix", F.lit(0.0), lambda a, v: a + F.get(v, F.lit(63)).cast("double"))
+    return rounded(out.select("ticker", "date", F.size("matrix").cast("long").alias("length"), F.round(F.get(F.get("matrix", F.lit(0)), F.lit(0)).cast("double"), 6).alias("first"), F.round(last, 5).alias("last")))
+
+
+@query(f"{MANIFEST}, k AS (SELECT ticker, date, count(*) AS length FROM v GROUP BY ALL) SELECT 0 AS only_direct, 0 AS only_cached, (SELECT count(*) FROM k) AS both, 0.0::DOUBLE AS largest_difference, (SELECT sum(least(length, 64))::BIGINT FROM k) AS chunks")
+def packed_against_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block files against the stock-days made anew: the same vectors in the same order."""
+    root, named = stored(spark, sf_dir)
+    index = blocks.write_blocks(named, f"{root}/packed")
+    flat = [blocks.packed_or_direct(spark, d, named).select("ticker", "date", F.flatten("matrix").alias("embedding")) for d in (None, f"{root}/packed")]
+    both = E.compare(*flat, P.KEYS).withColumn("_k", F.lit(1))
+    return both.join(blocks.summary(index).select("chunks", F.lit(1).alias("_k")), "_k").drop("_k")
 
 
 VECTOR_ROWS = f"WITH {oracle('vectors')}"
@@ -166,8 +179,9 @@ def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the vectors saved, then the rest of them by the ids that the store lacks."""
     store = manifests.VectorStore(spark, scratch(spark))
     v = vectors(spark, sf_dir).withColumn("model_name", F.lit("m"))
-    store.save(v.where("day < 10"))
-    store.save(v.join(store.ids(), "chunk_id", "left_anti"))
+    for _ in range(2):  # the repeat changes nothing
+        store.save(v.where("day < 10"), "first")
+    store.save(v.join(store.ids(), "chunk_id", "left_anti"), "rest")
     return store.manifest()
 
 

@@ -200,7 +200,7 @@ def vectors_into_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{VECTORS}, p AS (SELECT day, ticker, count(*) AS n FROM vectors GROUP BY 1, 2) SELECT DATE '2024-01-01' + day AS date, ticker, n AS embedded_chunk_count, CASE WHEN ticker = 'T3' THEN 5 ELSE 0 END::BIGINT AS news_count, CASE WHEN ticker = 'T3' THEN 9 ELSE n END AS chunk_count FROM p""")
 def coverage_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pooled = E.numbered_mean(vectors(spark, sf_dir), P.KEYS, "embedding")
+    pooled = E.numbered_mean(vectors(spark, sf_dir), P.KEYS, "embedding", width=64)
     panel = pooled.where("ticker = 'T3'").select(*P.KEYS, F.lit(5).cast("long").alias("news_count"), F.lit(9).cast("long").alias("chunk_count"))
     return E.with_coverage(pooled, panel).select(*P.KEYS, "embedded_chunk_count", "news_count", "chunk_count")
 

@@ -1,17 +1,15 @@
-"""Manifests of stored vectors, and the vectors in NumPy files."""
+"""Manifests of stored vectors, and stores of vectors."""
 
 from __future__ import annotations
 
-import io
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.operators.panel import KEYS, keyed, require
-from larkspur.sources.tables import append_vectors, exists, write_json
+from larkspur.operators.panel import require
+from larkspur.sources.commits import CommittedTable
+from larkspur.sources.vector_files import ManifestVectors
 
 # The columns of a manifest line.
 LINE = "embedding_id string, chunk_id string, ticker string, date string, model_name string, embedding_path string, embedding_dim int, publish_time string, source_news_id string, chunk_index int, embedding array<double>"
@@ -41,69 +39,31 @@ def read_manifests(spark: SparkSession, root: str, name: str = "manifest.jsonl",
     return parsed.where(F.assert_true(good, "a manifest line cannot be read or lacks a value").isNull()).select("path", "line", "_j.*")
 
 
-def resolved(manifest: DataFrame, files: DataFrame, root: str, out: str = "file") -> DataFrame:
-    """manifest with the file its vector is in: as named, under the root, beside the manifest, or by base name beside it.
+def stored_vectors(spark: SparkSession, manifests: str, root: str | None = None, name: str = "manifest.jsonl") -> DataFrame:
+    """The manifests' rows with their vectors (NULL where the file is missing), by path and line (the byte at which it begins).
 
-    files has the listing (path); the first of the four that exists wins, else NULL.
+    A condition on ticker, date or chunk_id reaches the reader, which then opens the files of those rows only. Sets the session's switch for that.
     """
-    def plain(c: Column) -> Column:
-        return F.regexp_replace(c, r"^file:/+", "/")
-
-    here = F.regexp_replace(plain(F.col("path")), r"/[^/]*$", "")
-    raw = F.col("embedding_path")
-    base = F.regexp_extract(raw, r"([^/]*)$", 1)
-    options = F.array(F.when(raw.startswith("/"), raw), F.concat(F.lit(root.rstrip("/") + "/"), raw), F.concat(here, F.lit("/"), raw), F.concat(here, F.lit("/"), base))
-    listed = files.select(plain(F.col("path")).alias("_p")).distinct()
-    tried = manifest.select("*", F.posexplode(options).alias("_i", "_p")).where("_p IS NOT NULL")
-    found = tried.join(listed, "_p").groupBy("path", "line").agg(F.min_by("_p", "_i").alias(out))
-    return manifest.join(found, ["path", "line"], "left")
-
-
-def load_npy(content: Column) -> Column:
-    """The array in a .npy file's bytes, flattened, in single precision."""
-
-    @F.pandas_udf("array<double>")
-    def load(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda b: np.load(io.BytesIO(b), allow_pickle=False).astype(np.float32).ravel().astype(np.float64), na_action="ignore")
-
-    return load(content)
-
-
-def read_vectors(spark: SparkSession, root: str) -> DataFrame:
-    """file, embedding of every .npy file under a folder, flattened, in single precision."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(root)
-    return files.select(F.regexp_replace("path", r"^file:/+", "/").alias("file"), load_npy(F.col("content")).alias("embedding"))
-
-
-def stored_vectors(spark: SparkSession, root: str) -> DataFrame:
-    """The manifest's rows with their vectors; rows whose file is missing have none."""
-    vectors = read_vectors(spark, root)
-    named = resolved(read_manifests(spark, root).drop("embedding"), vectors.select(F.col("file").alias("path")), root)
-    return keyed(named.join(vectors, "file", "left"))
-
-
-def chunk_index(vectors: DataFrame, most: int = 64) -> DataFrame:
-    """The first `most` vectors of each stock-day by publication time, news and place, as one row a stock-day."""
-    from larkspur.operators.vectors import first_of_each, packed
-
-    once = first_of_each(require(vectors, [*KEYS, "chunk_id", "embedding"], "vectors").where("embedding IS NOT NULL"))
-    return packed(once, ["publish_time", "source_news_id", "chunk_index", "chunk_id"], most)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(ManifestVectors)
+    found = spark.read.format(ManifestVectors.name()).option("manifests", manifests).option("root", root or manifests).option("pattern", name).load()
+    return found.withColumnRenamed("place", "line")
 
 
 @dataclass(frozen=True)
 class VectorStore:
-    """A store of vectors: one Parquet table under a root, with chunk_id, ticker, date, model_name and embedding."""
+    """A store of vectors under a root, with chunk_id, ticker, date, model_name and embedding, that grows by commits."""
 
     spark: SparkSession
     root: str
 
     @property
-    def path(self) -> str:
-        return f"{self.root.rstrip('/')}/vectors.parquet"
+    def table(self) -> CommittedTable:
+        return CommittedTable(self.spark, self.root)
 
     def load(self) -> DataFrame:
-        """All vectors; an empty table of the store's columns before the first save."""
-        return self.spark.read.parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], STORED)
+        """All vectors of committed batches."""
+        return self.table.load(STORED)
 
     def get(self, chunk_id: str) -> DataFrame:
         """The vectors of an id: the condition goes to the scan."""
@@ -116,23 +76,10 @@ class VectorStore:
         """What is stored, without the vectors."""
         return self.load().select("chunk_id", "ticker", "date", "model_name", F.size("embedding").alias("embedding_dim"))
 
-    def save(self, df: DataFrame) -> None:
-        append_vectors(df.select("chunk_id", "ticker", F.to_date("date").alias("date"), "model_name", F.col("embedding").cast("array<float>").alias("embedding")), self.path)
+    def save(self, df: DataFrame, batch: str | None = None) -> bool:
+        """Add vectors as one batch. With a batch's id, a repeat changes nothing and gives False."""
+        require(df, ["chunk_id", "ticker", "date", "embedding"], "vectors")
+        return self.table.append(df.select("chunk_id", "ticker", F.to_date("date").alias("date"), "model_name", F.col("embedding").cast("array<float>").alias("embedding")), batch)
 
 
 STORED = "chunk_id string, ticker string, date date, model_name string, embedding array<float>"
-
-
-def packed_index(spark: SparkSession, packed_path: str | None, vectors: DataFrame, most: int = 64) -> DataFrame:
-    """The packed stock-days if they are there, else made from the vectors."""
-    return spark.read.parquet(packed_path) if packed_path and exists(spark, packed_path) else chunk_index(vectors, most)
-
-
-def write_packed(index: DataFrame, path: str) -> dict[str, int]:
-    """The packed stock-days as one table, and its metadata beside it, which is returned: stock-days, chunks, width."""
-    index.write.mode("overwrite").parquet(path)
-    spark = index.sparkSession
-    row = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("stock_days"), F.sum("length").alias("chunks"), F.max(F.size(F.get("matrix", F.lit(0)))).alias("width")).first()
-    meta = {k: int(row[k] or 0) for k in ("stock_days", "chunks", "width")}
-    write_json(spark, meta, f"{path.rstrip('/')}.meta")
-    return meta

@@ -85,11 +85,6 @@ def write_calendar(days: DataFrame, path: str) -> None:
     days.select("date").write.mode("overwrite").parquet(path)
 
 
-def append_vectors(df: DataFrame, path: str) -> None:
-    """Add vectors to a store: one Parquet table, not a file for each."""
-    require(df, ["chunk_id", "ticker", "date", "embedding"], "vectors").write.mode("append").parquet(path)
-
-
 def write_together(frames: dict[str, DataFrame], spark: SparkSession, at_once: int = 4) -> None:
     """Tables by their paths, several jobs at a time: small ones do not wait for one another."""
     with ThreadPoolExecutor(at_once) as pool:

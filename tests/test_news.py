@@ -13,7 +13,7 @@ from larkspur.operators import models as L
 from larkspur.operators import news as N
 from larkspur.operators import sequences as S
 from larkspur.operators import vectors as E
-from larkspur.sources import filings, manifests, tables
+from larkspur.sources import blocks, filings, manifests, tables
 
 DAY = dt.date(2024, 1, 2)
 
@@ -150,8 +150,8 @@ def test_manifests_vectors_and_packing(spark, tmp_path):
         np.save(tmp_path / t / "2.npy", np.full(2, k * 10 + 2, dtype=np.float32))
     out = manifests.stored_vectors(spark, str(tmp_path)).collect()
     assert {r["chunk_id"]: r["embedding"] for r in out} == {f"{t}{i}": [k * 10.0 + i] * 2 for k, t in enumerate("ab") for i in range(3)}
-    packed = {r["ticker"]: r for r in manifests.chunk_index(manifests.stored_vectors(spark, str(tmp_path)), 2).collect()}
-    assert packed["A"]["matrix"] == [[2.0, 2.0], [1.0, 1.0]] and packed["B"]["offset"] == 2  # earliest publication first
+    packed = {r["ticker"]: r for r in blocks.direct(manifests.stored_vectors(spark, str(tmp_path)), 2).collect()}
+    assert packed["A"]["matrix"] == [[2.0, 2.0], [1.0, 1.0]] and packed["B"]["matrix"][0] == [12.0, 12.0]  # earliest publication first
     assert [r["line"] for r in manifests.numbered_lines(spark, str(tmp_path)).orderBy("path", "line").collect()] == [1, 2, 3, 1, 2, 3]
     (tmp_path / "a" / "manifest.jsonl").write_text('{"chunk_id": "x"}\n')
     with pytest.raises(Exception, match="manifest line"):
