@@ -201,9 +201,9 @@ def shapes(factor_dim: int, embedding_dim: int, hidden: int = 128, daily: int =
 
 
 def _nested(column: pd.Series) -> np.ndarray:
-    def plain(x):
-        return [plain(y) for y in x] if isinstance(x, (list, np.ndarray)) and len(x) and isinstance(x[0], (list, np.ndarray)) else list(x)
-    return np.array([plain(x) for x in column], dtype=np.float64)
+    def whole(x) -> np.ndarray:
+        return np.stack([whole(y) for y in x]) if len(x) and isinstance(x[0], (list, np.ndarray)) else np.asarray(x, dtype=np.float64)
+    return np.stack([whole(x) for x in column])
 
 
 ROWS = 256

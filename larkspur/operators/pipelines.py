@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from larkspur.functions.maths import annual_ratio, by_entity, zscores
-from larkspur.operators import correlations, diagnostics, evaluation, models, sequences, vectors
+from larkspur.operators import correlations, diagnostics, evaluation, history, models, sequences, vectors
 from larkspur.operators.news import not_yet
 from larkspur.operators.panel import KEYS, SPLIT, keyed, long_form, percent_rank_label, require, safe_factor_columns, split_of
 from larkspur.sources import tables
@@ -203,16 +203,11 @@ def encode_chunks(chunks: DataFrame, done: DataFrame | None, make: Callable[[],
 def chunk_samples(panel: DataFrame, days: DataFrame, factors: list[str], width: int, most: int = 64, lookback: int = 30, keep: Column | None = None) -> DataFrame:
     """Samples over a history with each day's chunks: factor_seq, chunk_seq (a matrix a day, filled with zero rows to `most`), chunk_mask_seq, ticker_id (0 for a ticker without history).
 
-    days: date, ticker, matrix (see vectors.packed). Matrices are padded when a day becomes part of a sample, so the panel itself carries only what there is.
+    days: date, ticker, matrix (see history.day_matrices, blocks.read_blocks). Matrices are padded when a day becomes part of a sample.
     """
-    own = days.select(*KEYS, F.slice(F.transform("matrix", lambda row: row.cast("array<double>")), 1, most).alias("_matrix"))
-    out = sequences.samples(panel.join(own, KEYS, "left"), factors, "_matrix", lookback, keep)
-    zero = F.array_repeat(F.array_repeat(F.lit(0.0), width), most)
-    empty = F.array().cast("array<array<double>>")
-    padded = F.transform("news_seq", lambda m: F.slice(F.concat(F.coalesce(m, empty), zero), 1, most))
-    mask = F.transform("news_seq", lambda m: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: i <= F.size(F.coalesce(m, empty))))
+    out = history.cut_samples(panel, factors, lookback, keep, matrices=days, width=width, most=most)
     ids = sequences.ticker_ids(panel)
-    return out.withColumns({"chunk_seq": padded, "chunk_mask_seq": mask}).drop("news_seq", "_matrix").join(ids, "ticker", "left").withColumn("ticker_id", F.coalesce("ticker_id", F.lit(0)))
+    return out.join(ids, "ticker", "left").withColumn("ticker_id", F.coalesce("ticker_id", F.lit(0)))
 
 
 def batches_by_date(df: DataFrame, dates: int = 16, shuffle: bool = False, seed: int = 42) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.maths import by_entity
+from larkspur.operators.history import cut_samples
 from larkspur.operators.panel import KEYS
 
 
@@ -20,21 +21,20 @@ def ticker_ids(df: DataFrame) -> DataFrame:
 
 
 def samples(df: DataFrame, columns: list[str], vector: str | None = None, lookback: int = 30, keep: Column | None = None) -> DataFrame:
-    """One row for each stock-day with a full history: factor_seq, news_seq (if a vector is named) and dates, oldest first.
+    """One row for each stock-day with a full history: factor_seq, news_seq (if a vector is named) and date_seq, oldest first.
 
-    History comes from the whole panel; `keep` picks the days that become samples.
+    History comes from the whole panel; `keep` picks the days that become samples. A few numbers a day are collected by a window; vectors go by ranges of time, so
+    that a day's vector is not copied for each of its samples.
     """
-    parts = [F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("f"), F.col("date").alias("d")]
     if vector:
-        parts.append(F.col(vector).alias("v"))
+        return cut_samples(df, columns, lookback, keep, vector)
     w = by_entity().rowsBetween(-(lookback - 1), 0)
-    out = df.select("*", F.collect_list(F.struct(*parts)).over(w).alias("_h"))
+    day = F.struct(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("f"), F.col("date").alias("d"))
+    out = df.select("*", F.collect_list(day).over(w).alias("_h"))
     if keep is not None:
         out = out.where(keep)
-    out = out.where(F.size("_h") == lookback).withColumn("factor_seq", F.transform("_h", lambda s: s["f"])).withColumn("date_seq", F.transform("_h", lambda s: s["d"]))
-    if vector:
-        out = out.withColumn("news_seq", F.transform("_h", lambda s: s["v"]))
-    return out.drop("_h")
+    out = out.where(F.size("_h") == lookback)
+    return out.withColumn("factor_seq", F.transform("_h", lambda s: s["f"])).withColumn("date_seq", F.transform("_h", lambda s: s["d"])).drop("_h")
 
 
 def padded(matrix: Column | str, most: int, width: int) -> tuple[Column, Column]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import correlations as C
 from larkspur.operators import diagnostics as D
+from larkspur.operators import history as H
 from larkspur.operators import inference as I
 from larkspur.operators import news as N
 from larkspur.operators import panel as P
@@ -421,16 +422,16 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.withColumns({"f": F.dayofmonth("date") / 20.0, "g": F.length("ticker") + F.dayofmonth("date") % 3})
 
 
-@query(f"""{VECTOR_ROWS}, k AS (SELECT day, ticker, least(count(*), 16) AS n FROM vectors GROUP BY 1, 2), g AS (SELECT t.ticker, d::INT AS day FROM (SELECT DISTINCT ticker FROM vectors) AS t, range(20) AS r(d)), c AS (SELECT g.ticker, g.day, coalesce(n, 0) AS n FROM g LEFT JOIN k USING (ticker, day)),
-w AS (SELECT ticker, day, sum(n) OVER h AS own, count(*) OVER h AS days FROM c WINDOW h AS (PARTITION BY ticker ORDER BY day ROWS 4 PRECEDING)) SELECT DATE '2024-01-01' + day AS date, ticker, own::BIGINT AS own_chunks, 80::BIGINT AS places, dense_rank() OVER (ORDER BY ticker)::INT AS ticker_id FROM w WHERE days = 5""")
+@query(f"""{VECTOR_ROWS}, k AS (SELECT day, ticker, least(count(*), 64) AS n FROM vectors GROUP BY 1, 2), g AS (SELECT t.ticker, d::INT AS day FROM (SELECT DISTINCT ticker FROM vectors) AS t, range(20) AS r(d)), c AS (SELECT g.ticker, g.day, coalesce(n, 0) AS n FROM g LEFT JOIN k USING (ticker, day)),
+w AS (SELECT ticker, day, sum(n) OVER h AS own, count(*) OVER h AS days FROM c WINDOW h AS (PARTITION BY ticker ORDER BY day ROWS 4 PRECEDING)) SELECT DATE '2024-01-01' + day AS date, ticker, own::BIGINT AS own_chunks, 320::BIGINT AS places, dense_rank() OVER (ORDER BY ticker)::INT AS ticker_id FROM w WHERE days = 5""")
 def padded_chunk_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = R.chunk_samples(history(spark, sf_dir), E.packed(vectors(spark, sf_dir), ["vec_id"]), ["f", "g"], 64, 16, 5)
+    out = R.chunk_samples(history(spark, sf_dir), H.day_matrices(vectors(spark, sf_dir), ["vec_id"]), ["f", "g"], 64, 64, 5)
     own = F.size(F.filter(F.flatten("chunk_mask_seq"), lambda m: m)).cast("long")
     return out.select(*P.KEYS, own.alias("own_chunks"), F.size(F.flatten("chunk_seq")).cast("long").alias("places"), "ticker_id")
 
 
 def attended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = R.chunk_samples(history(spark, sf_dir), E.packed(vectors(spark, sf_dir), ["vec_id"]), ["f", "g"], 64, 16, 5).withColumn("has_news", F.exists(F.element_at("chunk_mask_seq", -1), lambda m: m).cast("double"))
+    samples = R.chunk_samples(history(spark, sf_dir), H.day_matrices(vectors(spark, sf_dir), ["vec_id"]), ["f", "g"], 64, 64, 5).withColumn("has_news", F.exists(F.element_at("chunk_mask_seq", -1), lambda m: m).cast("double"))
     weights = I.read_weights(I.weights_table(spark, I.seeded_weights(I.shapes(2, 64, 16, 8, 16, 10, True), 3)))
     return I.infer(samples, weights, "mixture", P.KEYS, "chunk_seq", chunk_mask="chunk_mask_seq", ticker_id="ticker_id")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
+from larkspur.operators import history as H
 from larkspur.operators import models as L
 from larkspur.operators import news as N
 from larkspur.operators import panel as P
@@ -207,7 +208,7 @@ def coverage_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{VECTORS}, k AS (SELECT day, ticker, least(count(*), 64) AS length FROM vectors GROUP BY 1, 2) SELECT DATE '2024-01-01' + day AS date, ticker, length, (sum(length) OVER (ORDER BY ticker, day) - length)::BIGINT AS "offset" FROM k""")
 def packed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.packed(vectors(spark, sf_dir), ["vec_id"]).select(*P.KEYS, "length", "offset")
+    return H.day_matrices(vectors(spark, sf_dir), ["vec_id"]).select(*P.KEYS, "length", "offset")
 
 
 @query(f"{VECTORS} SELECT count(CASE WHEN vec_id % 5 = 0 THEN 1 END) AS only_direct, 0::BIGINT AS only_cached, count(CASE WHEN vec_id % 5 <> 0 THEN 1 END) AS both, 0.5::DOUBLE AS largest_difference FROM vectors")
@@ -380,7 +381,7 @@ def causal_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT *, exp(s - max(s) OVER d) / sum(exp(s)) OVER d * exp(max(s) OVER d) AS w FROM m WINDOW d AS (PARTITION BY ticker, day))
 SELECT ticker, DATE '2024-01-01' + day AS date, 64 AS padded_rows, count(*)::INT AS own_rows, {r('-sum(greatest(w, 1e-8) * ln(greatest(w, 1e-8)))', 'entropy')}, {', '.join(r(f'sum(w * v[{i + 1}])', f'pooled_{i}') for i in range(4))} FROM w GROUP BY 1, 2""")
 def attention_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = E.packed(vectors(spark, sf_dir), ["vec_id"])
+    days = H.day_matrices(vectors(spark, sf_dir), ["vec_id"])
     matrix = F.transform("matrix", lambda row: row.cast("array<double>"))
     rows, mask = S.padded(matrix, 64, 64)
     weights, pooled = S.attention_pool(matrix, [0.5] * 64)

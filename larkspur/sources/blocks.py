@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.operators.panel import KEYS
+from larkspur.operators.history import day_matrices
 from larkspur.operators.vectors import first_of_each
 from larkspur.sources.tables import exists
 
@@ -169,7 +169,4 @@ def packed_or_direct(spark: SparkSession, directory: str | None, vectors: DataFr
 
 def direct(vectors: DataFrame, most: int = 64) -> DataFrame:
     """What the block files hold, made from the vectors each time."""
-    once = first_of_each(vectors.where("embedding IS NOT NULL"))
-    ranked = once.withColumn("_r", F.row_number().over(Window.partitionBy("ticker", "date").orderBy(*ORDER))).where(F.col("_r") <= most)
-    held = F.array_sort(F.collect_list(F.struct("_r", F.col("embedding").cast("array<float>").alias("v"))))
-    return ranked.groupBy(*KEYS).agg(F.transform(held, lambda s: s["v"]).alias("matrix")).select("ticker", "date", "matrix")
+    return day_matrices(first_of_each(vectors.where("embedding IS NOT NULL")), ORDER, most)

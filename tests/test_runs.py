@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.operators import history as H
 from larkspur.operators import inference as I
 from larkspur.operators import news as N
 from larkspur.operators import pipelines as R
@@ -199,3 +200,37 @@ def test_settings_from_files_and_summed_means(spark, tmp_path):
     assert {q["ticker"]: q["vector"] for q in E.numbered_mean(v, ["ticker"], "embedding", width=2).collect()} == {"A": [2.0, 4.0], "B": [2.0, 2.0]}
     with pytest.raises(Exception, match="another length"):
         E.numbered_mean(v, ["ticker"], "embedding", width=3).collect()
+
+
+def test_samples_of_overlapping_ranges_match_a_plain_history(spark):
+    rng = np.random.default_rng(5)
+    first = datetime.date(2020, 1, 1)
+    panel, matrices = [], {}
+    for t, n in (("HOT", 400), ("GAPS", 60), ("SHORT", 3)):
+        day = first
+        for i in range(n):
+            day += datetime.timedelta(int(rng.integers(1, 3)) if t != "GAPS" or i % 7 else 90)
+            panel.append((day, t, float(rng.normal()) if rng.random() < 0.9 else None, bool(rng.random() < 0.7), [float(i), 1.0]))
+            if rng.random() < 0.6:
+                matrices[day, t] = np.float32(rng.normal(size=(int(rng.integers(1, 6)), 2))).tolist()
+    matrices[first, "HOT"] = [[1.0, 2.0]]  # a day that is not in the panel
+    df = spark.createDataFrame(panel, "date date, ticker string, f double, wanted boolean, v array<double>").repartition(5)
+    held = spark.createDataFrame([(d, t, m) for (d, t), m in matrices.items()], "date date, ticker string, matrix array<array<double>>").repartition(3)
+    made = H.cut_samples(df, ["f"], 5, F.col("wanted"), "v", held, 2, 4, days=40)
+    got = {(r["date"], r["ticker"]): r for r in made.collect()}
+    want = 0
+    for t in ("HOT", "GAPS", "SHORT"):
+        own = sorted(p for p in panel if p[1] == t)
+        for i, p in enumerate(own):
+            if i < 4 or not p[3]:
+                continue
+            want += 1
+            r, past = got[p[0], t], own[i - 4 : i + 1]
+            assert r["date_seq"] == [q[0] for q in past] and r["factor_seq"] == [[q[2] or 0.0] for q in past] and r["news_seq"] == [q[4] for q in past]
+            for q, m, k in zip(past, r["chunk_seq"], r["chunk_mask_seq"], strict=True):
+                there = matrices.get((q[0], t), [])[:4]
+                assert m == there + [[0.0, 0.0]] * (4 - len(there)) and k == [j < len(there) for j in range(4)]
+    assert len(got) == want and made.columns == ["date", "ticker", "f", "wanted", "v", "factor_seq", "date_seq", "news_seq", "chunk_seq", "chunk_mask_seq"]
+    # What is wide is copied once, and what precedes a range again.
+    copies = df.join(H.ranges_needed(df, 30, 200).withColumnRenamed("ticker", "_t"), (F.col("ticker") == F.col("_t")) & (F.floor(F.unix_date("date") / 200) == F.col("_block")) & (F.col("date") >= F.col("_from")))
+    assert copies.where("ticker = 'HOT'").count() <= 0.3 * 400
