@@ -148,6 +148,16 @@ def decay(df: DataFrame, factor: str, horizons: dict[int, str], every: int = 1)
     return summarize_ic(daily_ic(named, factor, "_ret", ("horizon", "date"), every=every), ("horizon",))
 
 
+def mean_by_date(df: DataFrame, columns: list[str], keys: tuple[str, ...] = DATE) -> DataFrame:
+    """keys and the mean of each column over the date's rows that have it; NULL for a date without a value."""
+    return df.groupBy(*keys).agg(*[F.avg(clean(c)).alias(c) for c in columns])
+
+
+def decile_bar(deciles: DataFrame) -> DataFrame:
+    """decile, return, days: the mean of the dates' returns of each decile."""
+    return deciles.groupBy("decile").agg(F.avg("return").alias("return"), F.count("return").alias("days"))
+
+
 def coverage_by_date(df: DataFrame, factor: str, ret: str, as_ratio: bool = True) -> DataFrame:
     both = F.count_if(clean(factor).isNotNull() & clean(ret).isNotNull())
     return df.groupBy("date").agg((both / F.count(F.lit(1)) if as_ratio else both).alias("coverage"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.maths import ratio, zscores
@@ -173,15 +173,22 @@ def split_sizes(df: DataFrame, label: str) -> DataFrame:
     return df.where("split IS NOT NULL").groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_if(news).alias("news_rows"), F.count_if(there).alias("labelled_rows"), F.count_if(news & there).alias("labelled_news_rows"))
 
 
-def rank_loss(df: DataFrame, pred: str, rank: str, z: str, weights: tuple[float, float, float] = (0.7, 0.2, 0.1)) -> DataFrame:
-    """One row: 1 less the mean daily correlation with the rank label, Huber loss on the z label, the mean squared gap of the daily spread from 1, and their weighted sum."""
-    gap = F.abs(F.col(pred) - F.col(z))
+def rank_loss(df: DataFrame, pred: str, rank: str, z: str, weights: tuple[float, float, float] = (0.7, 0.2, 0.1), least_spread: float = 0.05) -> DataFrame:
+    """One row: 1 less the mean daily correlation with the rank label, Huber loss between the date's z-score of the prediction and the z label, the mean square of what a date's spread lacks of `least_spread`, and their weighted sum.
+
+    Correlations need three rows with both. A prediction without spread on its date has z-score 0.
+    """
+    eps = 1e-8
+    by_day = Window.partitionBy("date")
+    known = df.where(F.col(pred).isNotNull()).select("date", F.col(pred).cast("double").alias("_p"), F.col(rank).cast("double").alias("_r"), F.col(z).cast("double").alias("_z"))
+    spread = known.withColumn("_s", F.stddev_pop("_p").over(by_day)).withColumn("_c", F.col("_p") - F.avg("_p").over(by_day))
+    gap = F.abs(F.when(F.col("_s") > eps, F.col("_c") / (F.col("_s") + eps)).otherwise(0.0) - F.col("_z"))
     huber = F.when(gap <= 1.0, 0.5 * gap * gap).otherwise(gap - 0.5)
-    both = F.col(pred).isNotNull() & F.col(rank).isNotNull()
-    p, r = F.when(both, F.col(pred)), F.when(both, F.col(rank))
-    corr = F.when((F.min(p) < F.max(p)) & (F.min(r) < F.max(r)), ratio(F.covar_pop(p, r), F.stddev_pop(p) * F.stddev_pop(r)))
-    days = df.groupBy("date").agg(corr.alias("c"), F.stddev_pop(pred).alias("s"), F.sum(huber).alias("h"), F.count(huber).alias("n"))
-    out = days.agg((1.0 - F.avg("c")).alias("ic_loss"), ratio(F.sum("h"), F.sum("n")).alias("huber_loss"), F.avg(F.pow(F.col("s") - 1.0, F.lit(2.0))).alias("variance_penalty"))
+    p, r = F.when(F.col("_r").isNotNull(), F.col("_p")), F.when(F.col("_p").isNotNull(), F.col("_r"))
+    corr = F.when((F.count(r) >= 3) & (F.stddev_pop(p) > eps) & (F.stddev_pop(r) > eps), F.covar_pop(p, r) / (F.stddev_pop(p) * F.stddev_pop(r) + eps))
+    short = F.when(F.count("_p") >= 2, F.pow(F.greatest(least_spread - F.max("_s"), F.lit(0.0)), F.lit(2.0)))
+    days = spread.groupBy("date").agg(corr.alias("c"), short.alias("s"), F.sum(huber).alias("h"), F.count(huber).alias("n"))
+    out = days.agg((1.0 - F.coalesce(F.avg("c"), F.lit(0.0))).alias("ic_loss"), F.coalesce(ratio(F.sum("h"), F.sum("n")), F.lit(0.0)).alias("huber_loss"), F.coalesce(F.avg("s"), F.lit(0.0)).alias("variance_penalty"))
     return out.withColumn("loss", weights[0] * F.col("ic_loss") + weights[1] * F.col("huber_loss") + weights[2] * F.col("variance_penalty"))
 
 

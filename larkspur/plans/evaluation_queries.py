@@ -149,6 +149,16 @@ def factor_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return five(V.decay(load(spark, sf_dir, "signals"), "momentum", {5: "fwd5", 10: "fwd10", 20: "fwd20", 60: "fwd60"}), ["ICIR", "RankICIR"])
 
 
+@query(f"{SIGNALS} SELECT date, {', '.join(r(f'avg({c})', c, 9) for c in [*FACTORS, 'fwd5'])} FROM signals GROUP BY date")
+def series_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(V.mean_by_date(load(spark, sf_dir, "signals"), [*FACTORS, "fwd5"]), 9)
+
+
+@query(f"{SIGNALS}, marked AS ({decile_sql('signals', 'momentum')}), d AS (SELECT date, decile, avg(fwd5) AS x FROM marked WHERE decile IS NOT NULL AND fwd5 IS NOT NULL GROUP BY ALL) SELECT decile, {r('avg(x)', 'return')}, count(x) AS days FROM d GROUP BY decile")
+def average_decile_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(V.decile_bar(V.decile_returns(load(spark, sf_dir, "signals"), "momentum", "fwd5")))
+
+
 @query(f"{SIGNALS} SELECT date, {r('count(CASE WHEN momentum IS NOT NULL AND fwd5 IS NOT NULL THEN 1 END) / count(*)', 'coverage')} FROM signals GROUP BY date")
 def factor_coverage_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(V.coverage_by_date(load(spark, sf_dir, "signals"), "momentum", "fwd5"))

@@ -70,6 +70,17 @@ def price_volume_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.drop("rsi_14", "beta_60d", "max_drawdown_60d")).join(five, ["date", "ticker"])
 
 
+GIVEN = RETURNS.replace("mkt AS (SELECT *, avg(ret_1d) OVER (PARTITION BY date) AS market_ret_1d FROM ret)", "mkt AS (SELECT ret.*, m.ret_1d AS market_ret_1d FROM ret LEFT JOIN (SELECT date, ret_1d FROM ret WHERE ticker = 'BRAND#11') m ON ret.date = m.date)")
+
+
+@query(f"WITH {GIVEN} SELECT date, ticker, {r(beta('ret_lag1', 'market_ret_lag1', 60), 'beta_60d', 5)} FROM base")
+def beta_to_a_given_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplied market series, here the returns of one ticker, in place of the dates' means."""
+    bars = load(spark, sf_dir, "bars")
+    market = X.returns(bars).where("ticker = 'BRAND#11'").select("date", F.col("ret_1d").alias("market_ret_1d"))
+    return rounded(X.price_volume_factors(bars, market, standardize=False).select("date", "ticker", "beta_60d"), 5)
+
+
 @query(f"""WITH {RETURNS},
 frames AS (SELECT a.date, a.ticker, b.date AS d, b.close_lag1 AS c, max(b.close_lag1) OVER (PARTITION BY a.ticker, a.date ORDER BY b.date) AS top, count(*) OVER (PARTITION BY a.ticker, a.date) AS n
   FROM (SELECT *, row_number() OVER {W} AS k FROM base) a JOIN (SELECT *, row_number() OVER {W} AS k FROM base) b ON a.ticker = b.ticker AND b.k BETWEEN a.k - 59 AND a.k WHERE b.close_lag1 IS NOT NULL)
@@ -201,10 +212,35 @@ def analyst_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("date", "ticker", "fy1_eps_revision_1m", "fy2_eps_revision_3m")).join(three, ["date", "ticker"])
 
 
-@query()
+# Of the fifty factors those for which prices and the three facts of the filings suffice; the others are NULL.
+PRICED = STYLE | RISK | {"dollar_volume_1m": LIQUID["dollar_volume_1m"], "amihud_illiquidity": roll("avg", f"(abs(ret_lag1) / nullif({TRADED}, 0))", 21, 5)}
+FILED = {
+    "asset_turnover": "revenue_ttm / nullif(assets, 0)", "leverage": "0 / nullif(assets, 0)", "asset_growth_yoy": f"assets / nullif(lag(assets, 252) OVER {W}, 0) - 1",
+    "revenue_growth_yoy": f"revenue_ttm / nullif(lag(revenue_ttm, 252) OVER {W}, 0) - 1",
+}
+LIBRARY = f"""WITH {RETURNS}, {KNOWN[KNOWN.index('filings AS'):]}, pit AS (SELECT b.date, b.ticker, k.assets, k.revenue_ttm, k.filed_date FROM bars b ASOF LEFT JOIN known k ON b.ticker = k.ticker AND b.date >= k.available_date),
+numbered AS (SELECT date, ticker, close_lag1, row_number() OVER {W} AS k FROM base),
+falls AS (SELECT date, ticker, min(c / top - 1) AS max_drawdown_1y FROM (SELECT a.date, a.ticker, b.close_lag1 AS c, max(b.close_lag1) OVER (PARTITION BY a.ticker, a.date ORDER BY b.date) AS top, count(*) OVER (PARTITION BY a.ticker, a.date) AS n
+  FROM numbered a JOIN numbered b ON a.ticker = b.ticker AND b.k BETWEEN a.k - 251 AND a.k WHERE b.close_lag1 IS NOT NULL) WHERE n >= 63 GROUP BY date, ticker),
+b AS (SELECT *, {RISK['market_beta_1y']} AS beta, {roll('avg', 'ret_lag1', 252, 63)} AS m, {roll('avg', 'market_ret_lag1', 252, 63)} AS mm FROM base),
+res AS (SELECT *, ret_lag1 - (m - beta * mm) - beta * market_ret_lag1 AS e FROM b),
+priced AS (SELECT date, ticker, {', '.join(f'{e} AS {n}' for n, e in PRICED.items())}, {roll('stddev_samp', 'e', 252, 63)} AS idiosyncratic_volatility FROM res),
+filed AS (SELECT date, ticker, filed_date, {', '.join(f'{e} AS {n}' for n, e in FILED.items())} FROM pit),
+raw AS (SELECT date, ticker, filed_date, max_drawdown_1y, idiosyncratic_volatility, {', '.join([*PRICED, *FILED])} FROM priced JOIN filed USING (date, ticker) LEFT JOIN falls USING (date, ticker))"""
+MADE = [*PRICED, *FILED, "max_drawdown_1y", "idiosyncratic_volatility"]
+KEPT = {
+    f: f"CASE WHEN c_{f} IS NOT NULL THEN CASE WHEN max(c_{f}) OVER d = min(c_{f}) OVER d THEN 0 ELSE (c_{f} - avg(c_{f}) OVER d) / nullif(stddev_pop(c_{f}) OVER d, 0) END END" for f in MADE
+}
+
+
+@query(f"""{LIBRARY}, edged AS (SELECT *, {', '.join(f'quantile_cont({f}, [0.01, 0.99]) OVER (PARTITION BY date) AS q_{f}' for f in MADE)} FROM raw),
+clipped AS (SELECT *, {', '.join(f'CASE WHEN {f} IS NOT NULL THEN greatest(least({f}, q_{f}[2]), q_{f}[1]) END AS c_{f}' for f in MADE)} FROM edged)
+SELECT date, ticker, filed_date AS source_filed_date, filed_date AS latest_filing_date, {', '.join(r(f, f, 7) if f in MADE else f'NULL::DOUBLE AS {f}' for f in X.STYLE_FACTORS)},
+{', '.join(r(KEPT[f], f'{f}_zscore', 3) if f in MADE else f'NULL::DOUBLE AS {f}_zscore' for f in X.STYLE_FACTORS)} FROM clipped WINDOW d AS (PARTITION BY date)""")
 def style_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fifty factors and their z-scores."""
-    return X.style_factors(load(spark, sf_dir, "bars"), load(spark, sf_dir, "filings"))
+    out = X.style_factors(load(spark, sf_dir, "bars"), load(spark, sf_dir, "filings"))
+    return out.select(*[(F.round(c, 3 if c.endswith("_zscore") else 7) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 @query(f"""WITH {RETURNS}, s AS (SELECT {lagged(1, 64)} AS a, {lagged(21, 253)} AS b FROM base) SELECT 'momentum_3m' AS factor, {r('count(a) / count(*)', 'coverage')} FROM s UNION ALL SELECT 'momentum_12m_skip_1m', {r('count(b) / count(*)', 'coverage')} FROM s""")
@@ -212,6 +248,7 @@ def factor_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.coverage(X.style_price_factors(load(spark, sf_dir, "bars")), ["momentum_3m", "momentum_12m_skip_1m"]))
 
 
-@query()
+@query(f"""{LIBRARY}, c AS (SELECT unnest({X.STYLE_FACTORS}) AS factor, unnest([{', '.join(f'count({f}) / count(*)' if f in MADE and f not in FILED else '0.0' for f in X.STYLE_FACTORS)}]) AS coverage FROM raw),
+s AS (SELECT unnest({[s for s, names in X.STYLES.items() for _ in names]}) AS style, unnest({X.STYLE_FACTORS}) AS factor) SELECT style, {r('avg(coverage)', 'coverage')} FROM c JOIN s USING (factor) GROUP BY style""")
 def coverage_by_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.coverage_by_style(P.coverage(X.style_factors(load(spark, sf_dir, "bars"), standardize=False), X.STYLE_FACTORS))
+    return rounded(X.coverage_by_style(P.coverage(X.style_factors(load(spark, sf_dir, "bars"), standardize=False), X.STYLE_FACTORS)))

@@ -19,11 +19,12 @@ from larkspur.operators import news as N
 from larkspur.operators import panel as P
 from larkspur.operators import pipelines as R
 from larkspur.operators import sequences as S
+from larkspur.operators import training as G
 from larkspur.operators import vectors as E
 from larkspur.plans.adapters import load, oracle
 from larkspur.plans.evaluation_queries import AGREE, DIAG, FACTORS, HIGH, IC, KEEP, LONG, MEASURES, RECURSIVE_WIDE, SIGNALS, avg_rank, corr_sql, decile_sql, ic_sql, rolling_sql
 from larkspur.plans.factor_queries import r, rounded
-from larkspur.plans.text_queries import CALENDAR, PREDS, chunked, vectors
+from larkspur.plans.text_queries import CALENDAR, PREDS, chunked, fixed, vectors
 from larkspur.plans.text_queries import CHUNKS as CHUNK_SQL
 from larkspur.sources import blocks, filings, manifests, tables
 
@@ -76,7 +77,7 @@ def calendar_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@query("SELECT NULL::STRING AS ticker, NULL::STRING AS form WHERE false")
+@fixed("SELECT NULL::STRING AS ticker, NULL::STRING AS form WHERE false")
 def empty_event_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.empty_events(spark).select("ticker", "form")
 
@@ -242,7 +243,7 @@ def panel_for_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select(*P.KEYS, F.get("vector", F.lit(0)).alias("x"), F.get("vector", F.lit(1)).alias("y")))
 
 
-@query("SELECT * FROM (VALUES ('factor', 'a_zscore'), ('factor', 'mean_emb_1_zscore'), ('safe', 'a_zscore'), ('embedding', 'mean_emb_0'), ('embedding', 'mean_emb_2'), ('embedding', 'mean_emb_10')) AS t(role, name)")
+@fixed("SELECT * FROM (VALUES ('factor', 'a_zscore'), ('factor', 'mean_emb_1_zscore'), ('safe', 'a_zscore'), ('embedding', 'mean_emb_0'), ('embedding', 'mean_emb_2'), ('embedding', 'mean_emb_10')) AS t(role, name)")
 def column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["date", "a_zscore", "future_b_zscore", "mean_emb_1_zscore", "mean_emb_10", "mean_emb_2", "mean_emb_0", "news_count"]
     found = {"factor": P.factor_columns(columns), "safe": P.safe_factor_columns(columns), "embedding": P.embedding_columns(columns)}
@@ -314,6 +315,17 @@ def single_factor_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(baseline(spark, sf_dir)["single_factor"], 5)
 
 
+@query()
+def rank_loss_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A factor network trained on the train split by summed gradients, a few steps, and what it predicts for every row."""
+    root = scratch(spark)
+    panel = f"{root}/signals.parquet"
+    tables.write_table(load(spark, sf_dir, "signals"), panel)
+    signals = tables.read_panel(spark, panel)
+    model = G.train(signals, root, "fwd5", FACTORS, G.Config(hidden=16, batch_dates=128, epochs=3, rate=0.01))
+    return rounded(G.evaluated(signals, "fwd5", model)["predictions"])
+
+
 # Each table of a diagnostics run by its file's name: key columns, numbers, their digits, texts, and its rows in SQL.
 FLAGS = ["direction_consistent", "unstable_flag", "weak_flag"]
 SHAPE = ["decile_monotonic_score", "top_decile_return", "bottom_decile_return", "top_bottom_return", "top_bottom_tstat"]
@@ -446,9 +458,9 @@ def attention_mixture_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attention_weights_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide sink of attention weights, read back in the long form; the weights of a day with news add up to 1."""
     root = scratch(spark)
-    path = R.write_attention(attended(spark, sf_dir), "target_attention_weights", 16, root, "test")
+    path = R.write_attention(attended(spark, sf_dir), "target_attention_weights", 64, root, "test")
     wide = spark.read.parquet(path)
-    long = R.attention_long(wide.select(*P.KEYS, F.array(*[f"attention_weight_{i}" for i in range(16)]).alias("w")), "w")
+    long = R.attention_long(wide.select(*P.KEYS, F.array(*[f"attention_weight_{i}" for i in range(64)]).alias("w")), "w")
     return rounded(long.withColumn("attention_weight", F.col("attention_weight").cast("double")), 4)
 
 

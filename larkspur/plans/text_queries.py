@@ -19,6 +19,15 @@ from larkspur.plans.factor_queries import W, r, rounded
 from larkspur.sources import filings, tables
 
 QUERIES, ORACLES = {}, {}
+FIXED: dict = {}  # on literals, not tables: held against their SQL by tests alone
+
+
+def fixed(sql: str):
+    def keep(f):
+        FIXED[f.__name__] = (f, sql)
+        return f
+    return keep
+
 
 
 def query(sql: str | None = None):
@@ -40,10 +49,13 @@ def trading_day_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.day_map(load(spark, sf_dir, "calendar"))
 
 
-@query("SELECT d::DATE AS date FROM generate_series(DATE '2024-01-01', DATE '2024-03-31', INTERVAL 1 DAY) AS t(d) WHERE dayofweek(d) NOT IN (0, 6) AND d NOT IN (DATE '2024-01-01', DATE '2024-01-15', DATE '2024-02-19', DATE '2024-03-29')")
+@query("""WITH e AS (SELECT CAST(ts AS DATE) AS day, event_id FROM events), g AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS date FROM e)
+SELECT date FROM g WHERE dayofweek(date) NOT IN (0, 6) AND date NOT IN (SELECT day FROM e WHERE event_id % 500 = 0)""")
 def business_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    holidays = spark.createDataFrame([("2024-01-01",), ("2024-01-15",), ("2024-02-19",), ("2024-03-29",), ("2024-03-30",)], "date string")
-    return N.business_days(spark, "2024-01-01", "2024-03-31", holidays)
+    """From the first to the last day with events; the days of some events are holidays."""
+    days = load(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), "event_id")
+    ends = days.agg(F.min("date").cast("string").alias("a"), F.max("date").cast("string").alias("b")).first()
+    return N.business_days(spark, ends["a"], ends["b"], days.where("event_id % 500 = 0"))
 
 
 SIGNAL = """(SELECT min(date) FROM calendar c WHERE CASE WHEN CAST(published AS TIME) >= TIME '16:00:00' OR CAST(published AS TIME) = TIME '00:00:00' THEN c.date > CAST(published AS DATE) ELSE c.date >= CAST(published AS DATE) END)"""
@@ -61,7 +73,7 @@ LITERALS = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', DATE '{b}')" for a, b in LITERALS) + ") AS t(publish_time, date)")
+@fixed("SELECT * FROM (VALUES " + ", ".join(f"('{a}', DATE '{b}')" for a, b in LITERALS) + ") AS t(publish_time, date)")
 def signal_date_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules on literal times: the close is too late, midnight says only the day, offsets lead to New York's clock."""
     days = N.business_days(spark, "2024-01-02", "2024-01-12")
@@ -74,7 +86,7 @@ CLEAN = r"trim(regexp_replace(text, '[\s\x1c-\x1f\x{85}\x{a0}]+', ' ', 'g'))"
 TEXTS = [("Reuters - Profit  rose", "Profit rose"), ("  REUTERS: up", "up"), ("ReutersX gains", "X gains"), ("London (Reuters) - Shares &amp; bonds", "London Shares & bonds"), ("caf&eacute;&nbsp;&#39;x&#39;", "café 'x'"), ("a\u0085b\u001cc d", "a b c d"), ("", ""), (None, "")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{b.replace(chr(39), chr(39) * 2)}')" for i, (_, b) in enumerate(TEXTS)) + ") AS t(id, cleaned)")
+@fixed("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{b.replace(chr(39), chr(39) * 2)}')" for i, (_, b) in enumerate(TEXTS)) + ") AS t(id, cleaned)")
 def cleaned_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, a) for i, (a, _) in enumerate(TEXTS)], "id int, text string").select("id", T.clean_text("text").alias("cleaned"))
 
@@ -91,14 +103,21 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", T.clean_text("html").alias("text"))
 
 
-CHUNKS = f"""{DATED}, words AS (SELECT news_id, date, upper(regexp_replace(ticker, '\\s+', '', 'g')) AS ticker, publish_time, string_split({CLEAN}, ' ') AS w FROM dated WHERE date IS NOT NULL AND {CLEAN} <> ''),
-parts AS (SELECT *, unnest(range(CASE WHEN len(w) <= 64 THEN 1 ELSE ceil((len(w) - 64) / 56)::BIGINT + 1 END)) AS i FROM words),
-texts AS (SELECT date, ticker, news_id AS source_news_id, publish_time, i AS chunk_index, array_to_string(list_slice(w, i * 56 + 1, i * 56 + 64), ' ') AS chunk_text FROM parts),
-chunks AS (SELECT *, substr(sha1(concat_ws('|', source_news_id, ticker, CAST(date AS STRING), CAST(chunk_index AS STRING))), 1, 16) AS chunk_id FROM texts QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY publish_time, source_news_id, chunk_index) <= 64)"""
+
+
+def chunks_sql(most: int = 256, overlap: int = 0, per_day: int = 64) -> str:
+    step = most - overlap
+    return f"""{DATED}, words AS (SELECT news_id, date, upper(regexp_replace(ticker, '\\s+', '', 'g')) AS ticker, publish_time, string_split({CLEAN}, ' ') AS w FROM dated WHERE date IS NOT NULL AND {CLEAN} <> ''),
+parts AS (SELECT *, unnest(range(CASE WHEN len(w) <= {most} THEN 1 ELSE ceil((len(w) - {most}) / {step})::BIGINT + 1 END)) AS i FROM words),
+texts AS (SELECT date, ticker, news_id AS source_news_id, publish_time, i AS chunk_index, array_to_string(list_slice(w, i * {step} + 1, i * {step} + {most}), ' ') AS chunk_text FROM parts),
+chunks AS (SELECT *, substr(sha1(concat_ws('|', source_news_id, ticker, CAST(date AS STRING), CAST(chunk_index AS STRING))), 1, 16) AS chunk_id FROM texts QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY publish_time, source_news_id, chunk_index) <= {per_day})"""
+
+
+CHUNKS = chunks_sql()
 
 
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.chunk_news(load(spark, sf_dir, "news"), load(spark, sf_dir, "calendar"), 64, overlap=8)
+    return N.chunk_news(load(spark, sf_dir, "news"), load(spark, sf_dir, "calendar"))
 
 
 @query(f"{CHUNKS} SELECT chunk_id, date, ticker, source_news_id, chunk_index::INT AS chunk_index, sha1(chunk_text) AS digest, len(string_split(chunk_text, ' '))::INT AS token_count FROM chunks")
@@ -106,6 +125,13 @@ def news_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked(spark, sf_dir).select("chunk_id", "date", "ticker", "source_news_id", "chunk_index", F.sha1(F.col("chunk_text").cast("binary")).alias("digest"), "token_count")
 
 
+@query(f"{chunks_sql(64, 8, 1_000_000)} SELECT chunk_id, date, ticker, chunk_index::INT AS chunk_index, sha1(chunk_text) AS digest FROM chunks")
+def overlapping_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shorter chunks that overlap, without a cap on a day."""
+    out = N.chunk_news(load(spark, sf_dir, "news"), load(spark, sf_dir, "calendar"), 64, 1_000_000, 8)
+    return out.select("chunk_id", "date", "ticker", "chunk_index", F.sha1(F.col("chunk_text").cast("binary")).alias("digest"))
+
+
 @query(f"{CHUNKS} SELECT date, ticker, count(DISTINCT source_news_id) AS news_count, count(DISTINCT chunk_id) AS chunk_count FROM chunks GROUP BY ALL")
 def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.coverage_counts(chunked(spark, sf_dir))
@@ -135,7 +161,7 @@ def top_attention_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.top_chunks(chunks, weights, 3).select("date", "ticker", "chunk_id", "attention_weight", "rank")
 
 
-@query("SELECT * FROM (VALUES ('aapl', 'APL'), ('apple inc', 'APL'), ('apl', 'APL'), ('brk.b', 'BRK-B'), ('berkshire', 'BRK-B')) AS t(alias, ticker)")
+@fixed("SELECT * FROM (VALUES ('aapl', 'APL'), ('apple inc', 'APL'), ('apl', 'APL'), ('brk.b', 'BRK-B'), ('berkshire', 'BRK-B')) AS t(alias, ticker)")
 def ticker_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(1, "AAPL", "Apple Inc"), (2, "Brk.b", "Berkshire"), (3, "APL", "Apple Inc "), (4, "APL", None), (5, "APL", "aapl")], "n int, ticker string, company_name string")
     return N.alias_map(rows, "n")
@@ -164,10 +190,11 @@ def mean_pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select(*P.KEYS, "embedded_chunk_count", *E.to_columns("vector", 64, "mean_emb_")))
 
 
-@query(f"{VECTORS} SELECT DATE '2024-01-01' + day AS date, ticker, {r('avg(embedding[1]::DOUBLE)', 'mean_emb_0')}, {r('avg(embedding[2]::DOUBLE)', 'mean_emb_1')} FROM vectors GROUP BY 1, 2")
+@query(f"{VECTORS} SELECT DATE '2024-01-01' + day AS date, ticker, {MEANS} FROM vectors GROUP BY 1, 2")
 def wide_pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = vectors(spark, sf_dir).select(*P.KEYS, *[F.get("embedding", F.lit(i)).cast("double").alias(f"emb_{i}") for i in range(2)])
-    return rounded(E.wide_mean(wide, ["emb_0", "emb_1"]))
+    columns = [f"emb_{i}" for i in range(64)]
+    wide = vectors(spark, sf_dir).select(*P.KEYS, *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(columns)])
+    return rounded(E.wide_mean(wide, columns))
 
 
 @query(f"{VECTORS}, m AS (SELECT chunk_id, embedding FROM vectors UNION ALL SELECT chunk_id, embedding FROM vectors WHERE vec_id % 7 = 0) SELECT count(*) AS rows, count(DISTINCT chunk_id) AS distinct_ids, count(*) - count(DISTINCT chunk_id) AS repeated_rows, 0::BIGINT AS missing_vectors, min(len(embedding))::INT AS least_dim, max(len(embedding))::INT AS greatest_dim FROM m")
@@ -268,16 +295,40 @@ def ridge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_weights(spark, L.centred_ridge(preds(spark, sf_dir).where("split = 'train'"), ["momentum", "surge"], "target")), 5)
 
 
-@query()
+def solved_sql(name: str, k: int) -> str:
+    """The solution of `name`_m's k equations (k lists of k coefficients and a right side) as `name`.w, by elimination."""
+    row = f"[CASE WHEN i = step THEN m[i][j] / m[step][step] ELSE m[i][j] - m[i][step] / m[step][step] * m[step][j] END FOR j IN range(1, {k + 2})]"
+    return f"""{name}_e(step, m) AS (SELECT 1, m FROM {name}_m UNION ALL SELECT step + 1, [{row} FOR i IN range(1, {k + 1})] FROM {name}_e WHERE step <= {k}),
+{name} AS (SELECT [m[i][{k + 1}] FOR i IN range(1, {k + 1})] AS w FROM {name}_e WHERE step = {k + 1})"""
+
+
+def normal_sql(name: str, source: str, columns: list[str], label: str, penalty: list[float]) -> str:
+    """Normal equations of a ridge over a source's columns: `name`_m and `name`."""
+    rows = ", ".join("[" + ", ".join(f"sum(({a}) * ({b}))::DOUBLE{f' + {penalty[i]}' if i == j else ''}" for j, b in enumerate([*columns, label])) + "]" for i, a in enumerate(columns))
+    return f"{name}_m AS (SELECT [{rows}] AS m FROM {source}), {solved_sql(name, len(columns))}"
+
+
+def filled_columns(names: list[str]) -> list[str]:
+    return ["1", *[f"coalesce({c}, 0)" for c in names]]
+
+
+PREDS_R = PREDS.replace("WITH ", "WITH RECURSIVE ", 1)
+THREE, FOUR = ["momentum", "surge", "distance"], ["momentum", "surge", "distance", "momentum_20"]
+
+
+@query(f"""{PREDS_R}, l AS (SELECT * FROM preds WHERE split = 'train' AND target IS NOT NULL), st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) * sqrt(count({c}) / count(*)) AS s_{c}' for c in THREE)}, avg(target) AS my FROM l),
+x AS (SELECT {', '.join(f'(coalesce({c}, m_{c}) - m_{c}) / s_{c} AS {c}' for c in THREE)}, target - my AS y FROM l, st), {normal_sql('f', 'x', THREE, 'y', [1.0, 1.0, 1.0])}
+SELECT unnest(['intercept', {', '.join(f"'{c}'" for c in THREE)}]) AS name, unnest([round(my - {' - '.join(f'w[{i + 1}] / s_{c} * m_{c}' for i, c in enumerate(THREE))}, 5) + 0.0, {', '.join(f'round(w[{i + 1}] / s_{c}, 5) + 0.0' for i, c in enumerate(THREE))}]) AS weight FROM f, st""")
 def scaled_ridge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weights(spark, L.scaled_ridge(preds(spark, sf_dir).where("split = 'train'"), ["momentum", "surge", "distance"], "target"))
+    return rounded(_weights(spark, L.scaled_ridge(preds(spark, sf_dir).where("split = 'train'"), THREE, "target")), 5)
 
 
-@query()
+@query(f"""{PREDS_R}, l AS (SELECT * FROM preds WHERE split = 'train'), {normal_sql('f', 'l', filled_columns(FOUR), 'coalesce(target, 0)', [0.0, *[1e-3] * 4])}
+SELECT date, ticker, {r(' + '.join(f'w[{i + 1}] * {c}' for i, c in enumerate(filled_columns(FOUR))), 'fusion_pred', 5)} FROM preds, f""")
 def fusion_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = preds(spark, sf_dir)
-    model = L.bias_ridge(p.where("split = 'train'"), ["momentum", "surge", "distance", "momentum_20"], "target")
-    return L.predict(p, model, "fusion_pred").select("date", "ticker", "fusion_pred")
+    model = L.bias_ridge(p.where("split = 'train'"), FOUR, "target")
+    return rounded(L.predict(p, model, "fusion_pred").select("date", "ticker", "fusion_pred"), 5)
 
 
 TARGET = "1 / (1 + exp(greatest(least(power(fusion_pred - target, 2) - power(factor_only_pred - target, 2), 700), -700) / 0.5))"
@@ -292,10 +343,11 @@ def gate_targets_and_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 10)
 
 
-@query()
+@query(f"""{PREDS_R}, l AS (SELECT *, {TARGET.replace('/ 0.5', '/ 1.0')} AS soft FROM preds WHERE split = 'train' AND target IS NOT NULL), {normal_sql('f', 'l', filled_columns(THREE), 'coalesce(soft, 0)', [0.0, *[1e-3] * 3])}
+SELECT date, ticker, {r(f"1 / (1 + exp(-({' + '.join(f'w[{i + 1}] * {c}' for i, c in enumerate(filled_columns(THREE)))})))", 'gate_news_prob')} FROM preds, f WHERE target IS NOT NULL""")
 def decoupled_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = preds(spark, sf_dir).where("target IS NOT NULL")
-    return p.select("date", "ticker", L.gate(p.where("split = 'train'"), ["momentum", "surge", "distance"]).alias("gate_news_prob"))
+    return rounded(p.select("date", "ticker", L.gate(p.where("split = 'train'"), THREE).alias("gate_news_prob")))
 
 
 @query(f"{PREDS}, m AS (SELECT date, ticker, CASE WHEN has_news = 1 THEN fusion_pred ELSE factor_only_pred END AS f, CASE WHEN has_news = 1 THEN gate_news_prob ELSE 0 END AS g, factor_only_pred AS b FROM preds) SELECT date, ticker, {r('f', 'fusion_pred')}, {r('g', 'gate_news_prob')}, {r('(1 - g) * b + g * f', 'mixed_pred', 10)} FROM m")
@@ -333,16 +385,18 @@ def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.split_sizes(preds(spark, sf_dir), "target")
 
 
-GAP = "abs(factor_only_pred - fusion_pred)"
+GAP = "abs(CASE WHEN s > 1e-8 THEN c / (s + 1e-8) ELSE 0 END - z)"
 
 
-@query(f"""{PREDS}, d AS (SELECT date, CASE WHEN min(factor_only_pred) < max(factor_only_pred) AND min(gate_news_prob) < max(gate_news_prob) THEN corr(factor_only_pred, gate_news_prob) END AS c, stddev_pop(factor_only_pred) AS s, sum(CASE WHEN {GAP} <= 1 THEN 0.5 * {GAP} * {GAP} ELSE {GAP} - 0.5 END) AS h, count(*) AS n FROM preds GROUP BY date),
-l AS (SELECT 1 - avg(c) AS a, sum(h) / sum(n) AS b, avg(power(s - 1, 2)) AS c FROM d) SELECT {r('a', 'ic_loss')}, {r('b', 'huber_loss')}, {r('c', 'variance_penalty')}, {r('0.7 * a + 0.2 * b + 0.1 * c', 'loss')} FROM l""")
+@query(f"""{PREDS}, x AS (SELECT date, factor_only_pred AS p, gate_news_prob AS k, fusion_pred AS z, stddev_pop(factor_only_pred) OVER d AS s, factor_only_pred - avg(factor_only_pred) OVER d AS c FROM preds WHERE factor_only_pred IS NOT NULL WINDOW d AS (PARTITION BY date)),
+y AS (SELECT *, {GAP} AS g, CASE WHEN k IS NOT NULL THEN p END AS pk FROM x),
+d AS (SELECT date, CASE WHEN count(k) >= 3 AND stddev_pop(pk) > 1e-8 AND stddev_pop(k) > 1e-8 THEN covar_pop(pk, k) / (stddev_pop(pk) * stddev_pop(k) + 1e-8) END AS c, CASE WHEN count(*) >= 2 THEN power(greatest(0.05 - max(s), 0), 2) END AS s, sum(CASE WHEN g <= 1 THEN 0.5 * g * g ELSE g - 0.5 END) AS h, count(g) AS n FROM y GROUP BY date),
+l AS (SELECT 1 - avg(c) AS a, sum(h) / sum(n) AS b, avg(s) AS c FROM d) SELECT {r('a', 'ic_loss')}, {r('b', 'huber_loss')}, {r('c', 'variance_penalty')}, {r('0.7 * a + 0.2 * b + 0.1 * c', 'loss')} FROM l""")
 def rank_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.rank_loss(preds(spark, sf_dir), "factor_only_pred", "gate_news_prob", "fusion_pred"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in L.BASELINES) + ") AS t(name, description)")
+@fixed("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in L.BASELINES) + ") AS t(name, description)")
 def baseline_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.baselines(spark)
 
@@ -396,7 +450,7 @@ PAYLOAD = json.dumps({"cik": 1, "entityName": "x", "facts": {"us-gaap": {"Assets
 ]}}}, "dei": {"Shares": {"label": "s", "units": {"shares": [{"end": "2020-01-31", "val": 7, "filed": "2020-02-01", "form": "10-K", "fy": 2019, "fp": "FY"}]}}}}})
 
 
-@query("SELECT * FROM (VALUES ('ABC', 'us-gaap', 'Assets', 'USD', 10.5::DOUBLE, 2019, 'FY', '10-K', DATE '2020-02-01', DATE '2019-12-31', 'CY2019'), ('ABC', 'us-gaap', 'Assets', 'USD', 11.0, 2020, 'Q1', '10-Q', DATE '2020-05-01', NULL, NULL), ('ABC', 'dei', 'Shares', 'shares', 7.0, 2019, 'FY', '10-K', DATE '2020-02-01', DATE '2020-01-31', NULL)) AS t(ticker, taxonomy, concept, unit, value, fy, fp, form, filed_date, end_date, frame)")
+@fixed("SELECT * FROM (VALUES ('ABC', 'us-gaap', 'Assets', 'USD', 10.5::DOUBLE, 2019, 'FY', '10-K', DATE '2020-02-01', DATE '2019-12-31', 'CY2019'), ('ABC', 'us-gaap', 'Assets', 'USD', 11.0, 2020, 'Q1', '10-Q', DATE '2020-05-01', NULL, NULL), ('ABC', 'dei', 'Shares', 'shares', 7.0, 2019, 'FY', '10-K', DATE '2020-02-01', DATE '2020-01-31', NULL)) AS t(ticker, taxonomy, concept, unit, value, fy, fp, form, filed_date, end_date, frame)")
 def company_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filings.company_facts(spark.createDataFrame([(" abc", PAYLOAD)], "ticker string, payload string"))
 
@@ -406,6 +460,6 @@ def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_table(spark, f"{sf_dir}/events.parquet").where("event_type IS NOT NULL").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("SELECT NULL::DATE AS date, NULL::STRING AS ticker WHERE false")
+@fixed("SELECT NULL::DATE AS date, NULL::STRING AS ticker WHERE false")
 def empty_price_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.empty_prices(spark).select("date", "ticker")
