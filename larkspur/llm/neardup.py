@@ -10,8 +10,11 @@ often they occur) is at least `threshold`; a class is a connected component of l
    shingles made anew from the texts, and the links' components become known.
 3. A bucket stays open while the members that have not led it are of two or more components. In each round some members
    outside the commonest component lead (few at first, LEADERS at most): each is compared with all that have not led, every
-   possible pair of two components is checked exactly, the components grow, and the leaders leave. So each pair of a bucket
-   is compared unless exact links already join it, no bucket or member is dropped, and the order of leaders cannot change a class.
+   possible pair of two components is checked exactly, the components grow, and the leaders leave. No bucket or member is
+   dropped, and the order of leaders cannot change a class.
+4. Rounds end when no bucket is open, or when few of a round's checks were links: then the members are not copies of one text but
+   share a passage. Those of the buckets that are still open are joined by their rarest shingles (see prefixes), all at once:
+   every pair of them that can be alike is checked exactly unless links already join it. So each pair of a bucket is decided.
 
 A pair is possible if its signatures agree nearly often enough (four standard errors), and if the histograms of its sets
 allow it: both sets' weights are summed in BINS hashed bins, and what two sets share cannot be more than the sum of the
@@ -34,6 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm import prefixes
 from larkspur.llm.components import components
 from larkspur.llm.dartminhash import signature, similarity
 from larkspur.llm.store import cut, released, small_batches
@@ -44,7 +48,9 @@ WIDTH, THRESHOLD = 5, 0.8
 # else seldom agree on 8 coordinates; two at the threshold miss all bands with a chance below one in a thousand.
 COORDINATES, ROWS, DEALS = 128, 8, 4
 BINS, FULL = 256, 0xFFFF
-FIRST_LEADERS, LEADERS, MEMBERS = 64, 256, 256
+FIRST_LEADERS, LEADERS, MEMBERS = 16, 256, 256
+# A round of fewer links than this share of its checks is the last one.
+WORTHWHILE = 0.25
 # In the rounds, up to this many texts of candidate pairs are named to all tasks (about 60 bytes each), so that the other texts stay where they are.
 BROADCAST_TEXTS = 10_000
 # Four standard errors of a signature's estimate at the threshold.
@@ -196,8 +202,30 @@ def linked(texts: DataFrame, sets: DataFrame, width: int, threshold: float) -> D
             continue
         checked = checked.unionByName(fresh)
         alike = cut(links(texts, fresh, width, threshold, few=True).select("a", "b"))
-        if not alike.isEmpty():
+        found = alike.count()
+        if found:
             labels = components(labels.toDF("a", "b").unionByName(alike)).toDF("_id", "_label")
+        if found < WORTHWHILE * fresh.count():
+            return _by_prefixes(texts, state, labels, sigs.drop("_degree"), checked, width, threshold)
+
+
+def _by_prefixes(texts: tuple[DataFrame, DataFrame], state: DataFrame, labels: DataFrame, sigs: DataFrame, checked: DataFrame, width: int, threshold: float) -> DataFrame:
+    """labels with all links between the members of buckets that are still open. state: _bucket, _id of those that have not led."""
+    named = state.join(labels, "_id", "left").select("_bucket", "_id", F.coalesce("_label", "_id").alias("_label"))
+    open_ = named.groupBy("_bucket").agg(F.min("_label").alias("_least"), F.max("_label").alias("_most")).where("_least <> _most").select("_bucket")
+    members = cut(named.join(open_, "_bucket", "left_semi").select("_id", "_label").distinct())
+    sets = cut(shingled(texts, members.select(F.col("_id").alias("_key")), width, True).join(members, "_id"))
+    met = prefixes.pairs(sets, threshold).join(checked, ["a", "b"], "left_anti")
+    both = met.join(sigs.select(F.col("_id").alias("a"), "_sketch"), "a").join(sigs.select(F.col("_id").alias("b"), F.col("_sketch").alias("_other")), "b")
+
+    def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b[["a", "b"]][possible(_sketches(b["_sketch"]), _sketches(b["_other"]), threshold)]
+
+    fresh = cut(both.select("a", "b", "_sketch", "_other").mapInPandas(released(sieve), "a long, b long"))
+    alike = cut(compared(fresh, sets.select("_id", "_e", "_c"), threshold).select("a", "b"))
+    return labels if alike.isEmpty() else components(labels.toDF("a", "b").unionByName(alike)).toDF("_id", "_label")
 
 
 def _round(state: DataFrame, leading: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
@@ -223,14 +251,13 @@ def _round(state: DataFrame, leading: DataFrame, sigs: DataFrame, threshold: flo
     return members.join(leaders, "_bucket").select("_lead", "_members").mapInPandas(released(run), "a long, b long")
 
 
-def links(texts: tuple[DataFrame, DataFrame], pairs: DataFrame, width: int, threshold: float, few: bool = False) -> DataFrame:
-    """The pairs (a, b) of sets that are alike, with their similarity. Texts are shuffled once, and only the shingles of those in a pair go on.
-    With `few`, texts of pairs are counted first, and up to BROADCAST_TEXTS of them are found without a shuffle.
+def shingled(texts: tuple[DataFrame, DataFrame], keys: DataFrame, width: int, few: bool = False) -> DataFrame:
+    """_id, _e, _c: the shingles and counts of the sets whose _key is in keys. With `few`, texts are counted first, and up to BROADCAST_TEXTS of them are found without a shuffle.
 
     texts: rows (_id, _hash, _text), and the row that stands for each set (_key, _id, _hash).
     """
     rows, owners = texts
-    wanted = cut(owners.join(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct(), "_key"))
+    wanted = cut(owners.join(keys, "_key"))
     if few and wanted.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
         wanted = F.broadcast(wanted)
 
@@ -243,8 +270,11 @@ def links(texts: tuple[DataFrame, DataFrame], pairs: DataFrame, width: int, thre
 
     # Rows that repeat an id and a text are cut to one before their shingles are made; where both were shuffled, they already stand together.
     once = rows.join(wanted, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"])
-    sets = cut(once.select("_key", "_text").mapInPandas(released(cover), "_id long, _e binary, _c binary"))
+    return cut(once.select("_key", "_text").mapInPandas(released(cover), "_id long, _e binary, _c binary"))
+
 
+def compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of sets that are alike, with their similarity."""
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def view(e: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
             return np.frombuffer(e, np.uint64), np.frombuffer(c, np.float32)
@@ -257,6 +287,12 @@ def links(texts: tuple[DataFrame, DataFrame], pairs: DataFrame, width: int, thre
     return joined.mapInPandas(released(check), "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
+def links(texts: tuple[DataFrame, DataFrame], pairs: DataFrame, width: int, threshold: float, few: bool = False) -> DataFrame:
+    """The pairs (a, b) of sets that are alike, with their similarity. Texts are shuffled once, and only the shingles of those in a pair go on."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+    return compared(pairs, shingled(texts, keys, width, few), threshold)
+
+
 def members(df: DataFrame, key: str, text: str, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """_id, _hash, _label, class_id for each row of df with an id: its class has one _label, and class_id is the smallest id in it."""
     df = small_batches(df)

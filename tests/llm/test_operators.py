@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import ann, components, language, mixing, neardup, pieces, sampling, secrets, sharding, store, tokenfiles, topk, warc
+from larkspur.llm import ann, components, language, mixing, neardup, pieces, prefixes, sampling, secrets, sharding, store, tokenfiles, topk, warc
 from larkspur.llm.queries import tokenizer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -656,6 +656,34 @@ def test_no_pair_around_a_shared_passage_is_lost(spark):
     assert got == {k: k - k % 2 for k, _ in rows}
 
 
+def test_a_large_group_around_a_passage_is_decided(spark):
+    rows = around_a_passage(1200)
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text").collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}
+
+
+def test_rarest_shingles_find_every_alike_pair(spark):
+    r = np.random.default_rng(9)
+    passage = r.integers(0, 2**63, 60).astype(np.uint64)
+    sets = []
+    for _ in range(120):
+        n = int(r.integers(1, 60))
+        own = np.concatenate([passage[: int(r.integers(0, 60))], r.integers(0, 2**63, n).astype(np.uint64)])
+        e = np.unique(own)
+        sets.append((e, r.integers(1, 4, len(e)).astype(np.float64)))
+        for _ in range(2):  # near copies, some just over the threshold and some under it
+            keep = r.random(len(e)) > r.choice([0.02, 0.1, 0.2])
+            keep[0] = True
+            sets.append((e[keep], sets[-1][1][: len(e)][keep[: len(sets[-1][1])]] if len(sets[-1][1]) == len(e) else np.ones(keep.sum())))
+    rows = [(i, i, e.tobytes(), c.astype(np.float32).tobytes()) for i, (e, c) in enumerate(sets)]
+    df = spark.createDataFrame(rows, "_id long, _label long, _e binary, _c binary").repartition(3)
+    found = {(x["a"], x["b"]) for x in prefixes.pairs(df, 0.8).collect()}
+    alike = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if neardup.similarity(sets[i], sets[j]) >= 0.8}
+    assert alike and alike <= found and len(found) < 4 * len(alike) + 50
+    half = df.withColumn("_label", F.col("_id") % 2)
+    assert {(a, b) for a, b in alike if (a - b) % 2} <= {(x["a"], x["b"]) for x in prefixes.pairs(half, 0.8).collect()}
+
+
 def test_the_histogram_bound_never_excludes_an_alike_pair():
     r = np.random.default_rng(3)
     for n in (1, 7, 100, 3000):
