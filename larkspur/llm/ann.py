@@ -11,7 +11,7 @@ so a vector that many rows share does not make a leaf large.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an id. Of
 rows with the same id, the query is the one with the smallest vector, and none is a candidate for its own id. An empty table has no result.
-Extra columns are not read, whatever their names.
+The 64 commonest lengths of vectors have a forest each; rows of all other lengths are searched whole, part by part, which is exact. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.forest import Forest
 from larkspur.llm.sampling import lowest
 from larkspur.llm.store import cut
-from larkspur.llm.vectors import beside_shards, dimensions, matrix, taking_part, top
+from larkspur.llm.vectors import beside_shards, dimensions, matrix, searched_whole, taking_part, top
 
 # At most 256 leaves a tree: a row's leaf in a tree is one byte.
 TREES, DEPTH, SHARE, SAMPLE, CELL, SHARDS = 64, 8, 0.008, 8192, 8192, 16
@@ -42,7 +42,10 @@ def search(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int
     in them are fewer than share * trees of all.
     """
     own = taking_part(df, id_col, vector_col, zero=False)
-    parts = [_search(own.where(F.col("_dim") == dim), n, is_query, k, trees, min(8, depth), share, sample, cell, seed) for dim, n in sorted(dimensions(own).items())]
+    sizes, rest = dimensions(own)
+    parts = [_search(own.where(F.col("_dim") == dim), n, is_query, k, trees, min(8, depth), share, sample, cell, seed) for dim, n in sorted(sizes.items())]
+    if rest is not None:
+        parts.append(searched_whole(rest, is_query, k, nearest, "double").withColumnRenamed("worse", "score"))
     if not parts:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = parts[0]
@@ -54,6 +57,20 @@ def search(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def nearest(v: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, distance, id) of the k nearest different ids for each query among all rows of v."""
+    found = []
+    for i in range(len(q)):
+        gap = v - q[i]
+        away = np.einsum("ij,ij->i", gap, gap)
+        order = np.lexsort((ids, away))
+        order = order[ids[order] != q_ids[i]]
+        _, once = np.unique(ids[order], return_index=True)
+        best = order[np.sort(once)[:k]]
+        found.append((np.full(len(best), i), np.sqrt(away[best]), ids[best]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def rows_in_leaves(cells: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows by (tree, leaf), and where each pair's rows begin: cells is (rows, trees)."""
     flat = (cells.T.astype(np.int32) + (np.arange(cells.shape[1], dtype=np.int32) * leaves)[:, None]).ravel()

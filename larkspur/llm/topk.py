@@ -9,8 +9,8 @@ so every shard prunes from its first range on. Shards hold still: a task reads o
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id. Of rows
 with the same id, the query is the one with the smallest vector, and none is a candidate for its own id. Scores
-that may pass 2**53 are computed in whole numbers of any size; a score beyond 64 bits fails. An empty table has no result. Extra columns are
-not read, whatever their names.
+that may pass 2**53 are computed in whole numbers of any size; a score beyond 64 bits fails. An empty table has no result. The 64 commonest
+lengths of vectors have shards of their own; all others are searched together, part by part. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.ranks import gapless
 from larkspur.llm.sampling import lowest
-from larkspur.llm.vectors import beside_shards, dimensions, matrix, taking_part, top
+from larkspur.llm.vectors import beside_shards, dimensions, matrix, searched_whole, taking_part, top
 
 SHARD, RANGE, BLOCK, WAVE, FIRST = 8192, 64, 1024, 8, 2048
 # A table is cut into so many shards at least, if they have a range each.
@@ -37,10 +37,12 @@ def search(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int
     # floor() of a double beyond 64 bits would overflow a long; such components stay whole doubles as they are.
     whole = F.transform("_v", lambda x: F.when(F.abs(x) < 2.0**53, F.floor(F.lit(scale) * x).cast("double")).otherwise(F.lit(scale) * x))
     own = own.withColumn("_v", whole)
-    sizes = dimensions(own)
+    sizes, rest = dimensions(own)
     if not sizes:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = [_search(own.where(F.col("_dim") == dim), n, is_query, k, min(shard, max(RANGE, -(-n // SHARDS)))) for dim, n in sorted(sizes.items())]
+    if rest is not None:
+        found.append(searched_whole(rest, is_query, k, pruned, "long").select("query_id", "vec_id", (-F.col("worse")).alias("score")))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -30,12 +30,49 @@ def taking_part(df: DataFrame, id_col: str, vector_col: str, zero: bool) -> Data
     return own.withColumn("_dim", F.size("_v"))
 
 
-def dimensions(own: DataFrame, most: int = 64) -> dict[int, int]:
-    """Rows by number of components. Vectors of different length never meet; a table has few lengths."""
-    found = own.groupBy("_dim").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"vectors of more than {most} lengths in one table")
-    return {r["_dim"]: r["n"] for r in found}
+COMMON = 64  # lengths that have an index of their own
+
+
+def dimensions(own: DataFrame, most: int = COMMON) -> tuple[dict[int, int], DataFrame | None]:
+    """Rows by number of components for the `most` commonest lengths, and the rows of all other lengths, if there are any. Vectors of different length never meet."""
+    counted = own.groupBy("_dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "_dim").limit(most + 1).collect()
+    common = {r["_dim"]: r["n"] for r in counted[:most]}
+    return common, None if len(counted) <= most else own.where(~F.col("_dim").isin(list(common)))
+
+
+PART, ASKED = 2048, 512
+
+
+def searched_whole(own: DataFrame, is_query: Column, k: int, answer: Callable, kind: str) -> DataFrame:
+    """query_id, vec_id, worse (of the given kind, less is better): the k best for each query among the rows of its length in each part of them, however many lengths there are.
+
+    Every length is cut into parts of about PART rows and ASKED queries; a task has one of each at a time. answer(vectors, ids, query vectors, query ids, k) gives
+    (query row, worse, id), as topk.pruned does.
+    """
+    asked = own.where(is_query).groupBy("_id", "_dim").agg(F.min("_v").alias("_v"))
+
+    def parts(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy("_dim").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+    sizes = parts(own, PART, "_parts").join(parts(asked, ASKED, "_asks"), "_dim")
+
+    def dealt(rows: DataFrame, own_parts: str, of: str, other_parts: str, to: str) -> DataFrame:
+        placed = rows.join(sizes, "_dim").withColumn(of, F.pmod(F.xxhash64("_id", "_v"), F.col(own_parts)).cast("int"))
+        return placed.withColumn(to, F.explode(F.sequence(F.lit(0), F.col(other_parts) - 1))).select("_dim", "_part", "_ask", "_id", "_v")
+
+    keys = ["_dim", "_part", "_ask"]
+    stored, queries = dealt(own, "_parts", "_part", "_asks", "_ask"), dealt(asked, "_asks", "_ask", "_parts", "_part")
+
+    def run(rows: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(asking):
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "worse": np.zeros(0)})
+        q_ids = asking["_qid"].to_numpy()
+        at, worse, ids = answer(matrix(rows["_v"]), rows["_id"].to_numpy(), matrix(asking["_q"]), q_ids, k)
+        return pd.DataFrame({"query_id": q_ids[at], "vec_id": ids, "worse": [int(w) for w in worse] if kind == "long" else worse})
+
+    # Names of their own, since both sides come from the same rows.
+    queries = queries.toDF("_dim2", "_part2", "_ask2", "_qid", "_q")
+    return stored.groupBy(*keys).cogroup(queries.groupBy("_dim2", "_part2", "_ask2")).applyInPandas(run, f"query_id long, vec_id long, worse {kind}")
 
 
 def matrix(rows) -> np.ndarray:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import math
 import random
 import re
 import time
@@ -147,6 +148,31 @@ def test_opened_leaves_hold_less_than_half_of_all_rows_and_each_once():
         assert sorted(by_cell[begin[c] : begin[c + 1]].tolist()) == np.flatnonzero(cells[:, c // leaves] == c % leaves).tolist()
 
 
+def test_vectors_of_a_hundred_lengths_are_searched(spark, monkeypatch):
+    from larkspur.llm import vectors as V
+
+    r = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in r.normal(size=1 + i % 100)]) for i in range(1500)] + [(7, [1.0] * 8), (90, [float(2**20)] * 91), (190, [float(2**19)] * 91)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    # Few common lengths and small parts, so that nearly all rows are searched the other way, in pieces.
+    monkeypatch.setattr(V, "PART", 5)
+    monkeypatch.setattr(V, "ASKED", 2)
+    for module in (ann, topk):
+        monkeypatch.setattr(module, "dimensions", lambda own: V.dimensions(own, 2))
+    near = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in ann.search(df, "vec_id", "embedding", F.col("_id") % 10 == 0, k=4).collect()}
+    best = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk.search(df, "vec_id", "embedding", F.col("_id") % 10 == 0, k=4).collect()}
+    asked = {(i, len(v)): v for i, v in sorted(rows, reverse=True) if i % 10 == 0}
+    lengths = sorted({n for _, n in asked})
+    assert len(lengths) >= 10
+    for (i, n), q in asked.items():
+        others = [(j, v) for j, v in rows if len(v) == n and j != i]
+        away = sorted((math.dist(v, q), j) for j, v in others)[:4]
+        assert [(near[i, t + 1][0], round(near[i, t + 1][1], 9)) for t in range(len(away))] == [(j, round(d, 9)) for d, j in away]
+        score = sorted((-sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(v, q, strict=True)), j) for j, v in others)[:4]
+        if all(abs(s) < 2**62 for s, _ in score):
+            assert [best[i, t + 1] for t in range(len(score))] == [(j, -s) for s, j in score]
+
+
 def test_topk_equals_brute_force(spark):
     df, x = vectors(spark, dim=6)
     out = topk.search(clashing(df), "vec_id", "embedding", F.col("_id") % 10 == 0, k=5, shard=128)
