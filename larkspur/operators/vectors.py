@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from larkspur.operators.panel import KEYS, first_by
 
+SUMS = 16
+
 
 def numbered_mean(df: DataFrame, keys: list[str], vector: str, out: str = "vector", width: int | None = None) -> DataFrame:
     """Component means of the vectors of each key, with their number; different lengths in a key fail.
@@ -90,19 +92,28 @@ def attention_entropy(weights: Column | str, low: float = 1e-8) -> Column:
 
 
 def moments(df: DataFrame, vector: str, width: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean and covariance sum of a vector column: one matrix a task is summed, of a size set by the width alone."""
+    """Rows, mean and covariance sum of a vector column: each task sums one matrix into one row, SUMS tasks add those up, and the driver the rest."""
+    size = width * (width + 1) + 1
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, s, g = 0, np.zeros(width), np.zeros((width, width))
         for b in batches:
             if len(b):
                 x = np.array(b["_v"].tolist(), dtype=np.float64)
                 n, s, g = n + len(x), s + x.sum(axis=0), g + x.T @ x
-        yield pd.DataFrame({"i": np.arange(width * (width + 1) + 1), "x": np.concatenate(([n], s, g.ravel()))})
+        yield pd.DataFrame({"x": [np.concatenate(([n], s, g.ravel())).tobytes()]})
 
-    parts = df.select(F.col(vector).cast("array<double>").alias("_v")).where("_v IS NOT NULL").mapInPandas(run, "i int, x double")
-    x = np.zeros(width * (width + 1) + 1)
-    for r in parts.groupBy("i").agg(F.sum("x").alias("x")).collect():
-        x[r["i"]] = r["x"]
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for b in batches:
+            for x in b["x"]:
+                total += np.frombuffer(x)
+        yield pd.DataFrame({"x": [total.tobytes()]})
+
+    rows = df.select(F.col(vector).cast("array<double>").alias("_v")).where("_v IS NOT NULL")
+    x = np.zeros(size)
+    for r in rows.mapInPandas(run, "x binary").repartition(SUMS).mapInPandas(add, "x binary").collect():
+        x += np.frombuffer(r["x"])
     n = int(x[0])
     mean = x[1 : width + 1] / max(n, 1)
     return n, mean, x[width + 1 :].reshape(width, width) - n * np.outer(mean, mean)
