@@ -139,3 +139,17 @@ def day_matrices(vectors: DataFrame, order: list[str], most: int = 64) -> DataFr
     ranked = vectors.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS).orderBy(*order))).where(F.col("_r") <= most)
     held = F.array_sort(F.collect_list(F.struct("_r", F.col("embedding").cast("array<float>").alias("v"))))
     return ranked.groupBy(*KEYS).agg(F.transform(held, lambda s: s["v"]).alias("matrix")).select("ticker", "date", "matrix")
+
+
+def packed(vectors: DataFrame, order: list[str], most: int = 64) -> DataFrame:
+    """ticker, date, matrix, length, offset: stock-days' matrices, their rows, and the rows of all stock-days before them by (ticker, date).
+
+    Offsets come from counts: a running sum over a ticker's days, then over tickers, so no task sees more than a ticker's days or the list of tickers.
+    """
+    counts = vectors.groupBy(*KEYS).agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("length"))
+    days = Window.partitionBy("ticker").orderBy(F.col("date").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    tickers = Window.orderBy(F.col("ticker").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    totals = counts.groupBy("ticker").agg(F.sum("length").alias("_n")).select(F.col("ticker").alias("_t"), (F.sum("_n").over(tickers) - F.col("_n")).alias("_before"))
+    inner = counts.withColumn("_in", F.sum("length").over(days) - F.col("length")).join(totals, F.col("ticker").eqNullSafe(F.col("_t")))
+    places = inner.select(F.col("ticker").alias("_t"), F.col("date").alias("_d"), "length", (F.col("_before") + F.col("_in")).alias("offset"))
+    return day_matrices(vectors, order, most).join(places, F.col("ticker").eqNullSafe(F.col("_t")) & F.col("date").eqNullSafe(F.col("_d"))).drop("_t", "_d")

@@ -235,7 +235,7 @@ def coverage_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{VECTORS}, k AS (SELECT day, ticker, least(count(*), 64) AS length FROM vectors GROUP BY 1, 2) SELECT DATE '2024-01-01' + day AS date, ticker, length, (sum(length) OVER (ORDER BY ticker, day) - length)::BIGINT AS "offset" FROM k""")
 def packed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.day_matrices(vectors(spark, sf_dir), ["vec_id"]).select(*P.KEYS, "length", "offset")
+    return H.packed(vectors(spark, sf_dir), ["vec_id"]).select(*P.KEYS, "length", "offset")
 
 
 @query(f"{VECTORS} SELECT count(CASE WHEN vec_id % 5 = 0 THEN 1 END) AS only_direct, 0::BIGINT AS only_cached, count(CASE WHEN vec_id % 5 <> 0 THEN 1 END) AS both, 0.5::DOUBLE AS largest_difference FROM vectors")

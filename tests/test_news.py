@@ -9,10 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
+from larkspur.operators import history as H
 from larkspur.operators import models as L
 from larkspur.operators import news as N
 from larkspur.operators import sequences as S
 from larkspur.operators import vectors as E
+from larkspur.plans import text_queries
 from larkspur.sources import blocks, filings, manifests, tables
 
 DAY = dt.date(2024, 1, 2)
@@ -195,3 +197,13 @@ def test_stream_counts_news_once(spark, tmp_path):
     q.stop()
     out = {(r["ticker"], str(r["day"])): r["news_count"] for r in spark.table("counts").collect()}
     assert out == {("A", "2024-01-02"): 1, ("A", "2024-01-03"): 1, ("B-C", "2024-01-02"): 1}
+
+
+def test_packed_matrix_lengths_and_offsets(spark):
+    rows = [(t, DAY + dt.timedelta(d), i, [float(i)]) for t, d, n in [("B", 0, 2), ("A", 1, 1), ("A", 0, 5), (None, 0, 2)] for i in range(n)]
+    v = spark.createDataFrame(rows, "ticker string, date date, vec_id int, embedding array<double>")
+    out = H.packed(v, ["vec_id"], 3).collect()
+    want = [("A", DAY, 3, 0), ("A", DAY + dt.timedelta(1), 1, 3), ("B", DAY, 2, 4), (None, DAY, 2, 6)]
+    assert sorted(((r["ticker"], r["date"], r["length"], r["offset"]) for r in out), key=lambda r: r[3]) == want
+    assert all(len(r["matrix"]) == r["length"] for r in out)
+    assert text_queries.packed_matrix(spark, "/root/testdata/sf0.001").columns == ["date", "ticker", "length", "offset"]
