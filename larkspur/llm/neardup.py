@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from larkspur.llm import prefixes
 from larkspur.llm.components import components
 from larkspur.llm.dartminhash import signature, similarity
-from larkspur.llm.store import cut, released, small_batches
+from larkspur.llm.store import Notes, cut, released, small_batches
 from larkspur.llm.wordhash import mix, shingles, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -160,13 +160,13 @@ def bands(sets: DataFrame) -> DataFrame:
     return sets.select("_id", "_sig").mapInPandas(released(run), "_id long, _b array<long>").select("_id", F.explode("_b").alias("_bucket"))
 
 
-def linked(texts: DataFrame, sets: DataFrame, width: int, threshold: float) -> DataFrame:
+def linked(texts: tuple[DataFrame, DataFrame], sets: DataFrame, width: int, threshold: float, note: Notes) -> DataFrame:
     """_id, _label: the smallest set of each linked set's component. sets: _id, _sig, _sketch. texts: see links."""
     spots = bands(sets)
     sizes = spots.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     shared = cut(spots.join(sizes, "_bucket"))
     # The member that meets most others is the likeliest to be near them all: the text that copies were made from.
-    degrees = cut(shared.groupBy("_id").agg(F.sum("_n").alias("_degree")))
+    degrees = note(shared.groupBy("_id").agg(F.sum("_n").alias("_degree")))
     ranked = cut(shared.drop("_n").join(degrees, "_id"))
     leaders = ranked.groupBy("_bucket").agg(F.max(F.struct(F.col("_degree").alias("d"), (-F.col("_id")).alias("i"))).alias("_m")).select("_bucket", (-F.col("_m.i")).alias("_leader"))
     met = cut(ranked.join(leaders, "_bucket").where("_id <> _leader"))
@@ -181,40 +181,40 @@ def linked(texts: DataFrame, sets: DataFrame, width: int, threshold: float) -> D
             if len(b):
                 yield b[["_id", "_leader"]][possible(_sketches(b["_sketch"]), _sketches(b["_other"]), threshold)]
 
-    checked = cut(first.mapInPandas(released(sieve), "_id long, _leader long").select(F.least("_leader", "_id").alias("a"), F.greatest("_leader", "_id").alias("b")).distinct())
-    alike = cut(links(texts, checked, width, threshold).select("a", "b"))
-    labels = components(alike).toDF("_id", "_label")
+    checked = note(first.mapInPandas(released(sieve), "_id long, _leader long").select(F.least("_leader", "_id").alias("a"), F.greatest("_leader", "_id").alias("b")).distinct())
+    alike = note(links(texts, checked, width, threshold, note).select("a", "b"))
+    labels = components(alike, keep=note).toDF("_id", "_label")
     # The members that have not led their bucket.
     state, leaders_now = met.select("_bucket", "_id"), FIRST_LEADERS
     while True:
         state = state.join(labels, "_id", "left").select("_bucket", "_id", F.coalesce("_label", "_id").alias("_label"))
         open_ = state.groupBy("_bucket").agg(F.min("_label").alias("_least"), F.max("_label").alias("_most"), F.count(F.lit(1)).alias("_n")).where("_least <> _most").select("_bucket", "_n")
-        state = cut(state.join(open_, "_bucket"))
+        state = note(state.join(open_, "_bucket"))
         if state.isEmpty():
             return labels
         common = state.groupBy("_bucket", "_label").agg(F.count(F.lit(1)).alias("_c")).groupBy("_bucket").agg(F.max(F.struct("_c", "_label")).alias("_m")).select("_bucket", F.col("_m._label").alias("_common"))
         order = Window.partitionBy("_bucket").orderBy(F.col("_degree").desc(), "_id")
         leading = state.join(common, "_bucket").where("_label <> _common").join(degrees, "_id").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= leaders_now)
-        leading, leaders_now = cut(leading.select("_bucket", "_id", "_label")), min(LEADERS, 4 * leaders_now)
-        fresh = cut(_round(state, leading, sigs.drop("_degree"), threshold).distinct().join(checked, ["a", "b"], "left_anti"))
+        leading, leaders_now = note(leading.select("_bucket", "_id", "_label")), min(LEADERS, 4 * leaders_now)
+        fresh = note(_round(state, leading, sigs.drop("_degree"), threshold).distinct().join(checked, ["a", "b"], "left_anti"))
         state = state.join(leading.select("_bucket", "_id"), ["_bucket", "_id"], "left_anti").select("_bucket", "_id")
         if fresh.isEmpty():
             continue
         checked = checked.unionByName(fresh)
-        alike = cut(links(texts, fresh, width, threshold, few=True).select("a", "b"))
+        alike = note(links(texts, fresh, width, threshold, note, few=True).select("a", "b"))
         found = alike.count()
         if found:
-            labels = components(labels.toDF("a", "b").unionByName(alike)).toDF("_id", "_label")
+            labels = components(labels.toDF("a", "b").unionByName(alike), keep=note).toDF("_id", "_label")
         if found < WORTHWHILE * fresh.count():
-            return _by_prefixes(texts, state, labels, sigs.drop("_degree"), checked, width, threshold)
+            return _by_prefixes(texts, state, labels, sigs.drop("_degree"), checked, width, threshold, note)
 
 
-def _by_prefixes(texts: tuple[DataFrame, DataFrame], state: DataFrame, labels: DataFrame, sigs: DataFrame, checked: DataFrame, width: int, threshold: float) -> DataFrame:
+def _by_prefixes(texts: tuple[DataFrame, DataFrame], state: DataFrame, labels: DataFrame, sigs: DataFrame, checked: DataFrame, width: int, threshold: float, note: Notes) -> DataFrame:
     """labels with all links between the members of buckets that are still open. state: _bucket, _id of those that have not led."""
     named = state.join(labels, "_id", "left").select("_bucket", "_id", F.coalesce("_label", "_id").alias("_label"))
     open_ = named.groupBy("_bucket").agg(F.min("_label").alias("_least"), F.max("_label").alias("_most")).where("_least <> _most").select("_bucket")
-    members = cut(named.join(open_, "_bucket", "left_semi").select("_id", "_label").distinct())
-    sets = cut(shingled(texts, members.select(F.col("_id").alias("_key")), width, True).join(members, "_id"))
+    members = note(named.join(open_, "_bucket", "left_semi").select("_id", "_label").distinct())
+    sets = note(shingled(texts, members.select(F.col("_id").alias("_key")), width, note, True).join(members, "_id"))
     met = prefixes.pairs(sets, threshold).join(checked, ["a", "b"], "left_anti")
     both = met.join(sigs.select(F.col("_id").alias("a"), "_sketch"), "a").join(sigs.select(F.col("_id").alias("b"), F.col("_sketch").alias("_other")), "b")
 
@@ -223,9 +223,9 @@ def _by_prefixes(texts: tuple[DataFrame, DataFrame], state: DataFrame, labels: D
             if len(b):
                 yield b[["a", "b"]][possible(_sketches(b["_sketch"]), _sketches(b["_other"]), threshold)]
 
-    fresh = cut(both.select("a", "b", "_sketch", "_other").mapInPandas(released(sieve), "a long, b long"))
-    alike = cut(compared(fresh, sets.select("_id", "_e", "_c"), threshold).select("a", "b"))
-    return labels if alike.isEmpty() else components(labels.toDF("a", "b").unionByName(alike)).toDF("_id", "_label")
+    fresh = note(both.select("a", "b", "_sketch", "_other").mapInPandas(released(sieve), "a long, b long"))
+    alike = note(compared(fresh, sets.select("_id", "_e", "_c"), threshold).select("a", "b"))
+    return labels if alike.isEmpty() else components(labels.toDF("a", "b").unionByName(alike), keep=note).toDF("_id", "_label")
 
 
 def _round(state: DataFrame, leading: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
@@ -251,13 +251,13 @@ def _round(state: DataFrame, leading: DataFrame, sigs: DataFrame, threshold: flo
     return members.join(leaders, "_bucket").select("_lead", "_members").mapInPandas(released(run), "a long, b long")
 
 
-def shingled(texts: tuple[DataFrame, DataFrame], keys: DataFrame, width: int, few: bool = False) -> DataFrame:
+def shingled(texts: tuple[DataFrame, DataFrame], keys: DataFrame, width: int, note: Notes, few: bool = False) -> DataFrame:
     """_id, _e, _c: the shingles and counts of the sets whose _key is in keys. With `few`, texts are counted first, and up to BROADCAST_TEXTS of them are found without a shuffle.
 
     texts: rows (_id, _hash, _text), and the row that stands for each set (_key, _id, _hash).
     """
     rows, owners = texts
-    wanted = cut(owners.join(keys, "_key"))
+    wanted = note(owners.join(keys, "_key"))
     if few and wanted.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
         wanted = F.broadcast(wanted)
 
@@ -287,10 +287,10 @@ def compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInPandas(released(check), "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
-def links(texts: tuple[DataFrame, DataFrame], pairs: DataFrame, width: int, threshold: float, few: bool = False) -> DataFrame:
+def links(texts: tuple[DataFrame, DataFrame], pairs: DataFrame, width: int, threshold: float, note: Notes, few: bool = False) -> DataFrame:
     """The pairs (a, b) of sets that are alike, with their similarity. Texts are shuffled once, and only the shingles of those in a pair go on."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
-    return compared(pairs, shingled(texts, keys, width, few), threshold)
+    return compared(pairs, shingled(texts, keys, width, note, few), threshold)
 
 
 def members(df: DataFrame, key: str, text: str, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
@@ -302,7 +302,9 @@ def members(df: DataFrame, key: str, text: str, width: int = WIDTH, threshold: f
     firsts = cut(firsts.withColumn("_key", F.monotonically_increasing_id()))
     sets = cut(prints.where("_sig IS NOT NULL").join(firsts, ["_set", "_id", "_hash"]).dropDuplicates(["_key"]).select(F.col("_key").alias("_id"), "_sig", "_sketch"))
     texts = _rows(df, key, text), firsts.select("_key", "_id", "_hash")
-    named = cut(linked(texts, sets, width, threshold).toDF("_key", "_label").join(firsts.select("_key", "_id"), "_key"))
+    note = Notes(df.sparkSession)
+    named = cut(linked(texts, sets, width, threshold, note).toDF("_key", "_label").join(firsts.select("_key", "_id"), "_key"))
+    note.clear()
     least = named.groupBy("_label").agg(F.min("_id").alias("_least"))
     named = named.join(least, "_label").select("_key", "_label", "_least")
     owner = firsts.join(named, "_key", "left").select("_set", F.coalesce("_label", "_key").alias("_label"), F.coalesce("_least", "_id").alias("class_id"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.store import cut, released
 from larkspur.llm.wordhash import mix
 
-BINS = 1 << 16
+BINS, SUMS = 1 << 16, 16
 _U = np.uint64
 OCCURRENCE = _U(0x9E3779B97F4A7C15)
 EPS = 1e-9
@@ -30,18 +30,30 @@ def bin_of(elements: np.ndarray) -> np.ndarray:
 
 
 def rarity(sets: DataFrame) -> np.ndarray:
-    """In how many sets the elements of each bin are. sets: _e (elements as bytes). At most BINS sums come to the driver."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many sets the elements of each bin are. sets: _e (elements as bytes). A task gives one packed row, SUMS tasks add those up, and the driver the rest."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BINS, dtype=np.int64)
         for b in batches:
             for e in b["_e"]:
                 total += np.bincount(bin_of(np.frombuffer(e, np.uint64)), minlength=BINS)
+        if total.any():
+            yield packed(total)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BINS, dtype=np.int64)
+        for b in batches:
+            for at, n in zip(b["at"], b["n"], strict=True):
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+        if total.any():
+            yield packed(total)
+
+    def packed(total: np.ndarray) -> pd.DataFrame:
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"bin": at, "n": total[at]})
+        return pd.DataFrame({"at": [at.astype(np.uint16).tobytes()], "n": [total[at].tobytes()]})
 
     out = np.zeros(BINS, dtype=np.int64)
-    for r in sets.select("_e").mapInPandas(released(run), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
-        out[r["bin"]] = r["n"]
+    for r in sets.select("_e").mapInPandas(released(count), "at binary, n binary").repartition(SUMS).mapInPandas(add, "at binary, n binary").collect():
+        out[np.frombuffer(r["at"], np.uint16)] += np.frombuffer(r["n"], np.int64)
     return out
 
 

@@ -35,6 +35,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Notes:
+    """The narrow tables that a run's rounds pass on, as Parquet under the shared folder until the run clears them.
+
+    Read back, Spark knows how large they are and reads many small files in one task: a join with a small one needs no shuffle. What a checkpoint
+    would keep besides, how rows are dealt, is worth less than that here.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.where = spark, fresh_dir(spark, "notes")
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.where}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.where)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 

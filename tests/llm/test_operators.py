@@ -833,3 +833,26 @@ def test_every_stage_takes_odd_and_empty_tables(spark, odd, empty, tmp_path):
     kept = [(x["doc_id"], x["text"]) for x in pipeline.drop_near_duplicates(spark, wide, "").collect()]
     assert sorted(t for k, t in kept if k == 5 and len(t) < 100) == sorted(t for _, t, *_ in more[:2])
     assert sum(k == 9 for k, _ in kept) == 20 and sum(k is None for k, _ in kept) == 3
+
+
+def test_rarity_is_one_packed_row_a_task(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    made = [np.unique(rng.integers(0, 1 << 60, 300, dtype=np.uint64)) for _ in range(40)]
+    sets = spark.createDataFrame([(i, e.tobytes()) for i, e in enumerate(made)], "_id long, _e binary").repartition(7)
+    seen = []
+    collect = type(sets).collect
+    monkeypatch.setattr(type(sets), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    got = prefixes.rarity(sets)
+    assert (got == sum(np.bincount(prefixes.bin_of(e), minlength=prefixes.BINS) for e in made)).all()
+    assert len(seen[0]) <= prefixes.SUMS  # not a row a bin
+
+
+def test_notes_are_read_back_and_cleared(spark):
+    note = store.Notes(spark)
+    out = note(spark.range(10).selectExpr("id", "cast(id AS string) AS s"))
+    assert sorted(r["id"] for r in out.collect()) == list(range(10))
+    note.clear()
+    neardup.classes(spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g")], "doc_id long, text string"), "doc_id", "text").collect()
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store.shared_dir(spark))
+    left = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    assert not [x for x in (f.getPath().getName() for f in left) if x.startswith("notes-")]
