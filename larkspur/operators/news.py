@@ -103,8 +103,8 @@ def alias_map(rows: DataFrame, order: str) -> DataFrame:
     return own.where("alias IS NOT NULL AND alias <> ''").groupBy("alias").agg(F.max_by("ticker", F.struct("_o", "ticker")).alias("ticker"))
 
 
-def chunk_news(news: DataFrame, days: DataFrame, most: int = WORDS_PER_CHUNK, per_day: int = CHUNKS_PER_DAY, overlap: int = 0, entities: bool = True) -> DataFrame:
-    """Chunks of the news, the first `per_day` of each stock-day by publication time, news id and place in the news.
+def chunk_news(news: DataFrame, days: DataFrame, most: int = WORDS_PER_CHUNK, per_day: int | None = CHUNKS_PER_DAY, overlap: int = 0, entities: bool = True) -> DataFrame:
+    """Chunks of the news, the first `per_day` of each stock-day by publication time, news id and place in the news; all of them if that is None.
 
     The cap is a window limit, so a stock-day with much news is cut before the shuffle, not after.
     """
@@ -115,7 +115,7 @@ def chunk_news(news: DataFrame, days: DataFrame, most: int = WORDS_PER_CHUNK, pe
     ticker = T.news_ticker("ticker")
     cut = cleaned.select("date", ticker.alias("ticker"), F.col("news_id").cast("string").alias("source_news_id"), "publish_time", *[c for c in ("title",) if c in news.columns], F.posexplode(T.chunks(words, most, overlap)).alias("chunk_index", "chunk_text"))
     order = Window.partitionBy("ticker", "date").orderBy("publish_time", "source_news_id", "chunk_index")
-    kept = cut.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_day).drop("_r")
+    kept = cut if per_day is None else cut.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_day).drop("_r")
     return kept.withColumn("chunk_id", T.chunk_id(F.col("source_news_id"), F.col("ticker"), F.col("date"), F.col("chunk_index"))).withColumn("token_count", F.size(F.split("chunk_text", " ")))
 
 

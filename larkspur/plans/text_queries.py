@@ -105,19 +105,21 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-def chunks_sql(most: int = 256, overlap: int = 0, per_day: int = 64) -> str:
+def chunks_sql(most: int = 64, overlap: int = 8, per_day: int | None = None) -> str:
     step = most - overlap
+    capped = "" if per_day is None else f" QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY publish_time, source_news_id, chunk_index) <= {per_day}"
     return f"""{DATED}, words AS (SELECT news_id, date, upper(regexp_replace(ticker, '\\s+', '', 'g')) AS ticker, publish_time, string_split({CLEAN}, ' ') AS w FROM dated WHERE date IS NOT NULL AND {CLEAN} <> ''),
 parts AS (SELECT *, unnest(range(CASE WHEN len(w) <= {most} THEN 1 ELSE ceil((len(w) - {most}) / {step})::BIGINT + 1 END)) AS i FROM words),
 texts AS (SELECT date, ticker, news_id AS source_news_id, publish_time, i AS chunk_index, array_to_string(list_slice(w, i * {step} + 1, i * {step} + {most}), ' ') AS chunk_text FROM parts),
-chunks AS (SELECT *, substr(sha1(concat_ws('|', source_news_id, ticker, CAST(date AS STRING), CAST(chunk_index AS STRING))), 1, 16) AS chunk_id FROM texts QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY publish_time, source_news_id, chunk_index) <= {per_day})"""
+chunks AS (SELECT *, substr(sha1(concat_ws('|', source_news_id, ticker, CAST(date AS STRING), CAST(chunk_index AS STRING))), 1, 16) AS chunk_id FROM texts{capped})"""
 
 
 CHUNKS = chunks_sql()
 
 
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.chunk_news(load(spark, sf_dir, "news"), load(spark, sf_dir, "calendar"))
+    """All chunks of all news: no stock-day is capped."""
+    return N.chunk_news(load(spark, sf_dir, "news"), load(spark, sf_dir, "calendar"), 64, None, 8)
 
 
 @query(f"{CHUNKS} SELECT chunk_id, date, ticker, source_news_id, chunk_index::INT AS chunk_index, sha1(chunk_text) AS digest, len(string_split(chunk_text, ' '))::INT AS token_count FROM chunks")

@@ -50,6 +50,18 @@ def stored_vectors(spark: SparkSession, manifests: str, root: str | None = None,
     return found.withColumnRenamed("place", "line")
 
 
+def with_numbers(rows: DataFrame, manifests: str, name: str = "manifest.jsonl") -> DataFrame:
+    """rows of stored_vectors (path, line, ...) with `number`: a line's place, from 1, among the lines of all manifests of one folder, by file and line.
+
+    Lines are counted in the manifests, so no vector is opened for it, and numbered in their file; one row a file is summed in one task.
+    """
+    text = rows.sparkSession.read.option("pathGlobFilter", name).text(manifests)
+    files = text.where(F.trim("value") != "").groupBy(F.col("_metadata.file_name").alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
+    before = files.select("_file", (F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    placed = rows.withColumn("_file", F.substring_index("path", "/", -1)).withColumn("_r", F.row_number().over(Window.partitionBy("_file").orderBy("line")))
+    return placed.join(before, "_file").withColumn("number", F.col("_before") + F.col("_r")).drop("_file", "_r", "_before")
+
+
 @dataclass(frozen=True)
 class VectorStore:
     """A store of vectors under a root, with chunk_id, ticker, date, model_name and embedding, that grows by commits."""

@@ -207,3 +207,18 @@ def test_packed_matrix_lengths_and_offsets(spark):
     assert sorted(((r["ticker"], r["date"], r["length"], r["offset"]) for r in out), key=lambda r: r[3]) == want
     assert all(len(r["matrix"]) == r["length"] for r in out)
     assert text_queries.packed_matrix(spark, "/root/testdata/sf0.001").columns == ["date", "ticker", "length", "offset"]
+
+
+def test_no_stock_day_of_the_chunk_queries_is_capped(spark):
+    rows = [(f"n{i:02d}", "abc", " ".join(f"x{i}_{j}" for j in range(120)), "2024-01-02 09:00:00") for i in range(40)]
+    news = spark.createDataFrame(rows, "news_id string, ticker string, text string, publish_time string")
+    days = N.business_days(spark, "2024-01-02", "2024-01-05")
+    assert N.chunk_news(news, days, 64, None, 8).count() == 80 and N.chunk_news(news, days, 64, 64, 8).count() == 64
+    assert "QUALIFY" not in text_queries.CHUNKS and "<= 64 THEN 1" in text_queries.CHUNKS and "/ 56)" in text_queries.CHUNKS
+
+
+def test_lines_of_several_manifests_are_numbered_through(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"part-{k}").write_text("".join(json.dumps({"chunk_id": f"{k}{i}", "ticker": "a", "date": "2024-01-02", "embedding_path": "none.npy"}) + "\n" for i in range(3)))
+    out = manifests.with_numbers(manifests.stored_vectors(spark, str(tmp_path), name="part-*"), str(tmp_path), "part-*")
+    assert sorted((r["number"], r["chunk_id"]) for r in out.collect()) == [(1, "00"), (2, "01"), (3, "02"), (4, "10"), (5, "11"), (6, "12")]
