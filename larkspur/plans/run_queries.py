@@ -133,15 +133,18 @@ def stored(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
         F.concat(F.lit("chunk"), F.col("vec_id").cast("string")).alias("chunk_id"), F.concat(F.lit("t"), F.col("label").cast("string")).alias("ticker"), date.alias("date"), F.lit("m").alias("model_name"),
         F.format_string("v%d.npy", "vec_id").alias("embedding_path"), F.size("embedding").alias("embedding_dim"), F.lit("2024-01-01 09:00:00").alias("publish_time"), F.format_string("n%d", (F.col("vec_id") / 7).cast("int")).alias("source_news_id"), (F.col("vec_id") % 7).cast("int").alias("chunk_index"),
     )
-    v.select(F.to_json(line).alias("value")).write.text(f"{root}/manifest")
+    # In the order of ids: the files' names and the lines in them tell a line's number.
+    v.select(F.to_json(line).alias("value"), "vec_id").sort(F.col("vec_id").asc_nulls_last()).select("value").write.text(f"{root}/manifest")
     return root, manifests.stored_vectors(spark, f"{root}/manifest", f"{root}/vectors", "part-*")
 
 
-@query(f"{MANIFEST} SELECT concat('chunk', CAST(vec_id AS STRING)) AS chunk_id, ticker, date, len(embedding)::INT AS width, round(embedding[1]::DOUBLE, 6) + 0.0 AS first FROM v")
+@query(f"{MANIFEST} SELECT concat('chunk', CAST(vec_id AS STRING)) AS chunk_id, ticker, date, row_number() OVER (ORDER BY vec_id)::INT AS line, len(embedding)::INT AS width, round(embedding[1]::DOUBLE, 6) + 0.0 AS first FROM v")
 def manifest_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifest lines with the NumPy files they name, through a data source that opens those alone."""
-    _, named = stored(spark, sf_dir)
-    return rounded(named.select("chunk_id", "ticker", "date", F.size("embedding").alias("width"), F.get("embedding", F.lit(0)).cast("double").alias("first")))
+    """Manifest lines, numbered through all files, with the NumPy files they name, through a data source that opens those alone."""
+    root, named = stored(spark, sf_dir)
+    first = named.select("path", "line", "chunk_id", "ticker", "date", F.size("embedding").alias("width"), F.get("embedding", F.lit(0)).cast("double").alias("first"))
+    out = manifests.with_numbers(first, f"{root}/manifest", "part-*").withColumn("line", F.col("number").cast("int"))
+    return rounded(out.select("chunk_id", "ticker", "date", "line", "width", "first"))
 
 
 @query(f"{MANIFEST} SELECT concat('chunk', CAST(vec_id AS STRING)) AS chunk_id, ticker, date, round(embedding[64]::DOUBLE, 6) + 0.0 AS last FROM v WHERE ticker IN ('T3', 'T7') AND date >= DATE '2024-01-05' AND date < DATE '2024-01-15'")
