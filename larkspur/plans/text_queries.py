@@ -94,13 +94,13 @@ def cleaned_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {oracle('news')} SELECT news_id, sha1({CLEAN}) AS digest, CASE WHEN {CLEAN} = '' THEN 0 ELSE len(string_split({CLEAN}, ' ')) END::INT AS words FROM news")
 def cleaned_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = T.clean_text("text")
-    return load(spark, sf_dir, "news").select("news_id", F.sha1(cleaned.cast("binary")).alias("digest"), F.size(T.tokens(cleaned)).alias("words"))
+    return tables.small_batches(load(spark, sf_dir, "news")).select("news_id", F.sha1(cleaned.cast("binary")).alias("digest"), F.size(T.tokens(cleaned)).alias("words"))
 
 
 @query()
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of whole pages decoded, which SQL has no function for."""
-    return load(spark, sf_dir, "pages").select("page_id", T.clean_text("html").alias("text"))
+    return tables.small_batches(load(spark, sf_dir, "pages")).select("page_id", T.clean_text("html").alias("text"))
 
 
 
@@ -119,7 +119,7 @@ CHUNKS = chunks_sql()
 
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks of all news: no stock-day is capped."""
-    return N.chunk_news(load(spark, sf_dir, "news"), load(spark, sf_dir, "calendar"), 64, None, 8)
+    return N.chunk_news(tables.small_batches(load(spark, sf_dir, "news")), load(spark, sf_dir, "calendar"), 64, None, 8)
 
 
 @query(f"{CHUNKS} SELECT chunk_id, date, ticker, source_news_id, chunk_index::INT AS chunk_index, sha1(chunk_text) AS digest, len(string_split(chunk_text, ' '))::INT AS token_count FROM chunks")
@@ -130,7 +130,7 @@ def news_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{chunks_sql(64, 8, 1_000_000)} SELECT chunk_id, date, ticker, chunk_index::INT AS chunk_index, sha1(chunk_text) AS digest FROM chunks")
 def overlapping_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shorter chunks that overlap, without a cap on a day."""
-    out = N.chunk_news(load(spark, sf_dir, "news"), load(spark, sf_dir, "calendar"), 64, 1_000_000, 8)
+    out = N.chunk_news(tables.small_batches(load(spark, sf_dir, "news")), load(spark, sf_dir, "calendar"), 64, 1_000_000, 8)
     return out.select("chunk_id", "date", "ticker", "chunk_index", F.sha1(F.col("chunk_text").cast("binary")).alias("digest"))
 
 
@@ -171,7 +171,7 @@ def ticker_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {oracle('news')} SELECT concat('news_', CAST(row_number() OVER (ORDER BY published, news_id) - 1 AS STRING)) AS news_id, upper(ticker) AS ticker, sha1({CLEAN}) AS digest FROM news")
 def vendor_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = load(spark, sf_dir, "news").select(F.col("ticker").alias("Stock_symbol"), F.col("text").alias("Article"), F.col("published").alias("Date"), F.col("news_id").alias("key"))
+    raw = tables.small_batches(load(spark, sf_dir, "news")).select(F.col("ticker").alias("Stock_symbol"), F.col("text").alias("Article"), F.col("published").alias("Date"), F.col("news_id").alias("key"))
     out = N.normalized(raw, F.struct("publish_time", "key"), bucket=F.to_date("publish_time"))
     return out.select("news_id", "ticker", F.sha1(F.col("text").cast("binary")).alias("digest"))
 

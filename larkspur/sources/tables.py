@@ -128,3 +128,16 @@ def read_settings(path: str) -> dict[str, Any]:
     import yaml
 
     return yaml.safe_load(text) or {}
+
+
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df in a copy of its session that hands rows to Python in batches of bounded rows and bytes: whole texts are wide. df's own session stays as it is."""
+    spark = df.sparkSession
+    copy = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    copy.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    copy.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    rows = spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copy._jsparkSession, df._jdf.logicalPlan())
+    return DataFrame(rows, copy)

@@ -222,3 +222,9 @@ def test_lines_of_several_manifests_are_numbered_through(spark, tmp_path):
         (tmp_path / f"part-{k}").write_text("".join(json.dumps({"chunk_id": f"{k}{i}", "ticker": "a", "date": "2024-01-02", "embedding_path": "none.npy"}) + "\n" for i in range(3)))
     out = manifests.with_numbers(manifests.stored_vectors(spark, str(tmp_path), name="part-*"), str(tmp_path), "part-*")
     assert sorted((r["number"], r["chunk_id"]) for r in out.collect()) == [(1, "00"), (2, "01"), (3, "02"), (4, "10"), (5, "11"), (6, "12")]
+
+
+def test_page_texts_go_to_python_in_small_batches(spark):
+    out = text_queries.page_text(spark, "/root/testdata/sf0.001")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert int(out.sparkSession.conf.get(key)) == tables.BATCH_BYTES and spark.conf.get(key) != str(tables.BATCH_BYTES) and out.count() > 0
