@@ -360,7 +360,8 @@ def melted(df: DataFrame, name: str) -> DataFrame:
     """name, key, field, number, text: one row a value of one of the run's files, which are all text."""
     keys, numbers, digits, texts, _ = RUN_TABLES[name]
     none = F.lit(None).cast("string")
-    fields = [F.struct(F.lit(c).alias("field"), (F.round(F.col(c).cast("double"), digits) + 0.0).alias("number"), none.alias("text")) for c in numbers]
+    # A value just between two rounded ones goes up (away from zero), whatever the order of its sum left in its last bits.
+    fields = [F.struct(F.lit(c).alias("field"), (F.round(F.round(F.col(c).cast("double"), 12), digits) + 0.0).alias("number"), none.alias("text")) for c in numbers]
     fields += [F.struct(F.lit(c).alias("field"), F.lit(None).cast("double").alias("number"), F.coalesce(c, F.lit("")).alias("text")) for c in texts]
     return df.select(F.lit(name).alias("name"), F.concat_ws("|", *keys).alias("key"), F.inline(F.array(*fields)))
 

@@ -12,6 +12,7 @@ from larkspur.operators import inference as I
 from larkspur.operators import news as N
 from larkspur.operators import pipelines as R
 from larkspur.operators import vectors as E
+from larkspur.plans import run_queries
 from larkspur.sources import manifests, tables
 
 DAY = datetime.date(2024, 1, 2)
@@ -234,3 +235,10 @@ def test_samples_of_overlapping_ranges_match_a_plain_history(spark):
     # What is wide is copied once, and what precedes a range again.
     copies = df.join(H.ranges_needed(df, 30, 200).withColumnRenamed("ticker", "_t"), (F.col("ticker") == F.col("_t")) & (F.floor(F.unix_date("date") / 200) == F.col("_block")) & (F.col("date") >= F.col("_from")))
     assert copies.where("ticker = 'HOT'").count() <= 0.3 * 400
+
+
+def test_values_between_two_rounded_ones_do_not_depend_on_the_order_of_their_sum(spark):
+    rows = [("test", "a", str(i), x, "50", "2.0") for i, x in enumerate(["0.012522499999999995", "0.0125225", "0.012522500000000002", "-8.874999999999983E-4", "0.0125224"])]
+    table = spark.createDataFrame(rows, "split string, factor string, decile string, mean_return string, days string, avg_count string")
+    got = {r["key"]: r["number"] for r in run_queries.melted(table, "raw_factor_decile_returns").where("field = 'mean_return'").collect()}
+    assert got == {"test|a|0": 0.012523, "test|a|1": 0.012523, "test|a|2": 0.012523, "test|a|3": -0.000888, "test|a|4": 0.012522}
