@@ -217,6 +217,19 @@ def test_no_stock_day_of_the_chunk_queries_is_capped(spark):
     assert "QUALIFY" not in text_queries.CHUNKS and "<= 64 THEN 1" in text_queries.CHUNKS and "/ 56)" in text_queries.CHUNKS
 
 
+def long_day(spark, root):
+    """Tables with 40 texts of 200 words, each of 4 chunks, on one stock-day; one more day without news."""
+    spark.createDataFrame([(i, " ".join(f"x{i}_{j}" for j in range(200)), "abc") for i in range(40)], "doc_id long, text string, source string").write.parquet(f"{root}/documents.parquet")
+    events = [(5 * i, dt.datetime(2024, 1, 2, 9)) for i in range(40)] + [(1001, dt.datetime(2024, 1, 3, 9))]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz").write.parquet(f"{root}/events.parquet")
+    return str(root)
+
+
+def test_coverage_counts_all_chunks_of_a_long_day(spark, tmp_path):
+    out = text_queries.coverage_counts(spark, long_day(spark, tmp_path)).collect()
+    assert [(r["date"], r["ticker"], r["news_count"], r["chunk_count"]) for r in out] == [(DAY, "ABC", 40, 160)]
+
+
 def test_lines_of_several_manifests_are_numbered_through(spark, tmp_path):
     for k in range(2):
         (tmp_path / f"part-{k}").write_text("".join(json.dumps({"chunk_id": f"{k}{i}", "ticker": "a", "date": "2024-01-02", "embedding_path": "none.npy"}) + "\n" for i in range(3)))
