@@ -235,6 +235,10 @@ def test_stock_day_panel_counts_all_chunks_of_a_long_day(spark, tmp_path):
     assert sorted((r["date"], r["ticker"], r["news_count"], r["chunk_count"], r["has_news"]) for r in out) == [(DAY, "ABC", 40, 160, 1), (DAY + dt.timedelta(1), "ABC", 0, 0, 0)]
 
 
+def test_all_later_chunks_of_a_long_day_are_not_encoded(spark, tmp_path):
+    assert text_queries.chunks_not_encoded(spark, long_day(spark, tmp_path)).distinct().count() == 80
+
+
 def test_lines_of_several_manifests_are_numbered_through(spark, tmp_path):
     for k in range(2):
         (tmp_path / f"part-{k}").write_text("".join(json.dumps({"chunk_id": f"{k}{i}", "ticker": "a", "date": "2024-01-02", "embedding_path": "none.npy"}) + "\n" for i in range(3)))
