@@ -53,6 +53,8 @@ FIRST_LEADERS, LEADERS, MEMBERS = 16, 256, 256
 WORTHWHILE = 0.25
 # In the rounds, up to this many texts of candidate pairs are named to all tasks (about 60 bytes each), so that the other texts stay where they are.
 BROADCAST_TEXTS = 10_000
+# Where there are more, their hashes' slots are named to all tasks, this many at most (about 25 bytes each): only texts in a wanted slot are shuffled.
+SLOTS = 1 << 21
 # Four standard errors of a signature's estimate at the threshold.
 SLACK = 4 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
 
@@ -252,7 +254,7 @@ def _round(state: DataFrame, leading: DataFrame, sigs: DataFrame, threshold: flo
 
 
 def shingled(texts: tuple[DataFrame, DataFrame], keys: DataFrame, width: int, note: Notes, few: bool = False) -> DataFrame:
-    """_id, _e, _c: the shingles and counts of the sets whose _key is in keys. With `few`, texts are counted first, and up to BROADCAST_TEXTS of them are found without a shuffle.
+    """_id, _e, _c: the shingles and counts of the sets whose _key is in keys. With `few`, texts are counted first, and up to BROADCAST_TEXTS of them are found without a shuffle; else only texts in their slots are shuffled.
 
     texts: rows (_id, _hash, _text), and the row that stands for each set (_key, _id, _hash).
     """
@@ -260,6 +262,8 @@ def shingled(texts: tuple[DataFrame, DataFrame], keys: DataFrame, width: int, no
     wanted = note(owners.join(keys, "_key"))
     if few and wanted.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
         wanted = F.broadcast(wanted)
+    else:
+        rows = in_slots(rows, wanted)
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -273,6 +277,12 @@ def shingled(texts: tuple[DataFrame, DataFrame], keys: DataFrame, width: int, no
     return cut(once.select("_key", "_text").mapInPandas(released(cover), "_id long, _e binary, _c binary"))
 
 
+def in_slots(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose (_id, _hash) is in a slot with one of wanted's: all those that are wanted and some more, found without a shuffle."""
+    slot = F.pmod(F.xxhash64("_id", "_hash"), F.lit(SLOTS)).alias("_slot")
+    return rows.select("*", slot).join(F.broadcast(wanted.select(slot).distinct()), "_slot", "left_semi").drop("_slot")
+
+
 def compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of sets that are alike, with their similarity."""
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,7 +298,7 @@ def compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def links(texts: tuple[DataFrame, DataFrame], pairs: DataFrame, width: int, threshold: float, note: Notes, few: bool = False) -> DataFrame:
-    """The pairs (a, b) of sets that are alike, with their similarity. Texts are shuffled once, and only the shingles of those in a pair go on."""
+    """The pairs (a, b) of sets that are alike, with their similarity. Only the texts of those in a pair are shuffled (and those in their slots), and only their shingles go on."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
     return compared(pairs, shingled(texts, keys, width, note, few), threshold)
 

@@ -856,3 +856,20 @@ def test_notes_are_read_back_and_cleared(spark):
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store.shared_dir(spark))
     left = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
     assert not [x for x in (f.getPath().getName() for f in left) if x.startswith("notes-")]
+
+
+def test_only_texts_in_wanted_slots_are_shuffled(spark, monkeypatch):
+    rows = neardup._rows(spark.createDataFrame([(i, f"text {i % 400}") for i in range(500)], "doc_id long, text string"), "doc_id", "text")
+    wanted = rows.where("_id % 100 = 7").select("_id", "_hash")
+    key = ["_id", "_hash"]
+    want = sorted(map(tuple, rows.join(wanted, key).collect()))
+    some = neardup.in_slots(rows, wanted)
+    assert some.count() < 20 and sorted(map(tuple, some.join(wanted, key).collect())) == want and len(want) == 5
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(neardup, "SLOTS", 1)  # all in one slot: more rows, none lost
+    assert neardup.in_slots(rows, wanted).count() == 500
+    seen = []
+    monkeypatch.setattr(neardup, "in_slots", lambda r, w: seen.append(w.count()) or r)
+    alike = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(30)) + f" end{i}") for i in range(3)], "doc_id long, text string")
+    assert neardup.classes(alike, "doc_id", "text").select("class_id").distinct().count() == 1 and seen == [3]
