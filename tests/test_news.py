@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -230,6 +231,32 @@ def test_coverage_counts_all_chunks_of_a_long_day(spark, tmp_path):
     assert [(r["date"], r["ticker"], r["news_count"], r["chunk_count"]) for r in out] == [(DAY, "ABC", 40, 160)]
 
 
+EARLIER = [(64, 8, 20), (64, 8, 64), (256, 0, 64)]  # words, overlap and cap of the SQL that the chunk queries had in turn
+
+
+def by_sql(rule, rest, root="/root/testdata/sf0.01"):
+    """Rows of DuckDB over the chunks of a rule."""
+    c = duckdb.connect()
+    for t in ("documents", "events"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{root}/{t}.parquet'")
+    return c.execute(f"{text_queries.chunks_sql(*rule)} {rest}").fetchall()
+
+
+COUNTS = "SELECT date, ticker, count(DISTINCT source_news_id), count(DISTINCT chunk_id) FROM chunks GROUP BY ALL"
+
+
+def no_count_is_below_an_earlier_sql(rows):
+    now = {(r["date"], r["ticker"]): (r["news_count"], r["chunk_count"]) for r in rows}
+    for rule in EARLIER:
+        old = by_sql(rule, COUNTS)
+        assert old and all(now[d, t][0] >= n and now[d, t][1] >= c for d, t, n, c in old)
+    assert sum(n for n, _ in now.values()) == 1000
+
+
+def test_coverage_counts_are_not_below_an_earlier_sql(spark):
+    no_count_is_below_an_earlier_sql(text_queries.coverage_counts(spark, "/root/testdata/sf0.01").collect())
+
+
 def test_stock_day_panel_counts_all_chunks_of_a_long_day(spark, tmp_path):
     out = text_queries.stock_day_panel(spark, long_day(spark, tmp_path)).collect()
     assert sorted((r["date"], r["ticker"], r["news_count"], r["chunk_count"], r["has_news"]) for r in out) == [(DAY, "ABC", 40, 160, 1), (DAY + dt.timedelta(1), "ABC", 0, 0, 0)]
