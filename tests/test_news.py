@@ -262,6 +262,10 @@ def test_stock_day_panel_counts_all_chunks_of_a_long_day(spark, tmp_path):
     assert sorted((r["date"], r["ticker"], r["news_count"], r["chunk_count"], r["has_news"]) for r in out) == [(DAY, "ABC", 40, 160, 1), (DAY + dt.timedelta(1), "ABC", 0, 0, 0)]
 
 
+def test_stock_day_panel_is_not_below_an_earlier_sql(spark):
+    no_count_is_below_an_earlier_sql(text_queries.stock_day_panel(spark, "/root/testdata/sf0.01").collect())
+
+
 def test_all_later_chunks_of_a_long_day_are_not_encoded(spark, tmp_path):
     assert text_queries.chunks_not_encoded(spark, long_day(spark, tmp_path)).distinct().count() == 80
 
