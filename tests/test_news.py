@@ -270,6 +270,13 @@ def test_all_later_chunks_of_a_long_day_are_not_encoded(spark, tmp_path):
     assert text_queries.chunks_not_encoded(spark, long_day(spark, tmp_path)).distinct().count() == 80
 
 
+def test_chunks_not_encoded_hold_those_of_every_earlier_sql(spark):
+    now = {r["chunk_id"] for r in text_queries.chunks_not_encoded(spark, "/root/testdata/sf0.01").collect()}
+    for rule in EARLIER:
+        old = {r[0] for r in by_sql(rule, "SELECT chunk_id FROM chunks WHERE chunk_index >= 2")}
+        assert old and old <= now
+
+
 def test_lines_of_several_manifests_are_numbered_through(spark, tmp_path):
     for k in range(2):
         (tmp_path / f"part-{k}").write_text("".join(json.dumps({"chunk_id": f"{k}{i}", "ticker": "a", "date": "2024-01-02", "embedding_path": "none.npy"}) + "\n" for i in range(3)))
